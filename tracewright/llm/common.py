@@ -99,8 +99,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds about ``max_bytes`` of ``column``, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20, max_rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each holds about ``max_bytes`` of ``column`` and at most ``max_rows`` rows, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -109,7 +109,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0.0
-            stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
+            stop = max(start + 1, min(start + max_rows, int(np.searchsorted(ends, before + max_bytes, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewright.llm import minhash, packing
+from tracewright.llm import language, minhash, packing
 
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
@@ -38,6 +39,14 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; documents whose crc32 modulo 4 is 2 are held out of the profiles."""
+    docs = documents(spark, sf_dir).withColumn("held_out", F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 4 == 2)
+    profiles = language.train(docs.where("not held_out"))
+    found = language.predict(docs, profiles, keep=["held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 tokens; the ranks file gives the ids of byte_bpe_50k.json."""
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -46,6 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op4_language_id": op4_language_id,
         "op10_packing": op10_packing,
     }
 
