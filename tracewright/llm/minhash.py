@@ -184,8 +184,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = source.where("doc_id is not null")
 
         def verified(pairs: DataFrame) -> DataFrame:
-            one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-            two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+            """Links among candidate pairs; only the texts that some pair needs are kept, so that texts are shuffled once."""
+            pairs = scratch.cut(pairs, "pairs")
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            needed = scratch.cut(texts.join(ends, "doc_id", "left_semi"), "texts")
+            one = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+            two = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
             return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long")
 
         banded = classes.select("rep", "n_shingles", F.explode("bands").alias("band"))
