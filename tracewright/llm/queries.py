@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import language, minhash, packing
+from tracewright.llm import language, minhash, packing, token_counts
 
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
@@ -39,6 +39,11 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; documents whose crc32 modulo 4 is 2 are held out of the profiles."""
     docs = documents(spark, sf_dir).withColumn("held_out", F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 4 == 2)
@@ -55,6 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op3_token_counts": op3_token_counts,
         "op4_language_id": op4_language_id,
         "op10_packing": op10_packing,
     }
