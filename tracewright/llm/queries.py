@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import language, minhash, packing, token_counts
+from tracewright.llm import language, minhash, packing, suffixes, token_counts
 
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
@@ -52,6 +52,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 50-byte strings that an earlier document has."""
+    return suffixes.remove_repeats(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 tokens; the ranks file gives the ids of byte_bpe_50k.json."""
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_language_id": op4_language_id,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_packing": op10_packing,
     }
 
