@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import language, minhash, packing, suffixes, token_counts
+from tracewright.llm import embeddings, language, minhash, packing, suffixes, token_counts
 
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
@@ -52,6 +52,28 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+g AS (
+  SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS u, vec_id AS w FROM v UNION SELECT r.u, l.w FROM reach r JOIN link l ON r.w = l.u),
+c AS (SELECT u AS vec_id, min(w) AS component_id FROM reach GROUP BY u),
+n AS (SELECT u AS vec_id, count(*) AS n FROM link GROUP BY u)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all embeddings of equal label at a cosine of 0.98."""
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.98)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 50-byte strings that an earlier document has."""
     return suffixes.remove_repeats(documents(spark, sf_dir))
@@ -67,10 +89,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_language_id": op4_language_id,
+        "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": OP2_SQL}
+    return {
+        "op2_minhash_near_dedup": OP2_SQL,
+        "op6_embedding_near_dedup": OP6_SQL,
+    }
