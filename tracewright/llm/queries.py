@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import embeddings, language, minhash, packing, suffixes, token_counts
+from tracewright.llm import embeddings, language, minhash, packing, quality, suffixes, token_counts
 
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
@@ -52,6 +52,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels whose crc32 modulo 3 is 1 are held out."""
+    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 3 == 1
+    docs = documents(spark, sf_dir).withColumn("held_out", held_out)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    model = quality.train(docs.where("not held_out"), labels)
+    return quality.score(docs, model, keep=["held_out"])
+
+
 OP6_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
@@ -89,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_language_id": op4_language_id,
+        "op5_quality": op5_quality,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_packing": op10_packing,
