@@ -63,15 +63,48 @@ class Scratch:
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Edges that one task reduces to stars in memory.
+CHUNK = 1 << 20
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component, of nodes 0 to n - 1 and edges (i, j)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        for at in (root[i], root[j], i, j):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, smallest node of its component) among the edges of a task."""
+    edges = pa.Table.from_batches(batches, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    u, v = edges.column("u").to_numpy(), edges.column("v").to_numpy()
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = nodes[forest(len(nodes), at[: len(u)], at[len(u) :])]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root)], names=["u", "v"])
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) for every vertex of ``edges`` (a, b); component is the smallest id reachable.
 
-    Alternates large-star and small-star steps. Every step is a partially aggregated minimum and an equi-join, so a
+    Tasks of at most ``CHUNK`` edges first reduce theirs to stars by themselves; where that takes one task, it is all. The
+    stars of several tasks are joined by alternating large-star and small-star steps. Every step is a partially aggregated minimum and an equi-join, so a
     vertex with very many neighbours is a skewed join that Spark splits, never a collected group. Vertices without
     edges are not returned. Null ends and self-loops are ignored.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     current = scratch.cut(pairs.where("u <> v").distinct(), "edges")
+    tasks = -(-current.count() // CHUNK)
+    stars = (current.repartition(tasks) if tasks > 1 else current.coalesce(1)).mapInArrow(_stars, "u long, v long")
+    if tasks <= 1:
+        return stars.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    current = scratch.cut(stars.where("u <> v"), "edges")
     seen = None
     while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Scratch, connected_components
+from tracewright.llm.common import Scratch, connected_components, forest
 
 #: Classes in a tile, rows of a tile compared at once, dimensions added at a time.
 TILE, ROWS, BLOCK = 4096, 512, 16
@@ -95,22 +95,6 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray,
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest node of each node's component."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _tile_links(threshold: float):
     schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
@@ -134,7 +118,7 @@ def _tile_links(threshold: float):
             i, j = i[cosine >= threshold], j[cosine >= threshold]
         links = np.bincount(i, members[j], len(rep)) + np.bincount(j, members[i], len(rep))
         some = np.flatnonzero(links)
-        root = _forest(len(rep), i, j)
+        root = forest(len(rep), i, j)
         return pa.table([rep[some], links[some].astype(np.int64), rep[root[some]]], schema=schema)
 
     return run
