@@ -6,8 +6,8 @@ with null text has the empty set and is linked with nothing.
 
 The sketch has ``T`` coordinates. In round i < T every shingle throws a hashed value into a hashed bin, in round i >= T into
 bin i - T, and later rounds never displace earlier ones; a document stops once every bin is filled, at most after 2T rounds.
-The share of equal coordinates concentrates around the Jaccard similarity, so 32 bands of 4 coordinates miss a pair at
-similarity 0.8 with a probability of about 5e-8, and fewer than 0.55 T equal coordinates at 0.8 have one below 2e-9.
+The share of equal coordinates concentrates around the Jaccard similarity, so 42 bands of 6 coordinates miss a pair at
+similarity 0.8 with a probability of about 3e-6 (4e-9 at 0.85), and fewer than 0.66 T equal coordinates at 0.8 have one of about 1e-8.
 
 Candidates are verified on the full word sets. To find components without making every pair of a bucket, members are first
 compared with the bucket's smallest document; only buckets that still hold several components are then compared in tiles.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import Scratch, connected_components, mix64, slices
 
-T, BANDS = 128, 32
-LEAST_EQUAL = int(0.55 * T)
+T, BANDS, BAND_ROWS = 256, 42, 6
+LEAST_EQUAL = int(0.66 * T)
 TILE = 256
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = mix64(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -80,7 +80,7 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
             break
         x = mix64(items ^ _SEEDS[i])
         bins = (x & np.uint64(T - 1)).astype(np.int64) if i < T else i - T
-        np.minimum.at(out, owner * T + bins, (x >> np.uint64(8)) | (np.uint64(i) << np.uint64(56)))
+        np.minimum.at(out, owner * T + bins, (x >> np.uint64(10)) | (np.uint64(i) << np.uint64(54)))
         left = (out.reshape(n, T) == _EMPTY).any(axis=1)[owner]
         items, owner = items[left], owner[left]
     return out.reshape(n, T)
@@ -96,8 +96,8 @@ def _sketch_batches(words: int):
             some = np.flatnonzero(sizes)
             rows = sketch([sets[i] for i in some])
             band = np.full((len(some), BANDS), 0, np.uint64) + np.arange(BANDS, dtype=np.uint64)
-            for c in range(T // BANDS):
-                band = mix64(band * np.uint64(0x9E3779B97F4A7C15) + rows[:, c :: T // BANDS])
+            for c in range(BAND_ROWS):
+                band = mix64(band * np.uint64(0x9E3779B97F4A7C15) + rows[:, c : BANDS * BAND_ROWS : BAND_ROWS])
             bands: list = [[]] * len(texts)
             marks: list = [b""] * len(texts)
             k1, k2 = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
