@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import embeddings, language, minhash, packing, quality, suffixes, token_counts
+from tracewright.llm import embeddings, language, minhash, packing, quality, suffixes, surrogates, token_counts
 
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
@@ -83,6 +83,16 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.98)
 
 
+#: A fixed key, so that runs agree; a real one is a secret.
+SURROGATE_KEY = "tracewright"
+
+
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for personal data."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return surrogates.replace_private(docs, SURROGATE_KEY).select("doc_id", "n_entities", "text")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 50-byte strings that an earlier document has."""
     return suffixes.remove_repeats(documents(spark, sf_dir))
@@ -100,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_quality": op5_quality,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
+        "op7_pii_surrogates": op7_pii_surrogates,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_packing": op10_packing,
     }
