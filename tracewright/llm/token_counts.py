@@ -35,7 +35,7 @@ _SLICE_BYTES = 4 << 20
 #: Distinct pre-tokens whose counts a task holds, and entries of sums before it passes them on.
 _HELD = 2_000_000
 
-PACKED = "slice long, bucket int, doc_ids array<long>, n_bytes array<long>, base array<long>, words string, sizes binary, entries binary, docs binary, freqs binary"
+PACKED = "slice long, bucket int, doc_ids array<long>, n_bytes array<long>, base array<long>, size int, packed binary"
 
 
 class _Splitter:
@@ -79,8 +79,21 @@ class _Codes(dict):
         return code
 
 
+def _squeeze(blobs: list[bytes]) -> tuple[int, bytes]:
+    """Several byte strings as one, compressed, and its size before."""
+    whole = np.array([len(blobs), *map(len, blobs)], np.uint32).tobytes() + b"".join(blobs)
+    return len(whole), pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def _unsqueeze(size: int, packed: bytes) -> list[bytes]:
+    whole = pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True)
+    sizes = np.frombuffer(whole, np.uint32, 1 + int(np.frombuffer(whole, np.uint32, 1)[0]))[1:]
+    ends = 4 * (len(sizes) + 1) + np.cumsum(sizes, dtype=np.int64)
+    return [whole[end - size : end] for end, size in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
 def _pack(path: str, buckets: int):
-    schema = pa.schema([("slice", pa.int64()), ("bucket", pa.int32())] + [(c, pa.list_(pa.int64())) for c in ("doc_ids", "n_bytes", "base")] + [("words", pa.string())] + [(c, pa.binary()) for c in ("sizes", "entries", "docs", "freqs")])
+    schema = pa.schema([("slice", pa.int64()), ("bucket", pa.int32())] + [(c, pa.list_(pa.int64())) for c in ("doc_ids", "n_bytes", "base")] + [("size", pa.int32()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = _splitter(path)
@@ -92,9 +105,11 @@ def _pack(path: str, buckets: int):
                 found, base[i] = split.pre_tokens(text) if text else ([], 0)
                 words.append(np.fromiter(map(codes.__getitem__, found), np.int64, len(found)))
                 docs.append(np.full(len(found), i, np.int64))
-            distinct = list(codes)
+            distinct = sorted(codes)  # neighbours in order compress well
+            rank = np.empty(len(codes), np.int64)
+            rank[np.fromiter(map(codes.__getitem__, distinct), np.int64, len(distinct))] = np.arange(len(distinct))
             single = np.fromiter(map(split.single().__contains__, distinct), bool, len(distinct))
-            pairs, freqs = np.unique(np.concatenate(words) * SLICE_ROWS + np.concatenate(docs), return_counts=True)
+            pairs, freqs = np.unique(rank[np.concatenate(words)] * SLICE_ROWS + np.concatenate(docs), return_counts=True)
             word, doc = pairs // SLICE_ROWS, pairs % SLICE_ROWS
             known = single[word]
             base += np.bincount(doc[known], freqs[known], batch.num_rows).astype(np.int64)
@@ -106,17 +121,15 @@ def _pack(path: str, buckets: int):
             for part in np.split(np.arange(len(word)), np.flatnonzero(np.diff(bucket[word])) + 1) if len(word) else []:
                 own, entries = np.unique(word[part], return_counts=True)
                 texts = [distinct[w] for w in own]
-                rows.append(
-                    {
-                        "slice": number,
-                        "bucket": bucket[own[0]],
-                        "words": "".join(texts),
-                        "sizes": np.fromiter(map(len, texts), np.uint32, len(texts)).tobytes(),
-                        "entries": entries.astype(np.uint32).tobytes(),
-                        "docs": doc[part].astype(np.uint16).tobytes(),
-                        "freqs": freqs[part].astype(np.uint32).tobytes(),
-                    }
-                )
+                blobs = [
+                    "".join(texts).encode(),
+                    np.fromiter(map(len, texts), np.uint32, len(texts)).tobytes(),
+                    entries.astype(np.uint32).tobytes(),
+                    doc[part].astype(np.uint16).tobytes(),
+                    freqs[part].astype(np.uint32).tobytes(),
+                ]
+                size, packed = _squeeze(blobs)
+                rows.append({"slice": number, "bucket": bucket[own[0]], "size": size, "packed": packed})
             number += 1
             yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
 
@@ -151,10 +164,11 @@ def _sum(path: str):
 
         for batch in batches:
             for row in batch.to_pylist():
-                ends = np.cumsum(np.frombuffer(row["sizes"], np.uint32)).tolist()
-                n = pieces.of([row["words"][a:b] for a, b in zip([0, *ends], ends, strict=False)])
-                weights = np.repeat(n, np.frombuffer(row["entries"], np.uint32)) * np.frombuffer(row["freqs"], np.uint32)
-                got = np.bincount(np.frombuffer(row["docs"], np.uint16), weights, SLICE_ROWS).astype(np.int64)
+                words, sizes, entries, docs, freqs = _unsqueeze(row["size"], row["packed"])
+                text, ends = words.decode(), np.cumsum(np.frombuffer(sizes, np.uint32)).tolist()
+                n = pieces.of([text[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+                weights = np.repeat(n, np.frombuffer(entries, np.uint32)) * np.frombuffer(freqs, np.uint32)
+                got = np.bincount(np.frombuffer(docs, np.uint16), weights, SLICE_ROWS).astype(np.int64)
                 sums[row["slice"]] = sums[row["slice"]] + got if row["slice"] in sums else got
                 if len(sums) * SLICE_ROWS > _HELD:
                     yield out()
@@ -187,8 +201,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     source = source.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     # Written once: the slices of the frequencies and of their documents have to be the same.
-    packed = Scratch(spark).keep(source.mapInArrow(_pack(tokenizer, 4 * partitions), PACKED), "frequencies")
-    sums = packed.where("bucket >= 0").select("slice", "bucket", "words", "sizes", "entries", "docs", "freqs").repartition(partitions, "bucket").mapInArrow(_sum(tokenizer), "slice long, docs binary, sums binary")
+    packed = Scratch(spark).keep(source.mapInArrow(_pack(tokenizer, partitions), PACKED), "frequencies")
+    sums = packed.where("bucket >= 0").select("slice", "bucket", "size", "packed").repartition(partitions, "bucket").mapInArrow(_sum(tokenizer), "slice long, docs binary, sums binary")
     sums = sums.groupBy("slice").agg(F.collect_list("docs").alias("docs"), F.collect_list("sums").alias("sums"))
     heads = packed.where("bucket < 0").select("slice", "doc_ids", "n_bytes", "base")
     joined = heads.join(sums, "slice", "left").select("doc_ids", "n_bytes", "base", "docs", "sums")
