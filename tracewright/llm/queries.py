@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import embeddings, language, minhash, packing, quality, suffixes, surrogates, token_counts
+from tracewright.llm import embeddings, language, minhash, packing, pieces, quality, suffixes, surrogates, token_counts
 
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
@@ -93,6 +93,11 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_private(docs, SURROGATE_KEY).select("doc_id", "n_entities", "text")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return pieces.round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 50-byte strings that an earlier document has."""
     return suffixes.remove_repeats(documents(spark, sf_dir))
@@ -111,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": op5_quality,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_pii_surrogates": op7_pii_surrogates,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_packing": op10_packing,
     }
