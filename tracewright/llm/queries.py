@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import embeddings, language, minhash, packing, pieces, quality, suffixes, surrogates, token_counts
+from tracewright.llm import chroma, embeddings, language, minhash, packing, pieces, quality, suffixes, surrogates, token_counts
 
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
@@ -34,6 +34,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, whose bytes are taken as 8-bit samples, and alignments of each fiftieth."""
+    recordings = documents(spark, sf_dir).select("doc_id", F.encode("text", "utf-8").alias("samples"))
+    return chroma.align(chroma.fingerprints(recordings))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on two-word shingles at a similarity of 0.8."""
     return minhash.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
@@ -110,6 +116,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chroma_fingerprints": op1_chroma_fingerprints,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_language_id": op4_language_id,
