@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,6 +55,11 @@ class Scratch:
         self.paths.append(path)
         return table
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files behind tables that were cut, which it does when the driver collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return self._write(df, name)[0]
 

@@ -180,6 +180,7 @@ def _suffix_batches(bits: int):
             rows = []
             for part in _runs(key[new] >> np.uint64(64 - bits)):
                 i = np.flatnonzero(new)[part]
+                i = i[np.argsort(order[i])]  # by document, which compresses best
                 rows.append({"bucket": int(key[i[0]] >> np.uint64(64 - bits)), "keys": _narrow(key[i], 6), "cells": _narrow(cell[i], 7), "docs": doc[i].astype("<i8").tobytes(), "starts": start[i].astype("<u4").tobytes()})
             if settled.any():
                 bucket = (1 << bits) + int(_mix(ids[:1].view(np.uint64))[0] >> np.uint64(64 - bits))
@@ -398,7 +399,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     carry = carry or []
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(6, (4 * partitions - 1).bit_length())
+    bits = max(6, (partitions - 1).bit_length())
     groups = 1 << bits
     rest = [docs[c].alias(f"carry_{i}") for i, c in enumerate(carry)]
     carried = [f"carry_{i}" for i in range(len(carry))]
@@ -414,8 +415,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with Scratch(spark) as scratch:
         suffixes = known.select("doc_id", "text").mapInArrow(_suffix_batches(bits), SUFFIXES)
         replies = scratch.cut(suffixes.groupBy("bucket").applyInArrow(_scan_bucket(bits, groups), REPLIES), "replies")
+        scratch.release()
         grouped = known.groupBy(_group_column(groups))
         settled = scratch.keep(grouped.cogroup(replies.groupBy("g")).applyInArrow(_settle(bits, with_text, carried, arrow(settled_ddl)), settled_ddl), "settled")
+        scratch.release()
         late = settled.where("kind = 2").select("bucket", "keys", "docs", "starts", "counts", "content")
         late = scratch.cut(late.groupBy("bucket").applyInArrow(_compare(groups), REPLIES), "replies")
         waiting = settled.where("kind = 1").select("doc_id", "text", "starts", "counts", *carried).groupBy(_group_column(groups))
