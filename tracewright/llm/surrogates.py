@@ -54,8 +54,8 @@ PATTERNS = {
     "person": _TITLE + r"\.?[ \x{A0}]\p{Lu}\p{L}+(?:[ -]\p{Lu}\p{L}+)?",
 }
 ANY = "|".join(PATTERNS.values())
-#: What every match holds, to pass over most texts at once.
-HINT = rf"[\p{{N}}@]|{_TITLE}"
+#: What every match holds, to pass over most texts at once: a digit, an at sign, or the beginning of a title.
+HINTS = ["[0-9@]", "[MHFSГΚ](?:r|s|iss|onsieur|adame|err|rau|eñor|оспо|ύριος|υρία)"]
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -211,9 +211,13 @@ def _formatted(match: Column, kind: Column, cores: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", spaced).when(kind == "person", person).otherwise(core)
 
 
+def _hinted(text: Column) -> Column:
+    return text.rlike(HINTS[0]) | text.rlike(HINTS[1])
+
+
 def _matches(text: Column) -> Column:
     none = F.array().cast("array<string>")
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
+    return F.when(_hinted(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
 
 
 def _rewrite(text: Column, matches: Column, replace: Callable[[Column], Column]) -> Column:
@@ -252,16 +256,17 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     text = F.col(text_col)
     scratch = Scratch(spark)
     with scratch:
-        some = source.where(text.rlike(HINT)).select(F.explode(F.array_distinct(_matches(text))).alias("m"))
-        units = some.select(F.explode(_named(F.col("m"))).alias("u")).select("u.kind", "u.norm").distinct()
+        named = F.array_distinct(F.flatten(F.transform(F.array_distinct(_matches(text)), _named)))
+        held = source.where(_hinted(text)).select(F.sha2(F.encode(text, "utf-8"), 256).alias("__hash"), named.alias("units")).where(F.size("units") > 0)
+        held = scratch.keep(held, "held")
+        units = held.select(F.explode("units").alias("u")).select("u.kind", "u.norm").distinct()
         again = scratch.keep(_settle(units, key, scratch), "again")
     never = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
     matches = source.withColumn("__matches", _matches(text))
     if again.isEmpty():
         matches = matches.withColumn("__again", never)
     else:
-        hold = source.where(text.rlike(HINT)).select(F.sha2(F.encode(text, "utf-8"), 256).alias("__hash"), F.explode(F.array_distinct(_matches(text))).alias("m"))
-        hold = hold.select("__hash", F.explode(_named(F.col("m"))).alias("u")).select("__hash", "u.kind", "u.norm").distinct()
+        hold = held.select("__hash", F.explode("units").alias("u")).select("__hash", "u.kind", "u.norm").distinct()
         looked = hold.join(again, ["kind", "norm"]).groupBy("__hash").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("\u0001"), "norm"), "attempt"))).alias("__again"))
         plain = matches.withColumn("__hash", F.when(F.size("__matches") > 0, F.sha2(F.encode(text, "utf-8"), 256)))
         without = plain.where("__hash is null").withColumn("__again", never)
