@@ -120,4 +120,4 @@ def predict(docs: DataFrame, profiles: dict[str, list[float]], id_col: str = "do
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(keep or []))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "text")
     names = list(profiles)
-    return source.mapInArrow(_predict(names, np.array([profiles[n] for n in names], float)), f"{schema}, lang_pred string, score double")
+    return source.mapInArrow(_predict(names, np.array([profiles[n] for n in names], float).reshape(-1, DIMENSIONS)), f"{schema}, lang_pred string, score double")
