@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.functions.text import ordered_case, without_origins
 
@@ -58,7 +59,7 @@ def grouped_lines(lines: DataFrame, key: str, line: str, group: Column) -> DataF
     return lines.select(key, line).distinct().groupBy(key, group.alias("group")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
 
 
-@F.udtf(returnType="path: string, value: string")
+@F.udtf(returnType=T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())]))
 class FlattenJson:
     """The leaves of a JSON text as (path, JSON value): four levels deep, twelve items of a list and the number of the rest."""
 

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tracewright.operators.dedupe import keep_one
 
@@ -44,12 +45,12 @@ def _load(text):
         return {}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def merge_json(base, update):
     return base.combine(update, lambda a, b: _text(merged(_load(a), _load(b))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(text):
     """Sorted keys and no spaces, the form that fingerprints are taken of; null for what is no JSON."""
 
@@ -62,7 +63,7 @@ def canonical_json(text):
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def redact_json(text):
     return text.map(lambda t: None if t is None else _text(hidden(_load(t))))
 
