@@ -47,7 +47,7 @@ class Scratch:
 
     def _write(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
@@ -55,6 +55,12 @@ class Scratch:
         self.paths.append(path)
         return table
 
+    def spend(self, name: str) -> None:
+        """Removes the tables of ``cut`` by that name, which nothing reads any more."""
+        for path in [p for p in self.paths if p.rpartition("/")[2].startswith(f"{name}-")]:
+            self.drop(path)
+            self.paths.remove(path)
+
     def release(self) -> None:
         """Lets Spark remove the shuffle files behind tables that were cut, which it does when the driver collects its garbage."""
         gc.collect()

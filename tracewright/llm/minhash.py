@@ -7,7 +7,7 @@ with null text has the empty set and is linked with nothing.
 The sketch has ``T`` coordinates. In round i < T every shingle throws a hashed value into a hashed bin, in round i >= T into
 bin i - T, and later rounds never displace earlier ones; a document stops once every bin is filled, at most after 2T rounds.
 The share of equal coordinates concentrates around the Jaccard similarity, so 42 bands of 6 coordinates miss a pair at
-similarity 0.8 with a probability of about 3e-6 (4e-9 at 0.85), and fewer than 0.66 T equal coordinates at 0.8 have one of about 1e-8.
+similarity 0.8 with a probability of about 3e-6 (4e-9 at 0.85), and fewer than 0.71 T equal coordinates at 0.8 have one of about 3e-7.
 
 Candidates are verified on the full word sets. To find components without making every pair of a bucket, members are first
 compared with the bucket's smallest document; only buckets that still hold several components are then compared in tiles.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import Scratch, connected_components, mix64, slices
 
-T, BANDS, BAND_ROWS = 256, 42, 6
-LEAST_EQUAL = int(0.66 * T)
+T, BANDS, BAND_ROWS = 512, 42, 6
+LEAST_EQUAL = int(0.71 * T)
 TILE = 256
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = mix64(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -80,7 +80,7 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
             break
         x = mix64(items ^ _SEEDS[i])
         bins = (x & np.uint64(T - 1)).astype(np.int64) if i < T else i - T
-        np.minimum.at(out, owner * T + bins, (x >> np.uint64(10)) | (np.uint64(i) << np.uint64(54)))
+        np.minimum.at(out, owner * T + bins, (x >> np.uint64(11)) | (np.uint64(i) << np.uint64(53)))
         left = (out.reshape(n, T) == _EMPTY).any(axis=1)[owner]
         items, owner = items[left], owner[left]
     return out.reshape(n, T)
@@ -173,14 +173,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scratch = Scratch(spark)
     with scratch:
-        rows = scratch.keep(source.mapInArrow(_sketch_batches(words), SKETCH_SCHEMA), "sketches")
-        some = rows.where("n_shingles > 0 and doc_id is not null")
+        full = scratch.cut(source.mapInArrow(_sketch_batches(words), SKETCH_SCHEMA), "sketches")
+        rows = scratch.keep(full.select("doc_id", "n_shingles", "k1", "k2"), "rows")
+        some = full.where("n_shingles > 0 and doc_id is not null")
         reps = scratch.keep(some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
         classes = scratch.cut(
             some.join(reps.select("rep", "k1", "k2").withColumnsRenamed({"k1": "r1", "k2": "r2"}), (F.col("doc_id") == F.col("rep")) & (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")))
             .select("rep", "n_shingles", "bands", "sketch").dropDuplicates(["rep", "n_shingles", "sketch"]),
             "reps",
         )
+        scratch.spend("sketches")
         texts = source.where("doc_id is not null")
 
         def verified(pairs: DataFrame) -> DataFrame:
@@ -188,10 +190,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = scratch.cut(pairs, "pairs")
             ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
             needed = scratch.cut(texts.join(ends, "doc_id", "left_semi"), "texts")
+            scratch.release()
             one = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
             two = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
             return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long")
 
+        scratch.release()
         banded = classes.select("rep", "n_shingles", F.explode("bands").alias("band"))
         hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
         stars = banded.join(hubs, "band").where("rep <> hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.first("n_shingles").alias("nb"))
@@ -203,6 +207,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         labelled = classes.join(parts, F.col("rep") == F.col("id"), "left").select("rep", "n_shingles", "sketch", "bands", F.coalesce("component", "rep").alias("comp"))
         labelled = scratch.cut(labelled, "labelled")
+        scratch.spend("reps")
+        scratch.spend("texts")
+        scratch.release()
         spread = labelled.select("comp", F.explode("bands").alias("band")).groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"))
         mixed = spread.where("members > 2 and low < high").select("band", F.ceil(F.col("members") / TILE).alias("tiles"))
         rest = labelled.select("rep", "n_shingles", "comp", "sketch", F.explode("bands").alias("band")).join(mixed, "band")

@@ -417,13 +417,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         replies = scratch.cut(suffixes.groupBy("bucket").applyInArrow(_scan_bucket(bits, groups), REPLIES), "replies")
         scratch.release()
         grouped = known.groupBy(_group_column(groups))
-        settled = scratch.keep(grouped.cogroup(replies.groupBy("g")).applyInArrow(_settle(bits, with_text, carried, arrow(settled_ddl)), settled_ddl), "settled")
+        settled = scratch.cut(grouped.cogroup(replies.groupBy("g")).applyInArrow(_settle(bits, with_text, carried, arrow(settled_ddl)), settled_ddl), "settled")
+        scratch.spend("replies")
         scratch.release()
         late = settled.where("kind = 2").select("bucket", "keys", "docs", "starts", "counts", "content")
         late = scratch.cut(late.groupBy("bucket").applyInArrow(_compare(groups), REPLIES), "replies")
         waiting = settled.where("kind = 1").select("doc_id", "text", "starts", "counts", *carried).groupBy(_group_column(groups))
-        last = scratch.keep(waiting.cogroup(late.groupBy("g")).applyInArrow(_finish(with_text, carried, arrow(result + carry_ddl)), result + carry_ddl), "last")
-    names = [c.split()[0] for c in result.split(", ")] + carried
+        names = [c.split()[0] for c in result.split(", ")] + carried
+        last = waiting.cogroup(late.groupBy("g")).applyInArrow(_finish(with_text, carried, arrow(result + carry_ddl)), result + carry_ddl)
+        found = scratch.keep(settled.where("kind = 0").select(*names).unionByName(last.select(*names)), "found")
     nowhere = source.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"), *([F.col("text").alias("kept")] if with_text else []), *carried)
-    found = settled.where("kind = 0").select(*names).unionByName(last.select(*names)).unionByName(nowhere.select(*names))
+    found = found.unionByName(nowhere.select(*names))
     return found.select(*[c for c in names if c not in carried], *[F.col(a).alias(b) for a, b in zip(carried, carry, strict=True)])
