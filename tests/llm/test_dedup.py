@@ -57,6 +57,7 @@ def test_sketches_fill_every_coordinate_and_estimate_similarity():
 
 def test_a_large_mixed_bucket_is_compared_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(minhash, "TILE", 4)
+    monkeypatch.setattr(minhash, "CLUSTER_TILE", 3)
     rows = [(i, t) for i, t in texts() if i is not None]
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), words=5).collect()}
     known = {i: sets(t, 5) for i, t in rows}

@@ -10,7 +10,9 @@ The share of equal coordinates concentrates around the Jaccard similarity, so 42
 similarity 0.8 with a probability of about 3e-6 (4e-9 at 0.85), and fewer than 0.71 T equal coordinates at 0.8 have one of about 3e-7.
 
 Candidates are verified on the full word sets. To find components without making every pair of a bucket, members are first
-compared with the bucket's smallest document; only buckets that still hold several components are then compared in tiles.
+compared with the bucket's smallest document. Buckets that still hold several components are then compared in tiles by their sketches,
+which gives clusters of documents that may be linked but not their pairs; a cluster's texts are brought together, in tiles where it is large,
+and their exact intersections give the links that join its components.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Scratch, connected_components, mix64, slices
+from tracewright.llm.common import Scratch, connected_components, forest, mix64, slices
 
 T, BANDS, BAND_ROWS = 512, 42, 6
 LEAST_EQUAL = int(0.71 * T)
-TILE = 256
+#: Members of a tile of a bucket, and of a cluster.
+TILE, CLUSTER_TILE = 256, 512
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = mix64(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -138,24 +141,94 @@ def _verify(words: int, percent: int):
     return run
 
 
-def _tile_pairs(percent: int):
-    """Compares the members of whole small buckets, or of two tiles of a large one."""
+def _likely(percent: int):
+    """Joins the members of buckets that may be linked: (document, smallest of those it is joined to), of whole small buckets or two tiles of a large one."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
+    def run(table: pa.Table) -> pa.Table:
         band, doc, comp, size, tile = (table.column(c).to_numpy() for c in ("band", "rep", "comp", "n_shingles", "tile"))
         marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, T)
         order = np.argsort(band, kind="stable")
+        out: list[np.ndarray] = []
         for members in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
+            members = members[np.argsort(doc[members], kind="stable")]
             same = len(np.unique(tile[members])) == 1
             left, right = (members, members) if same else (members[tile[members] == tile[members].min()], members[tile[members] == tile[members].max()])
+            pairs = []
             for i in left:
-                rest = right[right > i] if same else right
+                rest = right[doc[right] > doc[i]] if same else right
                 rest = rest[(comp[rest] != comp[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))]
                 if len(rest):
                     rest = rest[(marks[rest] == marks[i]).sum(axis=1) >= LEAST_EQUAL]
                 if len(rest):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[rest], doc[i])), pa.array(np.maximum(doc[rest], doc[i]))], names=["a", "b"])
+                    pairs.append(np.stack([np.full(len(rest), i), rest]))
+            if pairs:
+                i, j = np.concatenate(pairs, axis=1)
+                nodes, at = np.unique(np.concatenate([doc[i], doc[j]]), return_inverse=True)
+                out.append(np.stack([nodes, nodes[forest(len(nodes), at[: len(i)], at[len(i) :])]]))
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def spanning_links(texts: list[str], comp: np.ndarray, side: np.ndarray, words: int, percent: int, hashes: _WordHash) -> list[tuple[int, int]]:
+    """Links that join all documents that links join, found on hashed shingles and confirmed on the full sets.
+
+    Only documents of different components are compared; with two sides, only those of different sides.
+    """
+    sets = [_shingle_hashes(t, words, hashes) for t in texts]
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1  # a shingle of one document is in no intersection
+    keep = count[code] > 1
+    owner, code = owner[keep], shared[code[keep]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+        part = slice(*np.searchsorted(code, [first, first + 4096]))
+        incidence = np.zeros((len(sets), 4096), np.float32)
+        incidence[owner[part], code[part] - first] = 1
+        both += incidence @ incidence.T
+    both = both.astype(np.int64)
+    link = (both > 0) & (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (comp[:, None] != comp[None, :])
+    if side.any() and not side.all():
+        link &= side[:, None] != side[None, :]
+    i, j = np.nonzero(np.triu(link, 1))
+    root, found, exact = np.arange(len(sets)), [], {}
+    while len(i):
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        # One link for each root at a time, confirmed before it joins.
+        chosen = np.unique(root[i], return_index=True)[1]
+        wrong = []
+        for k in chosen:
+            x, y = int(i[k]), int(j[k])
+            if root[x] == root[y]:
+                continue
+            one, two = (exact.setdefault(n, shingle_set(texts[n], words)) for n in (x, y))
+            common = len(one & two)
+            if common and 100 * common >= percent * (len(one) + len(two) - common):
+                found.append((x, y))
+                root[root == max(root[x], root[y])] = min(root[x], root[y])
+            else:
+                wrong.append(k)
+        i, j = np.delete(i, wrong), np.delete(j, wrong)
+    return found
+
+
+def _cluster_links(words: int, percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        hashes = _WordHash()
+        cluster, doc, comp, tile = (table.column(c).to_numpy() for c in ("cluster", "rep", "comp", "tile"))
+        out = []
+        order = np.lexsort((doc, cluster))
+        for members in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+            texts = table.column("text").take(pa.array(members)).to_pylist()
+            side = tile[members] != tile[members].min()
+            out += [(int(doc[members[i]]), int(doc[members[j]])) for i, j in spanning_links(texts, comp[members], side, words, percent, hashes)]
+        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -170,6 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read.
     """
     spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scratch = Scratch(spark)
     with scratch:
@@ -214,10 +288,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mixed = spread.where("members > 2 and low < high").select("band", F.ceil(F.col("members") / TILE).alias("tiles"))
         rest = labelled.select("rep", "n_shingles", "comp", "sketch", F.explode("bands").alias("band")).join(mixed, "band")
         rest = rest.withColumn("tile", F.pmod(F.xxhash64("rep", "band"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-        groups = F.when(F.col("tiles") == 1, F.pmod("band", F.lit(64 * int(spark.conf.get("spark.sql.shuffle.partitions"))))).otherwise(F.col("band"))
+        groups = F.when(F.col("tiles") == 1, F.pmod("band", F.lit(64 * partitions))).otherwise(F.col("band"))
         rest = rest.select("band", "rep", "comp", "n_shingles", "sketch", "tile", groups.alias("g"), F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
-        more = rest.groupBy("g", "lo", "hi").applyInArrow(_grouped(_tile_pairs(percent)), "a long, b long").distinct()
-        more = scratch.cut(verified(more), "links")
+        likely = scratch.cut(rest.groupBy("g", "lo", "hi").applyInArrow(_likely(percent), "a long, b long"), "likely")
+        clusters = scratch.cut(connected_components(likely, scratch), "clusters").select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+        scratch.release()
+        sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_TILE).alias("tiles"))
+        held = clusters.join(labelled.select("rep", "comp"), "rep").join(sizes, "cluster").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+        held = held.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+        groups = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("cluster"), F.lit(16 * partitions))).otherwise(-1 - F.col("cluster").cast("long"))
+        held = held.select("cluster", "rep", "comp", "text", "tile", groups.alias("g"), F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
+        more = scratch.cut(held.groupBy("g", "lo", "hi").applyInArrow(_cluster_links(words, percent), "a long, b long"), "links")
         if not more.isEmpty():
             parts = connected_components(links.union(more), scratch)
         parts = scratch.keep(parts, "components")
@@ -225,13 +306,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = rows.select("doc_id", "n_shingles", "k1", "k2").join(member, ["k1", "k2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
-
-
-def _grouped(function):
-    """A generator of record batches as a grouped Arrow function."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(function(table.to_batches()), schema)
-
-    return run
