@@ -31,7 +31,7 @@ from tracewright.llm.common import slices
 
 MARK = "▁"
 #: Words whose paths a task keeps, and pairs of pieces whose weights it keeps.
-WORDS, PAIRS = 400_000, 2_000_000
+WORDS, PAIRS = 1_000_000, 2_000_000
 #: Kinds of pieces in a model file.
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _UNIGRAM, _BPE = 1, 2
@@ -62,12 +62,12 @@ class Transducer:
         self.byte_of = {i: bytes([b]) for b, i in self.byte.items()}
         self.unknown = next((i for i, p in enumerate(model.pieces) if p.type == _UNKNOWN), 0)
         self.hidden = {i for i, p in enumerate(model.pieces) if p.type not in (_NORMAL, _BYTE, _UNKNOWN)}
-        self.longest: dict[str, int] = {}  # of the pieces that start with a pair of characters
+        self.longest: dict[str, int] = {}  # of the pieces that start with three characters
         for piece in self.ids:
-            self.longest[piece[:2]] = max(self.longest.get(piece[:2], 0), len(piece))
+            self.longest[piece[:3]] = max(self.longest.get(piece[:3], 0), len(piece))
         self.crosses = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.floor = min(self.score.values(), default=0.0) - _PENALTY
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._pairs: dict[tuple[str | None, str], bool] = {}
         self._ends: dict[str, tuple[bool, list[str], list[str]]] = {}
 
     def normalise(self, text: str) -> str:
@@ -95,57 +95,63 @@ class Transducer:
             found = self._ends[piece] = (len(steps[-1]) == 1, list(dict.fromkeys(s[0] for s in steps)), list(dict.fromkeys(s[-1] for s in steps)))
         return found
 
-    def apart(self, a: str, b: str) -> bool:
-        """Whether merging keeps two neighbouring pieces apart: weight 0, or else infinity."""
-        pair = (a, b)
-        found = self._pairs.get(pair)
-        if found is None:
-            if len(self._pairs) > PAIRS:
-                self._pairs.clear()
-            score = self.score
-            found = True
-            if any(x + y in score for x in self._spine(a)[2] for y in self._spine(b)[1]):
-                last = list(a + b)
-                for symbols in self._merge(last):
-                    last = symbols
-                found = last == [a, b]
-            self._pairs[pair] = found
+    def apart(self, a: str | None, b: str) -> bool:
+        """Whether merging gives the piece ``b`` and keeps it apart from a piece before it: weight 0, or else infinity."""
+        if len(self._pairs) > PAIRS:
+            self._pairs.clear()
+        score = self.score
+        found = self._spine(b)[0]
+        if found and a is not None and any(x + y in score for x in self._spine(a)[2] for y in self._spine(b)[1]):
+            last = list(a + b)
+            for symbols in self._merge(last):
+                last = symbols
+            found = last == [a, b]
+        self._pairs[a, b] = found
         return found
 
-    def arcs(self, text: str, i: int) -> list[tuple[int, str | None]]:
+    def arcs(self, text: str, i: int) -> Iterator[tuple[int, str | None]]:
         """The (end, piece) that start at a position of the lattice, the longest first; no piece for a fallback."""
         ids = self.ids
-        out: list[tuple[int, str | None]] = [(j, text[i:j]) for j in range(min(len(text), i + self.longest.get(text[i : i + 2], 1)), i, -1) if text[i:j] in ids]
+        for j in range(min(len(text), i + self.longest.get(text[i : i + 3], 2)), i, -1):
+            if (piece := text[i:j]) in ids:
+                yield j, piece
         if text[i] not in ids:
-            out.append((i + 1, None))
-        return out
+            yield i + 1, None
 
     def path(self, text: str) -> list[str | None]:
         """The pieces of the shortest path over normalised text; None stands for one character in fallback."""
         n = len(text)
         if not self.merges:
-            return self._least([self.arcs(text, i) for i in range(n)], n)
+            return self._least([list(self.arcs(text, i)) for i in range(n)], n)
+        if not n:
+            return []
+        pairs, apart, arcs = self._pairs, self.apart, self.arcs
         dead: set[tuple[int, str | None]] = set()
         trail: list[str | None] = []
-        stack = [(0, None, iter(self.arcs(text, 0) if n else []))]
-        while stack:
-            at, last, rest = stack[-1]
-            if at == n:
-                return trail
+        at, last, rest = 0, None, arcs(text, 0)
+        stack = []
+        while True:
             for end, piece in rest:
-                if (end, piece) in dead:
-                    continue
-                if piece is not None and (not self._spine(piece)[0] or (last is not None and not self.apart(last, piece))):
+                if piece is not None:
+                    good = pairs.get((last, piece))
+                    if good is None:
+                        good = apart(last, piece)
+                    if not good:
+                        continue
+                if dead and (end, piece) in dead:
                     continue
                 trail.append(piece)
-                stack.append((end, piece, iter(self.arcs(text, end) if end < n else [])))
+                if end == n:
+                    return trail
+                stack.append((at, last, rest))
+                at, last, rest = end, piece, arcs(text, end)
                 break
             else:
                 dead.add((at, last))
-                stack.pop()
-                if trail:
-                    trail.pop()
-        return []
+                if not stack:
+                    return []
+                at, last, rest = stack.pop()
+                trail.pop()
 
     def _least(self, lattice: list[list[tuple[int, str | None]]], n: int) -> list[str | None]:
         weight: list[float] = [0.0] + [math.inf] * n
@@ -181,12 +187,18 @@ class Transducer:
         pattern = _WORDS if "\n" in self.ids else _LINES
         return pattern.findall(text)
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; their bytes are joined, and what is no UTF-8 becomes U+FFFD."""
-        raw = b"".join(self.byte_of[i] if i in self.byte_of else b"" if i in self.hidden else " ⁇ ".encode() if i == self.unknown else self.names[i].encode() for i in ids)
+    def raw(self, ids: list[int]) -> bytes:
+        """The bytes that ids stand for, with word marks; those of a text are the bytes of its parts."""
+        return b"".join(self.byte_of[i] if i in self.byte_of else b"" if i in self.hidden else " ⁇ ".encode() if i == self.unknown else self.names[i].encode() for i in ids)
+
+    def readable(self, raw: bytes) -> str:
+        """Bytes as text: what is no UTF-8 becomes U+FFFD, marks become spaces, the first one goes."""
         text = raw.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
+    def decode(self, ids: list[int]) -> str:
+        return self.readable(self.raw(ids))
+
 
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _LINES = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
@@ -198,16 +210,17 @@ def transducer(path: str) -> Transducer:
 
 
 class _Paths(dict):
-    """Word to the bytes of its ids."""
+    """Word to the bytes of its ids, and the bytes that these decode to."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.transducer = transducer
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: str) -> tuple[bytes, bytes]:
         if len(self) > WORDS:
             self.clear()
-        found = self[word] = np.array(self.transducer.encode_word(word), np.uint32).tobytes()
+        ids = self.transducer.encode_word(word)
+        found = self[word] = np.array(ids, np.uint32).tobytes(), self.transducer.raw(ids)
         return found
 
 
@@ -216,7 +229,7 @@ def _encode(path: str):
         machine = transducer(path)
         paths = _Paths(machine)
         for batch in slices(batches, "text"):
-            ids = [np.frombuffer(b"".join(map(paths.__getitem__, machine.words(t))), np.int32) if t is not None else None for t in batch.column("text").to_pylist()]
+            ids = [np.frombuffer(b"".join([paths[w][0] for w in machine.words(t)]), np.int32) if t is not None else None for t in batch.column("text").to_pylist()]
             kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
             yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(ids, pa.list_(pa.int32()))], names=[*(n for n, _ in kept), "ids"])
 
@@ -255,9 +268,10 @@ def _round_trip(path: str):
         for batch in slices(batches, "text"):
             rows = []
             for text in batch.column("text").to_pylist():
-                raw = b"".join(map(paths.__getitem__, machine.words(text or "")))
-                ids = np.frombuffer(raw, np.uint32)
-                rows.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(raw), machine.decode(ids.tolist()) == (text or "").replace(MARK, " ")))
+                found = [paths[w] for w in machine.words(text or "")]
+                packed, back = b"".join([p for p, _ in found]), b"".join([r for _, r in found])
+                ids = np.frombuffer(packed, np.uint32)
+                rows.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(packed), machine.readable(back) == (text or "").replace(MARK, " ")))
             n, fallback, crc, same = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fallback, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], names=["doc_id", "n_pieces", "n_bytes_fallback", "ids_crc32", "round_trip"])
 
