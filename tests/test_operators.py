@@ -222,3 +222,5 @@ def test_text_and_settings(spark):
     assert rows(settings.effective(jobs, '{"b": 0, "a": {"x": 0}}', projects)) == [("j", '{"a":{"x":1,"y":[2]},"b":0}'), ("k", '{"a":{"x":0},"b":0}')]
     hidden = spark.createDataFrame([('{"apiKey": "s", "keySecretRef": "env:X", "n": [{"password": 1}]}',)], "t string").select(settings.redact_json("t")).first()[0]
     assert hidden == '{"apiKey":"[redacted]","keySecretRef":"env:X","n":[{"password":"[redacted]"}]}'
+    docs = spark.createDataFrame([("1", '{"a-Token": 1, "token": "x", "n": [{"value": {"p": "<you>"}}, {"containsSecretValues": true, "secret": ""}]}'), ("2", "{")], "id string, j string")
+    assert rows(settings.findings(docs, "id", "j"), "path", "finding") == [("$.n[0].value", "secret"), ("$.n[0].value.p", "placeholder"), ("$.n[1].containsSecretValues", "flag"), ("$.token", "secret")]

@@ -71,3 +71,43 @@ def test_heartbeats_run_out(spark, tmp_path):
     query.stop()
     states = [(r.instance_id, r.state) for r in found]
     assert ("a", "active") in states and ("b", "active") in states and ("a", "stale") in states
+
+
+def png(pixels, kind=6, modes=None):
+    import struct
+    import zlib
+
+    import numpy as np
+
+    height, width, n = pixels.shape
+    lines = b""
+    for y in range(height):
+        mode, row = (modes or [0])[y % len(modes or [0])], pixels[y].astype(int)
+        left = np.vstack([np.zeros((1, n), int), row[:-1]])
+        up = pixels[y - 1].astype(int) if y else np.zeros((width, n), int)
+        corner = np.vstack([np.zeros((1, n), int), up[:-1]])
+        a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+        paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        guess = [0 * row, left, up, (left + up) // 2, paeth][mode]
+        lines += bytes([mode]) + ((row - guess) & 255).astype("u1").tobytes()
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def test_screenshots(spark):
+    import numpy as np
+
+    from tracewright.sources import images
+
+    rng = np.random.default_rng(1)
+    for kind, n in images.CHANNELS.items():
+        pixels = rng.integers(0, 256, (7, 5, n)).astype(np.uint8)
+        got = images.decode_png(png(pixels, kind, [0, 1, 2, 3, 4]))
+        assert (got[..., :3] == (pixels[..., :3] if n >= 3 else pixels[..., :1])).all() and (got[..., 3] == (pixels[..., -1] if n in (2, 4) else 255)).all()
+    one = np.zeros((4, 4, 4), np.uint8)
+    two = one.copy()
+    two[0, 0, 1], two[1, 1, 2] = 10, 11
+    pairs = [("same", png(one), png(one)), ("two", png(one), png(two)), ("size", png(one), png(one[:2])), ("bad", png(one), b"x"), ("none", None, None)]
+    df = spark.createDataFrame([(i, a and bytearray(a), b and bytearray(b)) for i, a, b in pairs], "id string, left binary, right binary")
+    got = {r.id: (r.status, r.changed, r.ratio) for r in images.pixel_differences(df, 10).collect()}
+    assert got == {"same": ("compared", 0, 0.0), "two": ("compared", 1, 1 / 16), "size": ("size_mismatch", None, None), "bad": ("unavailable", None, None), "none": ("unavailable", None, None)}

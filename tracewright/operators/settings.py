@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tracewright.operators.dedupe import keep_one
 
-# Parts of the names of settings that hold secrets.
-SECRET_PARTS = ["secret", "token", "password", "apikey", "api_key", "credential"]
+# Parts of the names of settings that hold secrets; names of values that no archive may hold, and the form of placeholders.
+SECRET_PARTS = ["apikey", "password", "credential", "token", "secret"]
+SECRET_NAMES = ["access_token", "accesstoken", "password", "private_key", "privatekey", "secret", "secret_access_key", "secret_value", "secretaccesskey", "secretvalue", "token", "value"]
+PLACEHOLDER = "<[^>]+>"
 
 
 def latest_settings(revisions: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -28,10 +31,53 @@ def merged(base, update):
 
 
 def hidden(value):
-    """Values of secret settings give way to a marker; references to secrets stay."""
-    if isinstance(value, dict):
-        return {k: "[redacted]" if any(p in k.lower() for p in SECRET_PARTS) and not k.lower().endswith("secretref") else hidden(v) for k, v in value.items()}
-    return [hidden(v) for v in value] if isinstance(value, list) else value
+    """Values of secret settings give way to a marker, empty ones excepted; references to secrets stay."""
+    if isinstance(value, list):
+        return [hidden(v) for v in value]
+    if not isinstance(value, dict):
+        return value
+    out = {}
+    for name, inner in value.items():
+        plain = name.lower().replace("_", "")
+        if not any(part in plain for part in SECRET_PARTS):
+            out[name] = hidden(inner)
+        else:
+            out[name] = inner if plain.endswith("secretref") or inner in (None, "", False) else "[redacted]"
+    return out
+
+
+FINDINGS = StructType([StructField("path", StringType()), StructField("finding", StringType())])
+
+
+@F.udtf(returnType=FINDINGS)
+class FindInJson:
+    """(path, finding) in a JSON text: named secrets, flags that secrets are held, and placeholders left in strings."""
+
+    def eval(self, text: str):
+        def walk(value, path: str, quiet: bool):
+            # Below a named secret only placeholders and flags are looked for.
+            if isinstance(value, dict):
+                for name, inner in value.items():
+                    plain = re.sub("[^a-z0-9_]", "", name.replace("-", "_").lower())
+                    secret = not quiet and plain in SECRET_NAMES and inner not in (None, "", False)
+                    if secret:
+                        yield f"{path}.{name}", "secret"
+                    if name == "containsSecretValues" and inner is True:
+                        yield f"{path}.{name}", "flag"
+                    yield from walk(inner, f"{path}.{name}", quiet or secret)
+            elif isinstance(value, list):
+                for i, inner in enumerate(value):
+                    yield from walk(inner, f"{path}[{i}]", quiet)
+            elif isinstance(value, str) and re.search(PLACEHOLDER, value):
+                yield path, "placeholder"
+
+        yield from walk(_load(text), "$", False)
+
+
+def findings(docs: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, path, finding) of the JSON documents in a column; what is no JSON has none."""
+    table = docs.select(F.col(key).alias("key"), F.col(json).alias("json"))
+    return table.lateralJoin(FindInJson(F.col("json").outer())).select(F.col("key").alias(key), "path", "finding")
 
 
 def _text(value) -> str:
