@@ -286,7 +286,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         scratch.release()
         spread = labelled.select("comp", F.explode("bands").alias("band")).groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"))
         mixed = spread.where("members > 2 and low < high").select("band", F.ceil(F.col("members") / TILE).alias("tiles"))
-        rest = labelled.select("rep", "n_shingles", "comp", "sketch", F.explode("bands").alias("band")).join(mixed, "band")
+        # Sketches join the few members of mixed buckets, not every band.
+        within = labelled.select("rep", F.explode("bands").alias("band")).join(mixed, "band")
+        rest = within.join(labelled.select("rep", "n_shingles", "comp", "sketch"), "rep")
         rest = rest.withColumn("tile", F.pmod(F.xxhash64("rep", "band"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
         groups = F.when(F.col("tiles") == 1, F.pmod("band", F.lit(64 * partitions))).otherwise(F.col("band"))
         rest = rest.select("band", "rep", "comp", "n_shingles", "sketch", "tile", groups.alias("g"), F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
