@@ -30,7 +30,7 @@ from tracewright.llm.common import Scratch, connected_components, forest, mix64,
 T, BANDS, BAND_ROWS = 512, 42, 6
 LEAST_EQUAL = int(0.71 * T)
 #: Members of a tile of a bucket, and of a cluster.
-TILE, CLUSTER_TILE = 256, 512
+TILE, CLUSTER_TILE = 1024, 512
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = mix64(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
