@@ -63,6 +63,19 @@ def test_a_shifted_recording_aligns(spark, recordings):
     assert chroma.align(chroma.fingerprints(df.limit(0))).collect() == []
 
 
+def test_short_recordings_have_items_and_meet_their_copies(spark):
+    words = "the quiet harbour kept seven lanterns burning while old sailors counted coins and argued about winter storms near the broken pier until morning came with gulls and salt on every wet rope".split()
+    text, other = " ".join(words), " ".join(reversed(words))[:170]
+    near = text.replace("coins", "stamps")
+    rows = [(50, text), (1, near), (2, other), (100, "ok"), (3, "ok"), (150, "x"), (200, words[0] * 400), (4, words[0] * 400 + "!"), (5, "")]
+    df = spark.createDataFrame([(i, t.encode()) for i, t in rows], "doc_id long, samples binary")
+    got = {r.doc_id: r for r in chroma.align(chroma.fingerprints(df)).collect()}
+    assert all((got[i].n_items >= chroma.OVERLAP) == (t != "") for i, t in rows)
+    assert got[50].match_id == 1 and got[50].n_matches == 1 and got[50].bit_error < 0.1
+    assert (got[100].match_id, got[100].bit_error, got[100].match_offset) == (3, 0.0, 0)
+    assert got[200].match_id == 4 and got[150].n_matches is not None
+
+
 PRIVATE = [
     (1, "Call +1 (017) 555-7713 or 017-555-7713."),
     (2, "ann.lee@mail7.example.com and ANN.LEE@mail7.example.com, bob@mail7.example.com"),

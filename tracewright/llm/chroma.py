@@ -8,6 +8,10 @@ To align a query with a recording, equal items vote for their offset. The offset
 bits that differ over the overlap, as a share, is the bit error. A recording matches with at least ``VOTES`` votes, ``OVERLAP`` items and a bit
 error of at most ``BIT_ERROR``.
 
+A recording of less than ``WHOLE`` samples would have fewer than ``OVERLAP`` items. ``SILENCE`` at its own level goes before and after it, so that its first
+item hears its first ``HOP`` samples, its last one the last, and every recording but the empty one has ``OVERLAP`` items. ``EDGE`` of its items come from the
+silence; the least number of votes is the number of its others where that is smaller than ``VOTES``, and never below one.
+
 Recordings with equal items are one class, searched once. Queries are a stated set: they meet all classes in blocks of bounded
 size, and a block sends on one row for each query with its number of matches and the best of them.
 """
@@ -30,6 +34,9 @@ RATE, FRAME, HOP = 8000, 512, 64
 #: Frames that an item looks at.
 SPAN = 16
 VOTES, OVERLAP, BIT_ERROR = 3, 8, 0.15
+#: Samples from which a recording is taken as it is; silence on either side of a shorter one, and the items which that adds.
+WHOLE, SILENCE = FRAME + (SPAN + OVERLAP - 2) * HOP, FRAME + (SPAN - 2) * HOP
+EDGE = (2 * SILENCE - FRAME) // HOP - SPAN + 2
 #: Items in a block, frames transformed at once, votes counted at once.
 BLOCK, FRAMES, COUNTED = 1 << 20, 2048, 1 << 21
 #: (kind, first pitch class, pitch classes, frames) of each filter, by a rule that spreads them.
@@ -100,24 +107,32 @@ def items(frames: np.ndarray) -> np.ndarray:
     return out
 
 
+def padded(samples: np.ndarray) -> np.ndarray:
+    """A recording with silence around it, if it is short and not empty."""
+    if not 0 < len(samples) < WHOLE:
+        return samples
+    silence = np.full(SILENCE, round(samples.mean()), samples.dtype)
+    return np.concatenate([silence, samples, silence])
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "samples"):
         rows = []
         for samples in batch.column("samples").to_pylist():
-            frames = pitch_frames(np.frombuffer(samples or b"", np.uint8))
+            frames = pitch_frames(padded(np.frombuffer(samples or b"", np.uint8)))
             found = items(frames)
-            rows.append((len(frames), len(found), found.astype("<u4").tobytes()))
-        n_frames, n_items, packed = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_frames, pa.int64()), pa.array(n_items, pa.int64()), pa.array(packed, pa.binary()), pa.array([zlib.crc32(p) for p in packed], pa.int64())], names=["doc_id", "n_frames", "n_items", "items", "items_crc32"])
+            rows.append((len(samples or b""), len(frames), len(found), found.astype("<u4").tobytes()))
+        n_samples, n_frames, n_items, packed = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_samples, pa.int64()), pa.array(n_frames, pa.int64()), pa.array(n_items, pa.int64()), pa.array(packed, pa.binary()), pa.array([zlib.crc32(p) for p in packed], pa.int64())], names=["doc_id", "n_samples", "n_frames", "n_items", "items", "items_crc32"])
 
 
 def fingerprints(recordings: DataFrame, id_col: str = "doc_id", samples_col: str = "samples") -> DataFrame:
-    """doc_id, n_frames, n_items, items (little-endian 32-bit), items_crc32 of each row of unsigned 8-bit samples at RATE.
+    """doc_id, n_samples, n_frames, n_items, items (little-endian 32-bit), items_crc32 of each row of unsigned 8-bit samples at RATE.
 
-    Null and short recordings have no items. No row depends on another.
+    Null and empty recordings have no items; frames and items of short ones are those of the padded recording. No row depends on another.
     """
     source = recordings.select(F.col(id_col).cast("long").alias("doc_id"), F.col(samples_col).cast("binary").alias("samples"))
-    return source.mapInArrow(_fingerprints, "doc_id long, n_frames long, n_items long, items binary, items_crc32 long")
+    return source.mapInArrow(_fingerprints, "doc_id long, n_samples long, n_frames long, n_items long, items binary, items_crc32 long")
 
 
 def _votes(query: np.ndarray, values: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +157,7 @@ def _votes(query: np.ndarray, values: np.ndarray, place: np.ndarray, width: int)
 
 def _align(recordings: pa.Table, queries: pa.Table) -> pa.Table:
     schema = pa.schema([("query", pa.int64()), ("n", pa.int64()), ("bit_error", pa.float64()), ("overlap", pa.int64()), ("rep", pa.int64()), ("offset", pa.int64())])
-    ids, members = recordings.column("rep").to_numpy(), recordings.column("members").to_numpy()
+    ids, members, least = (recordings.column(c).to_numpy() for c in ("rep", "members", "least"))
     parts = [np.frombuffer(x, "<u4") for x in recordings.column("items").to_pylist()]
     rows = []
     if parts and queries.num_rows:
@@ -154,7 +169,7 @@ def _align(recordings: pa.Table, queries: pa.Table) -> pa.Table:
         order = np.argsort(everything, kind="stable")
         owner = np.repeat(np.arange(len(parts)), sizes)
         values, place = everything[order], (owner * width + longest + np.arange(len(everything)) - begins[owner])[order]
-        for query, own in zip(wanted, queries.column("rep").to_pylist(), strict=True):
+        for query, own, asks in zip(wanted, queries.column("rep").to_pylist(), queries.column("least").to_pylist(), strict=True):
             keys, votes = _votes(query, values, place, width)
             best = np.lexsort((keys, -votes, keys // width))
             doc = keys[best] // width
@@ -163,7 +178,7 @@ def _align(recordings: pa.Table, queries: pa.Table) -> pa.Table:
             offset = keys[best] % width - longest
             start = np.maximum(0, -offset)
             overlap = np.minimum(len(query), sizes[doc] - offset) - start
-            good = (votes[best] >= VOTES) & (overlap >= OVERLAP) & (ids[doc] != own)
+            good = (votes[best] >= np.minimum(least[doc], asks)) & (overlap >= OVERLAP) & (ids[doc] != own)
             doc, offset, start, overlap = doc[good], offset[good], start[good], overlap[good]
             differ = []
             for i in range(0, len(doc), 4096):
@@ -191,14 +206,15 @@ def align(prints: DataFrame, every: int = 50) -> DataFrame:
     none = F.lit(None)
     with Scratch(spark) as scratch:
         rows = scratch.keep(prints, "prints")
-        some = rows.where("n_items > 0 and doc_id is not null")
-        classes = scratch.keep(some.groupBy("items").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"), F.max((F.col("doc_id") % every == 0).cast("int")).alias("asked")), "classes")
+        votes = F.when(F.col("n_samples") < WHOLE, F.greatest(F.lit(1), F.least(F.lit(VOTES), F.col("n_items") - EDGE))).otherwise(VOTES)
+        some = rows.where("n_items > 0 and doc_id is not null").withColumn("least", votes.cast("long"))
+        classes = scratch.keep(some.groupBy("items").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"), F.max((F.col("doc_id") % every == 0).cast("int")).alias("asked"), F.min("least").alias("least")), "classes")
         n = classes.agg(F.sum(F.length("items") / 4), F.sum(F.when(F.col("asked") == 1, F.length("items") / 4))).first()
         n_blocks, n_asking = (max(1, math.ceil((x or 0) / BLOCK)) for x in n)
         block = lambda k, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.lit(k))
         each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
-        left = classes.select(block(n_blocks, 1).alias("b"), each(n_asking).alias("q"), "rep", "members", "items")
-        right = classes.where("asked = 1").select(each(n_blocks).alias("b"), block(n_asking, 2).alias("q"), "rep", "items")
+        left = classes.select(block(n_blocks, 1).alias("b"), each(n_asking).alias("q"), "rep", "members", "least", "items")
+        right = classes.where("asked = 1").select(each(n_blocks).alias("b"), block(n_asking, 2).alias("q"), "rep", "least", "items")
         found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(_align, "query long, n long, bit_error double, overlap long, rep long, offset long")
         best = F.min(F.struct("bit_error", (-F.col("overlap")).alias("less"), "rep", "offset")).alias("m")
         found = scratch.keep(found.groupBy("query").agg(F.sum("n").alias("n"), best).select("query", "n", "m.*"), "found")
