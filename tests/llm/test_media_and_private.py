@@ -76,6 +76,37 @@ def test_short_recordings_have_items_and_meet_their_copies(spark):
     assert got[200].match_id == 4 and got[150].n_matches is not None
 
 
+def test_every_matching_class_and_shared_passages(spark):
+    noise = lambda seed, n: np.random.default_rng(seed).integers(0, 256, n).astype(np.uint8).tobytes()
+    song, passage = tone(2, 0, 4, 7, 9, 2), noise(1, 64 * 90)
+    near = [bytes([128 + (x - 128) * (40 - i) // 40 for x in song]) for i in range(1, 11)]
+    long, other = noise(2, 64 * 300) + passage + noise(3, 64 * 200), noise(4, 64 * 100) + passage + noise(5, 64 * 350)
+    rows = [(50, song), (1, song), *((10 + i, x) for i, x in enumerate(near)), (100, long), (2, other), (3, other), (150, noise(6, 64 * 500))]
+    df = spark.createDataFrame(rows, "doc_id long, samples binary")
+    got = {r.doc_id: r for r in chroma.align(chroma.fingerprints(df)).collect()}
+    classes = {m.class_id: m for m in got[50].matches}
+    assert {got[i].class_id for i, _ in rows[:12]} == set(classes) and len(got[50].matches) == len(classes) > 5
+    assert got[50].class_id == got[1].class_id == 1 == got[50].match_id and classes[1].whole and classes[1].bit_error == 0
+    found = next(m for m in got[100].matches if m.class_id == 2)
+    assert (found.whole, got[100].n_matches, got[100].match_id) == (False, 0, None) and abs(found.offset + 200) <= 1
+    assert found.start <= 300 and found.start + found.overlap >= 300 + 64 and found.overlap < 130 and found.bit_error <= chroma.BIT_ERROR
+    assert 2 not in {m.class_id for m in got[150].matches} and got[3].matches is None and got[3].class_id == 2
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_best_runs_equal_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    widths = rng.integers(1, 30, 40)
+    bits = rng.choice([0, 1, 3, 9, 14], widths.sum())
+    got, begin = list(zip(*chroma._runs(bits, widths), strict=True)), 0
+    for w, (first, n, wrong, equal) in zip(widths, got, strict=True):
+        part = bits[begin : begin + w]
+        begin += w
+        worth = lambda i, j: 480 * (j - i) - 100 * int(part[i:j].sum())  # noqa: B023, E731
+        assert worth(first, first + n) == max(0, *(worth(i, j) for i in range(w) for j in range(i, w + 1)))
+        assert (wrong, equal) == (part[first : first + n].sum(), (part[first : first + n] == 0).sum())
+
+
 PRIVATE = [
     (1, "Call +1 (017) 555-7713 or 017-555-7713."),
     (2, "ann.lee@mail7.example.com and ANN.LEE@mail7.example.com, bob@mail7.example.com"),

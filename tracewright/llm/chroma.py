@@ -10,10 +10,15 @@ error of at most ``BIT_ERROR``.
 
 A recording of less than ``WHOLE`` samples would have fewer than ``OVERLAP`` items. ``SILENCE`` at its own level goes before and after it, so that its first
 item hears its first ``HOP`` samples, its last one the last, and every recording but the empty one has ``OVERLAP`` items. ``EDGE`` of its items come from the
-silence; the least number of votes is the number of its others where that is smaller than ``VOTES``, and never below one.
+silence; the least number of votes is the number of its others where that is smaller than ``VOTES``, and never below one. As silence equals silence, a pair with a short recording may
+differ in half of ``BIT_ERROR`` only.
+
+Besides, every offset with enough votes is tested for a passage: the run of items along it for which the sum of ``BIT_ERROR`` less the bit error
+is greatest. It counts with at least ``OVERLAP`` items (``EDGE`` more if one of the two is padded) and enough equal items in it, so recordings that
+share one passage only meet as well.
 
 Recordings with equal items are one class, searched once. Queries are a stated set: they meet all classes in blocks of bounded
-size, and a block sends on one row for each query with its number of matches and the best of them.
+size, and a block sends on one row for each query with every class that it matches there.
 """
 
 from __future__ import annotations
@@ -155,9 +160,33 @@ def _votes(query: np.ndarray, values: np.ndarray, place: np.ndarray, width: int)
     return keys, votes
 
 
+def _runs(bits: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first item, items, differing bits, equal items) of the best run in each of the segments of ``widths`` items in ``bits``."""
+    n = len(widths)
+    starts, ends = np.cumsum(widths) - widths, np.cumsum(widths)
+    sums = np.append(0, np.cumsum(bits))
+    equal = np.append(0, np.cumsum(bits == 0))
+    # Prefix sums of each segment, from 0; a later segment lies below all earlier ones, so that one running minimum serves all.
+    at = np.arange(len(bits) + n) - np.repeat(np.arange(n), widths + 1)
+    begin = np.repeat(starts, widths + 1)
+    worth = round(3200 * BIT_ERROR) * (at - begin) - 100 * (sums[at] - sums[begin])
+    level = worth - np.repeat(np.arange(n), widths + 1) * (2 * int(np.abs(worth).max()) + 1)
+    low = np.minimum.accumulate(level)
+    lowest = np.maximum.accumulate(np.where(np.append(True, low[1:] < low[:-1]), np.arange(len(level)), 0))
+    gain = level - low
+    heads = starts + np.arange(n)
+    top = np.flatnonzero(gain == np.repeat(np.maximum.reduceat(gain, heads), widths + 1))
+    last = top[np.searchsorted(top, heads)]
+    first = at[lowest[last]]
+    last = at[last]
+    return first - starts, last - first, sums[last] - sums[first], equal[last] - equal[first]
+
+
 def _align(recordings: pa.Table, queries: pa.Table) -> pa.Table:
-    schema = pa.schema([("query", pa.int64()), ("n", pa.int64()), ("bit_error", pa.float64()), ("overlap", pa.int64()), ("rep", pa.int64()), ("offset", pa.int64())])
+    match = pa.struct([("class_id", pa.int64()), ("start", pa.int64()), ("offset", pa.int64()), ("overlap", pa.int64()), ("bit_error", pa.float64()), ("whole", pa.bool_())])
+    schema = pa.schema([("query", pa.int64()), ("n", pa.int64()), ("bit_error", pa.float64()), ("overlap", pa.int64()), ("rep", pa.int64()), ("offset", pa.int64()), ("matches", pa.list_(match))])
     ids, members, least = (recordings.column(c).to_numpy() for c in ("rep", "members", "least"))
+    short = recordings.column("short").to_numpy()
     parts = [np.frombuffer(x, "<u4") for x in recordings.column("items").to_pylist()]
     rows = []
     if parts and queries.num_rows:
@@ -169,61 +198,87 @@ def _align(recordings: pa.Table, queries: pa.Table) -> pa.Table:
         order = np.argsort(everything, kind="stable")
         owner = np.repeat(np.arange(len(parts)), sizes)
         values, place = everything[order], (owner * width + longest + np.arange(len(everything)) - begins[owner])[order]
-        for query, own, asks in zip(wanted, queries.column("rep").to_pylist(), queries.column("least").to_pylist(), strict=True):
+        for query, own, asks, brief in zip(wanted, *(queries.column(c).to_pylist() for c in ("rep", "least", "short")), strict=True):
             keys, votes = _votes(query, values, place, width)
             best = np.lexsort((keys, -votes, keys // width))
             doc = keys[best] // width
-            first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, int)
-            best, doc = best[first], doc[first]
+            top = np.append(True, doc[1:] != doc[:-1])[: len(doc)]
             offset = keys[best] % width - longest
             start = np.maximum(0, -offset)
             overlap = np.minimum(len(query), sizes[doc] - offset) - start
-            good = (votes[best] >= np.minimum(least[doc], asks)) & (overlap >= OVERLAP) & (ids[doc] != own)
-            doc, offset, start, overlap = doc[good], offset[good], start[good], overlap[good]
-            differ = []
-            for i in range(0, len(doc), 4096):
-                d, o, s, w = doc[i : i + 4096], offset[i : i + 4096], start[i : i + 4096], overlap[i : i + 4096]
+            enough = np.minimum(least[doc], asks)
+            good = (votes[best] >= enough) & (overlap >= OVERLAP) & (ids[doc] != own)
+            doc, offset, start, overlap, enough, top = (x[good] for x in (doc, offset, start, overlap, enough, top))
+            calm = short[doc] | brief
+            shortest, limit = OVERLAP + EDGE * calm, np.where(calm, BIT_ERROR / 2, BIT_ERROR)
+            error, run = np.zeros(len(doc)), np.zeros((4, len(doc)), np.int64)
+            ends = np.cumsum(overlap)
+            i = 0
+            while i < len(doc):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + COUNTED, side="right")))
+                d, o, s, w = doc[i:j], offset[i:j], start[i:j], overlap[i:j]
                 step = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-                bits = np.bitwise_count(query[np.repeat(s, w) + step] ^ everything[np.repeat(begins[d] + s + o, w) + step])
-                differ.append(np.add.reduceat(bits.astype(np.int64), np.cumsum(w) - w) / (32 * w))
-            error = np.concatenate(differ) if differ else np.zeros(0)
-            match = np.flatnonzero(error <= BIT_ERROR)
-            if len(match):
-                top = match[np.lexsort((ids[doc[match]], -overlap[match], error[match]))[0]]
-                rows.append((own, int(members[doc[match]].sum()), float(error[top]), int(overlap[top]), int(ids[doc[top]]), int(offset[top])))
-    columns = zip(*rows, strict=True) if rows else [[]] * 6
+                bits = np.bitwise_count(query[np.repeat(s, w) + step] ^ everything[np.repeat(begins[d] + s + o, w) + step]).astype(np.int64)
+                error[i:j] = np.add.reduceat(bits, np.cumsum(w) - w) / (32 * w)
+                run[:, i:j] = _runs(bits, w)
+                i = j
+            whole = top & (error <= limit)
+            passage = (run[1] >= shortest) & (run[3] >= enough) & (run[2] <= limit * 32 * run[1])
+            found = np.flatnonzero(whole | passage)
+            if len(found):
+                begin = np.where(whole, start, start + run[0])[found]
+                length = np.where(whole, overlap, run[1])[found]
+                wrong = np.where(whole, error, run[2] / np.maximum(32 * run[1], 1))[found]
+                doc, offset, whole = doc[found], offset[found], whole[found]
+                # One match for each class: the whole overlap, or else the longest passage.
+                order = np.lexsort((offset, wrong, -length, ~whole, doc))
+                order = order[np.append(True, doc[order][1:] != doc[order][:-1])]
+                listed = [dict(zip(match.names, x, strict=True)) for x in zip(ids[doc[order]].tolist(), begin[order].tolist(), offset[order].tolist(), length[order].tolist(), wrong[order].tolist(), whole[order].tolist(), strict=True)]
+                best = np.flatnonzero(whole)
+                n = int(members[doc[best]].sum())
+                best = best[np.lexsort((ids[doc[best]], -length[best], wrong[best]))[:1]]
+                rows.append((own, n, *(x[best].tolist()[0] if len(best) else None for x in (wrong, length, ids[doc], offset)), listed))
+    columns = zip(*rows, strict=True) if rows else [[]] * 7
     return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+MATCHES = "array<struct<class_id: bigint, start: bigint, offset: bigint, overlap: bigint, bit_error: double, whole: boolean>>"
+
+
 def align(prints: DataFrame, every: int = 50) -> DataFrame:
-    """One row per row of ``prints`` (of ``fingerprints``): its columns but items, and for queries their matches.
+    """One row per row of ``prints`` (of ``fingerprints``): its columns but n_samples and items, its class, and for queries their matches.
+
+    class_id is the least id of the recordings with equal items (null without items, and where all their ids are null). ``matches`` holds all classes that a
+    query matches, first its own if others are in it and then by id: class_id, start (the query's first item in the match), offset, overlap (items), bit_error,
+    and whole, which is false where only a passage matches. Recordings of a class are those with its class_id. The other columns sum up whole matches.
 
-    Queries are the rows whose id is divisible by ``every``, with items; others have null in n_matches (recordings that match, itself
+    Queries are the rows whose id is divisible by ``every``, with items; others have null in all of these: n_matches (recordings that match, itself
     not), match_id (the one of least bit error, then longest overlap, then least id), match_offset (items of the match before the
     query's first), match_overlap and bit_error. Null ids neither query nor match. Rows that repeat an id are recordings of their own.
     """
     spark = prints.sparkSession
-    none = F.lit(None)
     with Scratch(spark) as scratch:
         rows = scratch.keep(prints, "prints")
         votes = F.when(F.col("n_samples") < WHOLE, F.greatest(F.lit(1), F.least(F.lit(VOTES), F.col("n_items") - EDGE))).otherwise(VOTES)
-        some = rows.where("n_items > 0 and doc_id is not null").withColumn("least", votes.cast("long"))
-        classes = scratch.keep(some.groupBy("items").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"), F.max((F.col("doc_id") % every == 0).cast("int")).alias("asked"), F.min("least").alias("least")), "classes")
+        some = rows.where("n_items > 0 and doc_id is not null").withColumn("least", votes.cast("long")).withColumn("short", F.col("n_samples") < WHOLE)
+        classes = scratch.keep(some.groupBy("items").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"), F.max((F.col("doc_id") % every == 0).cast("int")).alias("asked"), F.min("least").alias("least"), F.max("short").alias("short")), "classes")
         n = classes.agg(F.sum(F.length("items") / 4), F.sum(F.when(F.col("asked") == 1, F.length("items") / 4))).first()
         n_blocks, n_asking = (max(1, math.ceil((x or 0) / BLOCK)) for x in n)
         block = lambda k, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.lit(k))
         each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
-        left = classes.select(block(n_blocks, 1).alias("b"), each(n_asking).alias("q"), "rep", "members", "least", "items")
-        right = classes.where("asked = 1").select(each(n_blocks).alias("b"), block(n_asking, 2).alias("q"), "rep", "least", "items")
-        found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(_align, "query long, n long, bit_error double, overlap long, rep long, offset long")
-        best = F.min(F.struct("bit_error", (-F.col("overlap")).alias("less"), "rep", "offset")).alias("m")
-        found = scratch.keep(found.groupBy("query").agg(F.sum("n").alias("n"), best).select("query", "n", "m.*"), "found")
+        left = classes.select(block(n_blocks, 1).alias("b"), each(n_asking).alias("q"), "rep", "members", "least", "short", "items")
+        right = classes.where("asked = 1").select(each(n_blocks).alias("b"), block(n_asking, 2).alias("q"), "rep", "least", "short", "items")
+        found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(_align, f"query long, n long, bit_error double, overlap long, rep long, offset long, matches {MATCHES}")
+        best = F.min(F.when(F.col("bit_error").isNotNull(), F.struct("bit_error", (-F.col("overlap")).alias("less"), "rep", "offset"))).alias("m")
+        listed = F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches")
+        found = scratch.keep(found.groupBy("query").agg(F.sum("n").alias("n"), best, listed).select("query", "n", "matches", "m.*"), "found")
     asking = some.where(F.col("doc_id") % every == 0).select("doc_id", "items", "n_items").distinct()
     twins = some.join(classes.where("members > 1").select("items", "rep"), "items").where("doc_id > rep").groupBy("rep").agg(F.min("doc_id").alias("next"))
     other = F.when(F.col("members") > 1, F.when(F.col("doc_id") == F.col("rep"), F.coalesce("next", "rep")).otherwise(F.col("rep")))
     known = asking.join(classes, "items").join(twins, "rep", "left").withColumn("twin", other).select("doc_id", "items", F.col("n_items").alias("length"), "rep", "members", "twin")
-    known = known.join(found.select("query", "n", F.col("bit_error").alias("e"), "less", F.col("rep").alias("found"), "offset"), F.col("rep") == F.col("query"), "left")
+    known = known.join(found.select("query", "n", "matches", F.col("bit_error").alias("e"), "less", F.col("rep").alias("found"), "offset"), F.col("rep") == F.col("query"), "left")
     twin = F.col("twin").isNotNull()
+    own = F.struct(F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("overlap"), F.lit(0.0).alias("bit_error"), F.lit(True).alias("whole"))
     known = known.select(
         "doc_id",
         "items",
@@ -232,10 +287,12 @@ def align(prints: DataFrame, every: int = 50) -> DataFrame:
         F.when(twin, F.lit(0).cast("long")).otherwise(F.col("offset")).alias("match_offset"),
         F.when(twin, F.col("length")).otherwise(-F.col("less")).alias("match_overlap"),
         F.when(twin, F.lit(0.0)).otherwise(F.col("e")).alias("bit_error"),
+        F.concat(F.when(twin, F.array(own)).otherwise(F.array().cast(MATCHES)), F.coalesce("matches", F.array().cast(MATCHES))).alias("matches"),
     )
     asked = F.coalesce((F.col("doc_id") % every == 0) & (F.col("n_items") > 0), F.lit(False))
-    base = ["doc_id", "n_frames", "n_items", "items_crc32"]
-    extra = ["n_matches", "match_id", "match_offset", "match_overlap", "bit_error"]
+    base = ["doc_id", "n_frames", "n_items", "items_crc32", "class_id"]
+    extra = {"n_matches": "long", "match_id": "long", "match_offset": "long", "match_overlap": "long", "bit_error": "double", "matches": MATCHES}
+    rows = rows.join(classes.select("items", F.col("rep").alias("class_id")), "items", "left")
     queries = rows.where(asked).join(known, ["doc_id", "items"]).select(*base, *extra)
-    rest = rows.where(~asked).select(*base, *[none.cast("double" if c == "bit_error" else "long").alias(c) for c in extra])
+    rest = rows.where(~asked).select(*base, *[F.lit(None).cast(kind).alias(c) for c, kind in extra.items()])
     return queries.unionByName(rest)
