@@ -71,6 +71,19 @@ def test_assignment_is_balanced_and_full():
     assert packing.assign([], 1024) == []
 
 
+def test_repeated_ids_leave_texts_of_both_labels(spark):
+    rows = [(i, f"{'junk !!! 000' if i % 2 else 'a calm and quiet harbour'} {i}") for i in range(20)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    once = quality.train(frame(spark, rows), labels, per_class=10)
+    hot = [(1, rows[1][1])] * 60
+    for repeated in (rows * 5, rows + hot):
+        model = quality.train(frame(spark, repeated), labels, per_class=10)
+        assert sorted(model.labels) == [0] * 10 + [1] * 10 == sorted(once.labels)
+        assert np.allclose(model.vectors @ model.vectors.T, once.vectors @ once.vectors.T, atol=1e-4) and (model.votes == 1).all()
+    apart = quality.train(frame(spark, [*rows, (0, "zzz"), (0, "yyy")]), labels, per_class=10)
+    assert len(apart.labels) == 20
+
+
 def test_transducer_agrees_with_the_library():
     library, machine = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.Transducer(MODEL)
     rng = np.random.default_rng(3)

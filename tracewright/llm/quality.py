@@ -137,7 +137,7 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
     """A model from the texts of ``docs`` with a label of 0 or 1 in ``labels``.
 
-    Ids with several labels count if they agree. Null ids, texts and labels are left out. Without labelled texts every score is
+    Ids with several labels count if they agree, and of the texts of an id the least counts. Null ids, texts and labels are left out. Without labelled texts every score is
     the share of label 1, or 0.5 where there is none.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("high"))
@@ -151,10 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     if chosen is None:
         return Model(np.zeros((0, TERMS)), np.zeros(0), totals)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    # At most 2 * per_class ids.
-    sample = texts.join(F.broadcast(chosen), "id").select(F.col("label").cast("int").alias("label"), "text")
+    # One text for each of at most 2 * per_class ids, however many rows an id has.
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).select(F.col("label").cast("int").alias("label"), "text")
     rows = sample.mapInArrow(_term_rows, "label int, terms binary, counts binary").collect()
-    rows = sorted(rows, key=lambda r: (r.label, bytes(r.terms), bytes(r.counts)))[: 4 * per_class]
+    rows = sorted(rows, key=lambda r: (r.label, bytes(r.terms), bytes(r.counts)))
     counts = np.zeros((len(rows), TERMS), np.float32)
     for i, row in enumerate(rows):
         counts[i, np.frombuffer(row.terms, np.uint16)] = np.frombuffer(row.counts, np.float32)
