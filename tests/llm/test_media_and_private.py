@@ -171,6 +171,20 @@ def test_clashing_surrogates_are_drawn_again(spark):
     assert surrogates.replace_private(empty(spark), "key").collect() == []
 
 
+def test_matches_without_digits_imply_a_hint(spark):
+    some = {
+        "email": "ann@mail.example", "iban": "DE89370400440532013000", "ip": "97.51.17.173", "ssn": "123-45-6789", "phone": "017-555-7713", "card": "4444333322221111",
+        "person": "Frau Klein", "key": "sk-AbCdEfGhIjKlMnOpQrStUv", "hex": "abcdef" * 6,
+    }
+    more = ["AKIA" + "ABCDEFGHIJKLMNOP", *(f"gh{c}_" + "aBcDeF" * 6 for c in "pousr"), "ABCDEF" * 6, "the secret is sk-AbCdEfGhIjKlMnOpQrStUv and nobody knows"]
+    more += [f"{t} Klein" for t in surrogates.MALE_TITLES + surrogates.FEMALE_TITLES]
+    assert set(some) == set(surrogates.PATTERNS)
+    rows = list(enumerate([*some.values(), *more]))
+    got = {r.doc_id: r for r in surrogates.replace_private(frame(spark, rows), "key").collect()}
+    for i, text in rows:
+        assert got[i].n_entities == 1 and got[i].text != text, text
+
+
 def test_surrogates_run_no_python(spark):
     plan = surrogates.replace_private(frame(spark, PRIVATE), "key")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
