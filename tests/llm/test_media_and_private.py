@@ -185,6 +185,20 @@ def test_matches_without_digits_imply_a_hint(spark):
         assert got[i].n_entities == 1 and got[i].text != text, text
 
 
+def test_phone_layouts(spark):
+    phones = ["+14155550123", "415 555 0123", "1-800-555-0199", "1 800 555 0199", "+49 30 123456", "+33 1 42 68 53 00", "+44 (0)20 7946 0958", "+1 415.555.0123", "+1 (017) 555-7713", "(017) 555-7713", "017.555.7713", "+4915112345678", "1 (415) 555-0123"]
+    rows = [*enumerate(f"call {p}, today" for p in phones), (100, "in 2024 +5 of 100 200 and 1 000 000 or 3.141592"), (101, "card 123 456 7890 1234")]
+    got = {r.doc_id: r for r in surrogates.replace_private(frame(spark, rows), "key").collect()}
+    shape = lambda t: re.sub(r"\d", "9", t)
+    for i, text in rows[: len(phones)]:
+        assert got[i].n_entities == 1 and got[i].text != text and shape(got[i].text) == shape(text), text
+    for i, code in ((0, "+1"), (4, "+49 "), (5, "+33 "), (6, "+44 ("), (11, "+49")):
+        assert got[i].text.startswith(f"call {code}")
+    own = lambda i: re.sub(r"\D", "", got[i].text)[-10:]
+    assert own(0) == own(1) == own(7) == own(12) and own(2) == own(3) and own(8) == own(9) == own(10)
+    assert got[100].n_entities == 0 and got[101].n_entities == 1 and luhn(got[101].text) == luhn("1234567890 1234")
+
+
 def test_surrogates_run_no_python(spark):
     plan = surrogates.replace_private(frame(spark, PRIVATE), "key")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -5,6 +5,11 @@ and script, with card and account numbers of the same checksum state, addresses
 title) and script. A surrogate is derived from a secret key and the normalised entity, so that an entity has the same one in every
 document and every way of writing it, and nobody without the key can go back.
 
+Detected are e-mail addresses, account numbers (IBAN), keys that begin with AKIA, gh?_ or sk-, hexadecimal runs of 32 to 128 digits, IPv4 addresses, numbers
+written as 123-45-6789, card numbers of 13 to 19 digits, phone numbers (with a plus, 7 to 15 digits with single separators; with an area code in
+parentheses; of ten digits in groups of 3, 3 and 4, also after a 1), and names of one or two words after one of the fourteen titles below. Names without a
+title, other national phone layouts, digits of other alphabets, postal addresses, IPv6 and other secrets are not.
+
 Distinct entities may draw the same surrogate, or one that is itself an entity of the corpus. All distinct entities are checked
 for that; of those that clash all but the smallest draw again, until none does. Most documents then need no lookup at all: only
 entities that drew again are joined to the documents that hold them.
@@ -49,11 +54,16 @@ PATTERNS = {
     "hex": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
     "ssn": r"(?<![\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|(?<![\p{L}\p{N}.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{N}-])",
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|(?<![\p{L}\p{N}.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{N}-])"
+    # With a plus, 7 to 15 digits; national ones with spaces or a leading 1, unless a card number of more digits goes on.
+    + r"|(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?\(\d{1,4}\)(?:[ .-]?\d){4,12}(?!\d)|(?<![\p{L}\p{N}+])\+[1-9](?:[ .-]?\d){6,14}(?!\d)"
+    + r"|(?<![\p{L}\p{N}.+-])1[ .-]?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\p{N}-])(?!(?:[ -]?\d){2,8}(?!\d))|(?<![\p{L}\p{N}.+-])\d{3} \d{3}[ .-]\d{4}(?![\p{N}-])(?!(?:[ -]?\d){3,9}(?!\d))",
     "card": r"(?<![\p{N}])(?:\d[ -]?){12,18}\d(?!\d)",
     "person": _TITLE + r"\.?[ \x{A0}]\p{Lu}\p{L}+(?:[ -]\p{Lu}\p{L}+)?",
 }
 ANY = "|".join(PATTERNS.values())
+#: Calling codes of one and two digits; all others have three.
+_CODE = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: What every match holds, to pass over most texts at once: a digit, an at sign, the beginning of a key, a run of hexadecimal letters, or the beginning of a title.
 HINTS = ["[0-9@]|AKIA|gh[pousr]_|sk-|[a-f]{32}|[A-F]{32}", "[MHFSГΚ](?:r|s|iss|onsieur|adame|err|rau|eñor|оспо|ύριος|υρία)"]
 
@@ -174,6 +184,7 @@ def _units(match: Column, kind: Column) -> Column:
     digits = F.regexp_replace(match, "[^0-9]", "")
     norm = (
         F.when(kind == "email", F.lower(match))
+        .when((kind == "phone") & match.startswith("+"), F.regexp_replace(digits, _CODE, ""))
         .when(kind == "phone", F.when(F.length(digits) > 10, F.substring(digits, F.length(digits) - 9, F.lit(10))).otherwise(digits))
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.regexp_replace(match, " ", ""))
