@@ -100,16 +100,32 @@ def order(rows):
     return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
 
 
-@pytest.mark.parametrize(("slice_bytes", "batch", "segment"), [(2 << 20, 1 << 16, 8 << 20), (3000, 40, 700)])
-def test_repeats_match_brute_force(spark, monkeypatch, slice_bytes, batch, segment):
-    rows = texts() + [(200, "x" * 500), (201, "y" + "x" * 200), (202, ("é" * 40 + "z") * 4), (203, "ö" + "é" * 40 + "zé")]
-    monkeypatch.setattr(suffixes, "SLICE", slice_bytes)
-    monkeypatch.setattr(suffixes, "BATCH", batch)
-    monkeypatch.setattr(suffixes, "SEGMENT", segment)
+@pytest.mark.parametrize(("slice_bytes", "batch", "segment", "bucket", "hot"), [(4 << 20, 1 << 16, 8 << 20, 16 << 20, 1 << 16), (3000, 40, 700, 4000, 1 << 16), (3000, 40, 700, 4000, 4)])
+def test_repeats_match_brute_force(spark, monkeypatch, slice_bytes, batch, segment, bucket, hot):
+    rows = texts() + [(200, "x" * 500), (201, "y" + "x" * 200), (202, ("é" * 40 + "z") * 4), (203, "ö" + "é" * 40 + "zé"), (204, "\0" * 130), (205, "a" + "\0" * 70)]
+    # A passage with other words around it in every document: its ends are grams with very many different cells.
+    rng, passage = random.Random(1), " ".join(f"common{i}" for i in range(12))
+    rows += [(300 + i, f"{rng.random()} {passage} {rng.random()}") for i in range(40)]
+    for name, value in {"SLICE": slice_bytes, "BATCH": batch, "SEGMENT": segment, "BUCKET": bucket, "HOT": hot}.items():
+        monkeypatch.setattr(suffixes, name, value)
     got = [tuple(r) for r in suffixes.remove_repeats(frame(spark, rows), with_text=True).collect()]
     assert order(got) == order(without_repeats(rows))
 
 
+def test_a_hot_gram_is_dealt_by_windows(spark, monkeypatch):
+    rng, passage = random.Random(1), " ".join(f"common{i}" for i in range(12))
+    docs = frame(spark, [(i, f"{rng.random()} {passage} {rng.random()}") for i in range(200)]).selectExpr("doc_id", "crc32(text) as mark", "text")
+    monkeypatch.setattr(suffixes, "HOT", 50)
+    with common.Scratch(spark) as scratch:
+        hot = suffixes._hot_grams(docs, 1 << 15, scratch)
+    assert 2 <= len(hot) < 12
+    buckets = {}
+    for grams in (hot[:0], hot):
+        rows = docs.mapInArrow(suffixes._suffix_batches(64, grams), suffixes.SUFFIXES).where("body is not null").groupBy("bucket").sum("n").collect()
+        buckets[len(grams)] = max(r[1] for r in rows) / sum(r[1] for r in rows)
+    assert buckets[len(hot)] < buckets[0] / 2
+
+
 def test_repeats_keep_columns_and_empty_tables(spark):
     assert suffixes.remove_repeats(empty(spark)).collect() == []
     got = suffixes.remove_repeats(frame(spark), carry=["source", "g", "n_chars"])
@@ -119,14 +135,25 @@ def test_repeats_keep_columns_and_empty_tables(spark):
 
 def test_family_merges_levels_of_equal_rank():
     family = suffixes.Family()
+
+    def batch(words, doc):
+        data = [w.encode().ljust(60, b".") for w in words]
+        gram = np.arange(len(data)) * 60
+        rows = suffixes.records(b"".join(data), gram, np.zeros(len(data), np.int64), np.full(len(data), 50))
+        return suffixes.Suffixes.of(rows, np.full(len(data), doc), np.zeros(len(data), np.int64), gram)
+
     for i in range(11):
-        rows = np.zeros(4, suffixes.Family.kind)
-        rows["print"], rows["key"], rows["doc"] = np.arange(4 * i, 4 * i + 4), 1, i
-        family.add(rows)
+        found = list(family.scan(batch([f"word {4 * i + j} of a document" for j in range(4)], i)))
+        assert sum(len(f[0]) for f in found) == 0
     assert [rank for rank, _ in family.levels] == [3, 1, 0]
-    probe = np.zeros(2, suffixes.Family.kind)
-    probe["print"], probe["key"] = [5, 999], 1
-    assert family.scan(probe).tolist() == [1, np.iinfo(np.int64).max]
+    for _, level in family.levels:
+        named = [bytes(r) for r in level.rows]
+        assert named == sorted(named)
+    found = list(family.scan(batch(["word 7 of a document", "another word of it"], 99)))
+    assert [int(d) for f in found for d in f[0]] == [99]
+    # A smaller document that comes later is matched by those that were there.
+    found = list(family.scan(batch(["word 9 of a document"], -1)))
+    assert [int(d) for f in found for d in f[0]] == [2]
 
 
 def test_vectors_match_brute_force(spark):
