@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -62,9 +63,14 @@ class Scratch:
             self.paths.remove(path)
 
     def release(self) -> None:
-        """Lets Spark remove the shuffle files behind tables that were cut, which it does when the driver collects its garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Lets Spark remove the shuffle files behind tables that were cut, which it does when the driver collects its garbage.
+
+        The first collection frees the plan of the last job, the second one what only that plan held.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.25)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return self._write(df, name)[0]

@@ -33,9 +33,9 @@ from tracewright.llm.common import Scratch, slices
 WINDOW, GRAM = 50, 16
 BACK = WINDOW - GRAM
 #: Suffixes of a batch, and bytes of text that are hashed at once.
-BATCH, SEGMENT = 1 << 16, 4 << 20
+BATCH, SEGMENT = 1 << 16, 1 << 20
 #: Bytes of text that a task reads together, and of the texts whose suffixes make a bucket on average.
-SLICE, BUCKET = 4 << 20, 16 << 20
+SLICE, BUCKET = 4 << 20, 8 << 20
 #: Different cells from which a gram is dealt by windows, but at most ``MOST_HOT`` grams are; bytes of the sample (and a 64th of the texts).
 HOT, MOST_HOT, SAMPLE = 1 << 16, 100_000, 16 << 20
 
@@ -370,15 +370,13 @@ def _suffix_batches(buckets: int, hot: np.ndarray):
             bucket = (_mix(found["key"][keep]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")  # in a bucket by document, which compresses best
             keep, bucket = keep[order], bucket[order]
-            size = left[keep] + right[keep]
-            ends = np.cumsum(size)
-            begin = found["at"][keep] - (ends - size)
-            body = np.frombuffer(buffer, np.uint8)[np.repeat(begin, size) + np.arange(size.sum())]
+            whole = np.frombuffer(buffer, np.uint8)
             begins = _firsts(bucket[1:] == bucket[:-1]) if len(bucket) else bucket
             for a, b in zip(begins, np.append(begins[1:], len(bucket)), strict=True):
                 i = keep[a:b]
                 meta = docs[i].astype("<i8").tobytes() + marks[i].astype("<u4").tobytes() + start[i].astype("<u4").tobytes() + left[i].astype(np.uint8).tobytes() + right[i].astype(np.uint8).tobytes()
-                part = body[ends[a] - size[a] : ends[b - 1]]
+                size = left[i] + right[i]
+                part = whole[np.repeat(found["at"][i] - np.cumsum(size) + size, size) + np.arange(size.sum())]
                 out.append((int(bucket[a]), len(i), len(part), _squeezed(meta), _squeezed(part.tobytes())))
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "n", "size", "meta", "body"])
