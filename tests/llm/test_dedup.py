@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.cases import empty, frame, texts
@@ -42,6 +43,25 @@ def test_near_duplicates_match_brute_force(spark, words):
             assert (r.component_id, r.kept, r.n_shingles) == (want[r.doc_id], want[r.doc_id] == r.doc_id, len(known[r.doc_id]))
 
 
+def test_classes_and_links_are_confirmed_on_full_sets(monkeypatch):
+    monkeypatch.setattr(minhash._WordHash, "__missing__", lambda self, word: 7)  # every word hashes alike
+    texts = pa.array(["a b c", "d e f", "a b c a b c", "c b a", "x", "y"])
+    ids = pa.array(range(6), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, texts, ids], names=["doc_id", "text", "text_hash"])
+    (found,) = minhash._sketch_batches(2)(iter([batch]))
+    assert len(set(found.column("sketch").to_pylist()[:4])) == 1
+    assert len(set(found.column("digest").to_pylist())) == 6
+    assert found.column("n_shingles").to_pylist() == [2, 2, 3, 2, 1, 1]
+    none = np.zeros(4, np.int64)
+    assert minhash.spanning_links(texts.to_pylist()[:4], np.arange(4), none, 2, 80, minhash._WordHash()) == []
+
+
+def test_repeated_ids_are_told_apart_by_their_texts(spark):
+    rows = [(1, "one two three four five six"), (2, "one two three four five six"), (2, "some other words are in here"), (2, "some other words are in here")]
+    got = minhash.near_duplicates(frame(spark, rows)).join(frame(spark, rows).selectExpr("doc_id", "xxhash64(text) as text_hash", "text").distinct(), ["doc_id", "text_hash"]).collect()
+    assert sorted((r.doc_id, r.text[:3], r.component_id) for r in got) == [(1, "one", 1), (2, "one", 1), (2, "som", 2), (2, "som", 2)]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(empty(spark)).collect() == []
 

@@ -1,8 +1,10 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
+from tests.llm.cases import empty, frame, texts
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +35,21 @@ def test_pipeline_stages(spark):
     assert set(packed.doc_id) == {r.doc_id for r in docs.collect()} <= set(before)
     whole = corpus_pipeline.run(spark, SF).toPandas()
     assert whole.length.sum() == packed.length.sum() and set(whole.doc_id) == set(packed.doc_id)
+
+
+def test_pipeline_with_every_edge(spark, tmp_path):
+    rows = texts() + [(2, "quite another text of the same id as before"), (None, None), (20, "12 34 56")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    kept, packed = {}, corpus_pipeline.run(spark, str(tmp_path)).collect()
+    for r in packed:
+        kept.setdefault(r.doc_id, []).append(r.length)
+    assert {3, 4, 8, 10, 20} & set(kept) == set()  # no letters
+    assert {1, 5, 7, 9, 11, 13, None} <= set(kept) and 6 not in kept  # of 5 and 6 the first stays
+    assert len([n for n in kept[2] if n > 1]) == 1  # its other text is a copy of document 1
+    empty(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_documents_stay_where_no_language_is_known(spark):
+    docs = frame(spark, [(1, "some words"), (2, "12 34"), (3, None)]).withColumn("lang", F.lit(None).cast("string"))
+    assert [r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [1]

@@ -18,20 +18,38 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a new local one."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset and Spark runs in one process (tests), a new local one."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(found)
     return found
 
 
+#: Tables that lazy results of this process still read.
+_KEPT: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes the tables behind all results so far, once these have been written or read and are no longer needed."""
+    while _KEPT:
+        remove(spark, _KEPT.pop())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive lost executors.
 
     ``with Scratch(spark) as scratch`` removes the tables of ``cut`` at the end; those of ``keep`` stay,
-    since a lazy result still reads them.
+    since a lazy result still reads them, until ``clean``.
     """
 
     def __init__(self, spark: SparkSession):
@@ -73,12 +91,12 @@ class Scratch:
             time.sleep(0.25)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        return self._write(df, name)[0]
+        table, path = self._write(df, name)
+        _KEPT.append(path)
+        return table
 
     def drop(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        remove(self.spark, path)
 
 
 #: Edges that one task reduces to stars in memory.

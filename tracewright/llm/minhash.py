@@ -9,7 +9,8 @@ bin i - T, and later rounds never displace earlier ones; a document stops once e
 The share of equal coordinates concentrates around the Jaccard similarity, so 42 bands of 6 coordinates miss a pair at
 similarity 0.8 with a probability of about 3e-6 (4e-9 at 0.85), and fewer than 0.71 T equal coordinates at 0.8 have one of about 3e-7.
 
-Candidates are verified on the full word sets. To find components without making every pair of a bucket, members are first
+Documents with equal sets are one class: a class is named by the SHA-256 digest of all its shingles in order, so that its members
+agree on the full set. Candidates are verified on the full word sets. To find components without making every pair of a bucket, members are first
 compared with the bucket's smallest document. Buckets that still hold several components are then compared in tiles by their sketches,
 which gives clusters of documents that may be linked but not their pairs; a cluster's texts are brought together, in tiles where it is large,
 and their exact intersections give the links that join its components.
@@ -17,6 +18,7 @@ and their exact intersections give the links that join its components.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ TILE, CLUSTER_TILE = 1024, 512
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = mix64(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"
+SKETCH_SCHEMA = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, sketch binary"
 
 
 class _WordHash(dict):
@@ -60,6 +62,13 @@ def shingle_set(text: str | None, words: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(found[i:] for i in range(words)), strict=False))
 
 
+def full_set(text: str | None, words: int) -> tuple[int, bytes]:
+    """The size of a document's set, and a digest of all of it; white space parts words, so that joined shingles are unambiguous."""
+    found = words_of(text)
+    shingles = {b" ".join(found)} if len(found) < words else set(map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)))
+    return (len(shingles), hashlib.sha256(b"\n".join(sorted(shingles))).digest()) if found else (0, b"")
+
+
 def _shingle_hashes(text: str | None, words: int, hashes: _WordHash) -> np.ndarray:
     found = words_of(text)
     h = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
@@ -95,7 +104,7 @@ def _sketch_batches(words: int):
         for batch in slices(batches, "text", 2 << 20):
             texts = batch.column("text").to_pylist()
             sets = [_shingle_hashes(t, words, hashes) for t in texts]
-            sizes = np.array([len(s) for s in sets], np.int64)
+            sizes, digests = zip(*(full_set(t, words) for t in texts), strict=True)
             some = np.flatnonzero(sizes)
             rows = sketch([sets[i] for i in some])
             band = np.full((len(some), BANDS), 0, np.uint64) + np.arange(BANDS, dtype=np.uint64)
@@ -103,15 +112,12 @@ def _sketch_batches(words: int):
                 band = mix64(band * np.uint64(0x9E3779B97F4A7C15) + rows[:, c : BANDS * BAND_ROWS : BAND_ROWS])
             bands: list = [[]] * len(texts)
             marks: list = [b""] * len(texts)
-            k1, k2 = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             low = rows.astype(np.uint8)
             for j, i in enumerate(some):
                 bands[i], marks[i] = band[j].view(np.int64), low[j].tobytes()
-                k1[i] = np.int64(mix64(sets[i]).sum(dtype=np.uint64).view(np.int64))
-                k2[i] = np.int64(np.bitwise_xor.reduce(mix64(sets[i] ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(k1), pa.array(k2), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "digest", "bands", "sketch"],
             )
 
     return run
@@ -234,7 +240,7 @@ def _cluster_links(words: int, percent: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept, text_hash (``xxhash64`` of the text, to find the row by if its id repeats).
 
     Links join documents with 100 * intersection >= percent * union of their shingle sets; component_id is the smallest id
     reachable (the document's own without links) and kept marks the document that stays. Ids should be unique: repeated
@@ -247,15 +253,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scratch = Scratch(spark)
     with scratch:
-        full = scratch.cut(source.mapInArrow(_sketch_batches(words), SKETCH_SCHEMA), "sketches")
-        rows = scratch.keep(full.select("doc_id", "n_shingles", "k1", "k2"), "rows")
+        full = scratch.cut(source.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketch_batches(words), SKETCH_SCHEMA), "sketches")
+        rows = scratch.keep(full.select("doc_id", "text_hash", "n_shingles", "digest"), "rows")
         some = full.where("n_shingles > 0 and doc_id is not null")
-        reps = scratch.keep(some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-        classes = scratch.cut(
-            some.join(reps.select("rep", "k1", "k2").withColumnsRenamed({"k1": "r1", "k2": "r2"}), (F.col("doc_id") == F.col("rep")) & (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")))
-            .select("rep", "n_shingles", "bands", "sketch").dropDuplicates(["rep", "n_shingles", "sketch"]),
-            "reps",
-        )
+        reps = scratch.keep(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+        classes = scratch.cut(some.join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch").dropDuplicates(["rep", "n_shingles", "sketch"]), "reps")
         scratch.spend("sketches")
         texts = source.where("doc_id is not null")
 
@@ -304,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more.isEmpty():
             parts = connected_components(links.union(more), scratch)
         parts = scratch.keep(parts, "components")
-    member = reps.join(parts, F.col("rep") == F.col("id"), "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    found = rows.select("doc_id", "n_shingles", "k1", "k2").join(member, ["k1", "k2", "n_shingles"], "left")
+    member = reps.join(parts, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    found = rows.join(member, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "text_hash")

@@ -42,7 +42,7 @@ def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on two-word shingles at a similarity of 0.8."""
-    return minhash.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
+    return minhash.near_duplicates(documents(spark, sf_dir), words=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
