@@ -207,3 +207,22 @@ def test_tiles_and_slabs_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "TILE", 7)
     assert sorted(embeddings.near_duplicates(df).collect()) == whole
     assert embeddings.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_copies_of_a_vector_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", 16)
+    rng = np.random.default_rng(11)
+    copies = []
+    for n in (300, 1200):
+        centres = rng.normal(size=(n // 10, 24))
+        vectors = [(i, (centres[i % len(centres)] + 0.02 * rng.normal(size=24)).tolist(), 1) for i in range(n)]
+        df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")
+        sizes = []
+        monkeypatch.setattr(embeddings, "_meetings", lambda tiled, width, scratch, real=meetings: sizes.append((real(tiled, width, scratch).join(tiled, ["label", "size", "cell", "tile"]).count(), tiled.count())) or real(tiled, width, scratch))
+        got = embeddings.near_duplicates(df).collect()
+        assert len({r.component_id for r in got}) == len(centres)
+        copies.append(sizes[0][0] / sizes[0][1])
+    assert copies[1] < 2 * copies[0]
+
+
+meetings = embeddings._meetings

@@ -4,19 +4,22 @@ Unit vectors are rotated to the principal axes of all vectors, in order of varia
 over blocks of leading dimensions; what is left is at most the product of the norms of the two suffixes, and a pair stops when
 it cannot reach the threshold with that. Cosines that come within a rounding error of the threshold are computed again from the vectors as given.
 
-Equal vectors are one class, compared once. Vectors of cosine c are sqrt(2 - 2c) apart, so a class meets only those of its label
-in its own and the next slab of that width along the first axis; slabs of very many classes are cut into tiles, and every
-pair of tiles is a group of its own. A pair of tiles gives the number of links of each class and a spanning forest of them,
-never the pairs themselves.
+Equal vectors are one class, compared once. Vectors of cosine c are at most sqrt(2 - 2c) apart, also along every axis, so the leading ``AXES``
+axes are cut into cells of that width, and a class meets only those of its label in its own cell and the neighbouring ones. Cells of very many
+classes are cut into tiles along the next axis, with the range that each tile covers there and on ``BOXES`` more axes; pairs of tiles whose boxes are
+too far apart are dropped before any vector is copied to them. Every other pair of tiles is a group of its own and gives the number of links of each class
+and a spanning forest of them, never the pairs themselves.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from tracewright.llm.common import Scratch, connected_components, forest
 
 #: Classes in a tile, rows of a tile compared at once, dimensions added at a time.
 TILE, ROWS, BLOCK = 4096, 512, 16
+#: Axes that are cut into cells, and axes of the boxes by which pairs of tiles are dropped.
+AXES, BOXES = 3, 8
 _ERROR = 1e-9
 
 
@@ -34,20 +39,27 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers and vectors of a batch, for each vector length in it."""
-    sizes = np.array([len(v) for v in batch.column("embedding").to_pylist()], int)
+    vectors = batch.column("embedding")
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
-        yield at, np.array(batch.column("embedding").take(pa.array(at)).to_pylist(), float)
+        yield at, vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), int(size))
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each vector length the sum of the outer products of the unit vectors, row by row."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for _, vectors in _by_size(batch):
             unit = _unit(vectors)
             sums[unit.shape[1]] = sums.get(unit.shape[1], 0.0) + unit.T @ unit
     for size, total in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([size] * size, pa.int32()), pa.array(range(size), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["size", "i", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array([size] * size, pa.int32()), pa.array(range(size), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], names=["size", "i", "row"])
+
+
+def _add_rows(table: pa.Table) -> pa.Table:
+    rows = np.stack([np.frombuffer(r) for r in table.column("row").to_pylist()])
+    return pa.table([table.column("size")[:1], table.column("i")[:1], pa.array([rows.sum(axis=0).tobytes()], pa.binary())], names=["size", "i", "row"])
 
 
 def _rotate(axes: dict[int, np.ndarray]):
@@ -55,10 +67,12 @@ def _rotate(axes: dict[int, np.ndarray]):
         for batch in batches:
             for at, vectors in _by_size(batch):
                 turned = _unit(vectors) @ axes[vectors.shape[1]]
+                lead = np.zeros((len(at), AXES + BOXES))
+                lead[:, : min(turned.shape[1], AXES + BOXES)] = turned[:, : AXES + BOXES]
                 rows = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(c) for c in ("rep", "label", "members")), pa.array([vectors.shape[1]] * len(at), pa.int32()), pa.array(turned[:, 0]), pa.array([t.tobytes() for t in turned], pa.binary()), pa.array([v.tobytes() for v in vectors], pa.binary())],
-                    names=["rep", "label", "members", "size", "first", "turned", "given"],
+                    [*(rows.column(c) for c in ("rep", "label", "members")), pa.array([vectors.shape[1]] * len(at), pa.int32()), pa.array(list(lead), pa.list_(pa.float64())), pa.array([t.tobytes() for t in turned], pa.binary()), pa.array([v.tobytes() for v in vectors], pa.binary())],
+                    names=["rep", "label", "members", "size", "lead", "turned", "given"],
                 )
 
     return run
@@ -124,6 +138,38 @@ def _tile_links(threshold: float):
     return run
 
 
+def _tiles(turned: DataFrame, scratch: Scratch) -> DataFrame:
+    """``turned`` with the tile of each class in its cell: an even share of the range that the cell's classes have on the next axis."""
+    key = ["label", "size", "cell"]
+    spread = turned.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"), F.min(F.col("lead")[AXES]).alias("low"), F.max(F.col("lead")[AXES]).alias("high"))
+    share = F.when(F.col("high") > F.col("low"), F.floor((F.col("lead")[AXES] - F.col("low")) / (F.col("high") - F.col("low")) * F.col("tiles"))).otherwise(0)
+    strip = F.least(share, F.col("tiles") - 1)
+    dealt = turned.join(spread.where("tiles > 1"), key, "left").withColumn("strip", F.coalesce(strip, F.lit(0)).cast("long")).drop("tiles", "low", "high")
+    # Strips that still hold too many classes are dealt by hash.
+    crowded = dealt.groupBy(*key, "strip").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts")).where("parts > 1")
+    part = F.coalesce(F.pmod(F.xxhash64("rep"), F.col("parts")), F.lit(0))
+    return scratch.cut(dealt.join(crowded, [*key, "strip"], "left").withColumn("tile", F.struct("strip", part.alias("part"))).drop("strip", "parts"), "tiled")
+
+
+def _meetings(tiled: DataFrame, width: float, scratch: Scratch) -> DataFrame:
+    """(label, size, cell, tile, pair, side, same): the pairs of tiles that each tile is in; cells differ by one at most along each axis."""
+    axes = range(AXES, AXES + BOXES)
+    box = tiled.groupBy("label", "size", "cell", "tile").agg(F.array(*[F.min(F.col("lead")[i]) for i in axes]).alias("low"), F.array(*[F.max(F.col("lead")[i]) for i in axes]).alias("high"))
+    box = scratch.cut(box, "boxes")
+    steps = [F.array(*[F.lit(x).cast("long") for x in step]) for step in itertools.product((-1, 0, 1), repeat=AXES) if step >= (0,) * AXES]
+    near = box.select("label", "size", F.col("cell").alias("home"), F.col("tile").alias("first"), F.col("low").alias("a_low"), F.col("high").alias("a_high"), F.explode(F.array(*steps)).alias("step"))
+    near = near.withColumn("cell", F.zip_with("home", "step", lambda x, y: x + y)).join(box, ["label", "size", "cell"])
+    once = F.exists("step", lambda x: x != 0) | (F.col("first") <= F.col("tile"))
+    gaps = F.transform(F.arrays_zip("a_low", "a_high", "low", "high"), lambda b: F.greatest(b["low"] - b["a_high"], b["a_low"] - b["high"], F.lit(0.0)))
+    close = F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap * gap) <= width * width
+    pairs = near.where(once & close).select("label", "size", "home", "first", "cell", "tile")
+    same = (F.col("home") == F.col("cell")) & (F.col("first") == F.col("tile"))
+    pair = F.struct("label", "size", "home", "first", "cell", "tile")
+    pairs = scratch.cut(pairs.select(pair.alias("pair"), same.alias("same")), "pairs")
+    end = lambda cell, tile, side: pairs.select("pair.label", "pair.size", F.col(f"pair.{cell}").alias("cell"), F.col(f"pair.{tile}").alias("tile"), "pair", F.lit(side).alias("side"), "same")
+    return end("home", "first", 0).unionByName(end("cell", "tile", 1).where("not same"))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
@@ -139,27 +185,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     with Scratch(spark) as scratch:
         good = rows.where(usable)
         classes = scratch.keep(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
-        sums: dict[int, np.ndarray] = {}
-        moments = classes.select("embedding").mapInArrow(_moments, "size int, i int, row array<double>").select("size", "i", F.posexplode("row").alias("j", "value"))
-        for size, i, j, value in moments.groupBy("size", "i", "j").agg(F.sum("value")).collect():
-            sums.setdefault(size, np.zeros((size, size)))[i, j] = value
-        axes = {size: np.ascontiguousarray(np.linalg.eigh((m + m.T) / 2)[1][:, ::-1]) for size, m in sums.items()}
-        turned = classes.mapInArrow(_rotate(axes), "rep long, label string, members long, size int, first double, turned binary, given binary")
-        turned = scratch.cut(turned.withColumn("slab", F.floor(F.col("first") / width)), "turned")
-        slab = ["label", "size", "slab"]
-        counts = turned.groupBy(slab).agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
-        after = counts.select("label", "size", (F.col("slab") - 1).alias("slab"), F.col("tiles").alias("next_tiles"))
-        before = counts.select("label", "size", (F.col("slab") + 1).alias("slab"), F.col("tiles").alias("last_tiles"))
-        dealt = turned.join(counts.join(after, slab, "left").join(before, slab, "left"), slab)
-        tile = F.pmod(F.xxhash64("rep"), F.col("tiles"))
-        dealt = dealt.withColumn("tile", tile)
-        every = lambda n: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda t: t)
-        own = F.transform(every(F.col("tiles")), lambda t: F.struct(F.col("slab").alias("s"), F.least("tile", t).alias("x"), F.greatest("tile", t).alias("y"), (F.col("tile") > t).cast("int").alias("side"), (F.col("tile") == t).alias("same"), F.lit(0).alias("step")))
-        none = F.array().cast("array<struct<s:bigint,x:bigint,y:bigint,side:int,same:boolean,step:int>>")
-        onward = F.when(F.col("next_tiles").isNotNull(), F.transform(every(F.col("next_tiles")), lambda t: F.struct(F.col("slab").alias("s"), F.col("tile").alias("x"), t.alias("y"), F.lit(0).alias("side"), F.lit(False).alias("same"), F.lit(1).alias("step")))).otherwise(none)
-        back = F.when(F.col("last_tiles").isNotNull(), F.transform(every(F.col("last_tiles")), lambda t: F.struct((F.col("slab") - 1).alias("s"), t.alias("x"), F.col("tile").alias("y"), F.lit(1).alias("side"), F.lit(False).alias("same"), F.lit(1).alias("step")))).otherwise(none)
-        meets = dealt.select("rep", "label", "members", "size", "turned", "given", F.explode(F.concat(own, onward, back)).alias("m")).select("*", "m.*").drop("m")
-        found = meets.groupBy("label", "size", "s", "x", "y", "step").applyInArrow(_tile_links(threshold), "rep long, links long, root long")
+        # One packed row for each dimension reaches the driver, from one partial sum per task.
+        moments = classes.select("embedding").mapInArrow(_moments, "size int, i int, row binary").groupBy("size", "i").applyInArrow(_add_rows, "size int, i int, row binary")
+        rows_of: dict[int, dict[int, np.ndarray]] = {}
+        for size, i, row in moments.collect():
+            rows_of.setdefault(size, {})[i] = np.frombuffer(row)
+        axes = {size: np.ascontiguousarray(np.linalg.eigh((m + m.T) / 2)[1][:, ::-1]) for size, by_row in rows_of.items() for m in [np.stack([by_row[i] for i in range(size)])]}
+        turned = classes.mapInArrow(_rotate(axes), "rep long, label string, members long, size int, lead array<double>, turned binary, given binary")
+        cell = F.array(*[F.floor(F.col("lead")[i] / width) for i in range(AXES)])
+        turned = scratch.cut(turned.withColumn("cell", cell), "turned")
+        tiled = _tiles(turned, scratch)
+        meets = _meetings(tiled, width, scratch)
+        sides = tiled.join(meets, ["label", "size", "cell", "tile"]).select("rep", "members", "turned", "given", "pair", "side", "same")
+        found = sides.groupBy("pair").applyInArrow(_tile_links(threshold), "rep long, links long, root long")
         found = scratch.keep(found, "links")
         parts = scratch.keep(connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch), "components")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
