@@ -175,9 +175,11 @@ def test_matches_without_digits_imply_a_hint(spark):
     some = {
         "email": "ann@mail.example", "iban": "DE89370400440532013000", "ip": "97.51.17.173", "ssn": "123-45-6789", "phone": "017-555-7713", "card": "4444333322221111",
         "person": "Frau Klein", "key": "sk-AbCdEfGhIjKlMnOpQrStUv", "hex": "abcdef" * 6,
+        "ipv6": "2001:db8::1", "address": "12 Elm Grove Road",
     }
     more = ["AKIA" + "ABCDEFGHIJKLMNOP", *(f"gh{c}_" + "aBcDeF" * 6 for c in "pousr"), "ABCDEF" * 6, "the secret is sk-AbCdEfGhIjKlMnOpQrStUv and nobody knows"]
-    more += [f"{t} Klein" for t in surrogates.MALE_TITLES + surrogates.FEMALE_TITLES]
+    more += [f"{t} Klein" for t in surrogates.MALE_TITLES + surrogates.FEMALE_TITLES + surrogates.OTHER_TITLES]
+    more += ["we met Anna Karenina there", "Лидия Гинзбург", "fe80:0:0:0:1:2:3:4"]
     assert set(some) == set(surrogates.PATTERNS)
     rows = list(enumerate([*some.values(), *more]))
     got = {r.doc_id: r for r in surrogates.replace_private(frame(spark, rows), "key").collect()}
@@ -199,6 +201,36 @@ def test_phone_layouts(spark):
     assert got[100].n_entities == 0 and got[101].n_entities == 1 and luhn(got[101].text) == luhn("1234567890 1234")
 
 
+def test_names_addresses_and_long_texts(spark):
+    rows = [
+        (1, "Dr. John Smith wrote to Anna Karenina at 221 Baker Street, from 2001:db8::1 and 2001:DB8:0:0:0:0:0:1."),
+        (2, "Anna Karenina and Mr Smith live at 221 Baker Street"),
+        (3, "std::string a::b cd::ef, 12 Monkeys, 5 Big Things, The Drive, anna karenina, Annabel Lee"),
+        (4, "word " * 400_000 + "Mrs Klein"),
+    ]
+    got = {r.doc_id: r for r in surrogates.replace_private(frame(spark, rows), "key").collect()}
+    one = re.fullmatch(r"Dr\. ([A-Z][a-z]+) ([A-Z][a-z]+) wrote to ([A-Z][a-z]+) ([A-Z][a-z]+) at (\d{3} [A-Z][a-z]+ Street), from ([0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]) and ([0-9a-f:]+)\.", got[1].text)
+    two = re.fullmatch(r"([A-Z][a-z]+) ([A-Z][a-z]+) and Mr ([A-Z][a-z]+) live at (\d{3} [A-Z][a-z]+ Street)", got[2].text)
+    assert one and two and got[1].n_entities == 5 and got[2].n_entities == 3
+    assert two.groups() == (one[3], one[4], one[2], one[5])
+    assert not {"John", "Smith", "Anna", "Karenina", "221 Baker Street"} & {*one.groups(), *two.groups()}
+    assert got[3].n_entities == 0 and got[3].text == rows[2][1]
+    assert got[4].n_entities == 1 and got[4].text.startswith(rows[3][1].removesuffix("Klein")) and got[4].text != rows[3][1]
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, f"Mr {chr(65 + i)}axo Tannar", "m", "h", "a") for i in range(20)], "doc_id long, text string, matches string, HASH string, again string")
+    got = surrogates.replace_private(docs, "key")
+    assert got.columns == [*docs.columns, "n_entities"] and {(r.matches, r.HASH, r.again) for r in got.collect()} == {("m", "h", "a")}
+
+
+def test_a_format_with_too_few_values_ends(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "ROUNDS", 3)
+    rows = [(i, f"1.1.1.{i}, 1{i % 10}.1.1.1") for i in range(10)] + [(100 + i, f"{a}@b.io") for i, a in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    got = surrogates.replace_private(frame(spark, rows), "key").collect()
+    assert len(got) == len(rows) and all(r.n_entities for r in got)
+
+
 def test_surrogates_run_no_python(spark):
     plan = surrogates.replace_private(frame(spark, PRIVATE), "key")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -5,10 +5,11 @@ and script, with card and account numbers of the same checksum state, addresses
 title) and script. A surrogate is derived from a secret key and the normalised entity, so that an entity has the same one in every
 document and every way of writing it, and nobody without the key can go back.
 
-Detected are e-mail addresses, account numbers (IBAN), keys that begin with AKIA, gh?_ or sk-, hexadecimal runs of 32 to 128 digits, IPv4 addresses, numbers
-written as 123-45-6789, card numbers of 13 to 19 digits, phone numbers (with a plus, 7 to 15 digits with single separators; with an area code in
-parentheses; of ten digits in groups of 3, 3 and 4, also after a 1), and names of one or two words after one of the fourteen titles below. Names without a
-title, other national phone layouts, digits of other alphabets, postal addresses, IPv6 and other secrets are not.
+Detected are e-mail addresses, account numbers (IBAN), keys that begin with AKIA, gh?_ or sk-, hexadecimal runs of 32 to 128 digits, IPv4 and IPv6 addresses,
+numbers written as 123-45-6789, card numbers of 13 to 19 digits, phone numbers (with a plus, 7 to 15 digits with single separators; with an area code in
+parentheses; of ten digits in groups of 3, 3 and 4, also after a 1), street addresses (a number, one to three capitalised words and an English word for a street), names
+of one or two words after one of the titles below, and family names after one of the given names below. Other names without a title, dates of birth (too few for
+distinct surrogates), other national phone and address layouts, digits of other alphabets and other secrets are not.
 
 Distinct entities may draw the same surrogate, or one that is itself an entity of the corpus. All distinct entities are checked
 for that; of those that clash all but the smallest draw again, until none does. Most documents then need no lookup at all: only
@@ -27,8 +28,9 @@ from tracewright.llm.common import Scratch
 ROUNDS = 64
 
 # Titles by gender, given names by gender and script, and syllables of family names by script.
-MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος"]
-FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа", "Κυρία"]
+MALE_TITLES = ["Mr", "Mister", "Sir", "Lord", "Herr", "Monsieur", "Señor", "Господин", "Κύριος"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Madam", "Lady", "Frau", "Madame", "Señora", "Госпожа", "Κυρία"]
+OTHER_TITLES = ["Dr", "Doctor", "Prof", "Professor", "Доктор", "Профессор"]
 GIVEN = {
     ("m", "latin"): ["Adam", "Bruno", "Carl", "Daniel", "Emil", "Felix", "Hugo", "Ivan", "Jonas", "Leo", "Martin", "Noel", "Oscar", "Paul", "Rafael", "Viktor"],
     ("f", "latin"): ["Anna", "Berta", "Clara", "Diana", "Emma", "Flora", "Helena", "Ida", "Julia", "Laura", "Maria", "Nora", "Olivia", "Paula", "Rosa", "Vera"],
@@ -42,10 +44,16 @@ SYLLABLES = {
     "cyrillic": ["ба", "дел", "фер", "го", "хан", "ка", "лин", "мо", "нар", "пел", "ри", "со", "тан", "ул", "вер", "зо"],
     "greek": ["βα", "δελ", "φερ", "γο", "χαν", "κα", "λιν", "μο", "ναρ", "πελ", "ρι", "σο", "ταν", "ουλ", "βερ", "ζο"],
 }
+#: Ends of given names that are made of syllables.
+ENDS = {("m", "latin"): "n", ("f", "latin"): "a", ("m", "cyrillic"): "н", ("f", "cyrillic"): "а", ("m", "greek"): "ς", ("f", "greek"): "α"}
+STREETS = ["Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Ln", "Drive", "Boulevard", "Blvd", "Court", "Square"]
 LETTERS = {"latin": "bcdfghjklmnpqrst", "cyrillic": "бвгдежзиклмнопрс", "greek": "βγδζηθικλμνξοπρσ"}
 HEX = "0123456789abcdef"
 
-_TITLE = rf"(?<!\p{{L}})(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})(?!\p{{L}})"
+_TITLES = "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
+_TITLE = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLES})(?!\p{{L}})"
+_GIVEN = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{'|'.join(sorted({name for names in GIVEN.values() for name in names}))})(?!\p{{L}})"
+_HEX4 = "[0-9A-Fa-f]{1,4}"
 #: Patterns by type; where several match at a place the first is taken.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
@@ -53,19 +61,22 @@ PATTERNS = {
     "key": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![\p{L}\p{N}])",
     "hex": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
+    # All eight groups, or some on both sides of a gap and a digit among them.
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEX4}:){{7}}{_HEX4}|(?=[A-Fa-f:]*+\d){_HEX4}(?::{_HEX4}){{0,5}}+::{_HEX4}(?::{_HEX4}){{0,5}}+)(?![\p{{L}}\p{{N}}:])",
     "ssn": r"(?<![\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|(?<![\p{L}\p{N}.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{N}-])"
     # With a plus, 7 to 15 digits; national ones with spaces or a leading 1, unless a card number of more digits goes on.
     + r"|(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?\(\d{1,4}\)(?:[ .-]?\d){4,12}(?!\d)|(?<![\p{L}\p{N}+])\+[1-9](?:[ .-]?\d){6,14}(?!\d)"
     + r"|(?<![\p{L}\p{N}.+-])1[ .-]?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\p{N}-])(?!(?:[ -]?\d){2,8}(?!\d))|(?<![\p{L}\p{N}.+-])\d{3} \d{3}[ .-]\d{4}(?![\p{N}-])(?!(?:[ -]?\d){3,9}(?!\d))",
     "card": r"(?<![\p{N}])(?:\d[ -]?){12,18}\d(?!\d)",
-    "person": _TITLE + r"\.?[ \x{A0}]\p{Lu}\p{L}+(?:[ -]\p{Lu}\p{L}+)?",
+    "address": rf"(?<![\p{{L}}\p{{N}}.,-])[1-9]\d{{0,4}} (?:\p{{Lu}}\p{{L}}+ ){{1,3}}(?:{'|'.join(STREETS)})(?!\p{{L}})",
+    "person": _TITLE + r"\.?[ \x{A0}]\p{Lu}\p{L}+(?:[ -]\p{Lu}\p{L}+)?|" + _GIVEN + r"[ \x{A0}]\p{Lu}\p{L}+",
 }
 ANY = "|".join(PATTERNS.values())
 #: Calling codes of one and two digits; all others have three.
 _CODE = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
-#: What every match holds, to pass over most texts at once: a digit, an at sign, the beginning of a key, a run of hexadecimal letters, or the beginning of a title.
-HINTS = ["[0-9@]|AKIA|gh[pousr]_|sk-|[a-f]{32}|[A-F]{32}", "[MHFSГΚ](?:r|s|iss|onsieur|adame|err|rau|eñor|оспо|ύριος|υρία)"]
+#: What every match holds, to pass over most texts at once: a digit, an at sign, the beginning of a key, a run of hexadecimal letters, the beginning of a title, or a given name.
+HINTS = ["[0-9@]|AKIA|gh[pousr]_|sk-|[a-f]{32}|[A-F]{32}", "[MHFSLDPГΚДП](?:r|s|i|onsieur|adam|err|rau|eñor|o|ady|оспо|ύριος|υρία|окт|роф)", _GIVEN + r"[ \x{A0}]\p{Lu}"]
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -152,10 +163,19 @@ def _drawn(key: str, kind: Column, norm: Column, attempt: Column, draw: Column)
     # A given name's kind holds gender and script, a family name's the script.
     script = F.substring_index(kind, ":", -1)
     given = F.coalesce(*[F.when(kind == f"given:{g}:{s}", _one_of(F.substring(draw, 1, 1), names)) for (g, s), names in GIVEN.items()])
-    given = F.when(attempt > 0, F.concat(given, F.lit("-"), F.initcap(_syllables(draw, script, 2 + F.floor(attempt / 4).cast("int"))))).otherwise(given)
+    end = F.coalesce(*[F.when(kind == f"given:{g}:{s}", F.lit(x)) for (g, s), x in ENDS.items()], F.lit(""))
+    given = F.when((attempt > 0) | given.isNull(), F.concat(F.initcap(_syllables(draw, script, 2 + F.floor(attempt / 4).cast("int"))), end)).otherwise(given)
     family = F.initcap(_syllables(draw, script, 3 + F.floor(attempt / 2).cast("int")))
+    words = F.split(norm, " ")
+    street = lambda w, i: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), 3 + F.floor(attempt / 4).cast("int")), lambda j: _one_of(_mark(draw, 8 * i + j), SYLLABLES["latin"])), ""))
+    named = F.transform(F.slice(words, F.lit(2), F.size(words) - 2), street)
+    house = F.concat((1 + F.pmod(_number(draw, 31), F.lit(9))).cast("string"), F.substring(_digits(draw), F.lit(120), F.length(F.get(words, F.lit(0))) - 1))
+    address = F.concat_ws(" ", house, F.array_join(named, " "), F.get(words, F.size(words) - 1))
+    v6 = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.when(c.rlike("[0-9a-f]"), _mark(draw, i)).otherwise(c)), "")
     return (
         F.when(kind == "email", email)
+        .when(kind == "ipv6", v6)
+        .when(kind == "address", address)
         .when(kind == "ip", ip)
         .when(kind == "card", card)
         .when(kind == "iban", iban)
@@ -179,19 +199,24 @@ def _kind(match: Column) -> Column:
     return found
 
 
+#: Title, given and family name of a person.
+_NAME = rf"^(?:({_TITLES})\.?[ \x{{A0}}])?(?:(\p{{L}}+)[ \x{{A0}}-])?(\p{{L}}+)$"
+
+
 def _units(match: Column, kind: Column) -> Column:
     """The entities that a match names: one, or a given and a family name."""
     digits = F.regexp_replace(match, "[^0-9]", "")
     norm = (
-        F.when(kind == "email", F.lower(match))
+        F.when(kind.isin("email", "ipv6"), F.lower(match))
         .when((kind == "phone") & match.startswith("+"), F.regexp_replace(digits, _CODE, ""))
         .when(kind == "phone", F.when(F.length(digits) > 10, F.substring(digits, F.length(digits) - 9, F.lit(10))).otherwise(digits))
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.regexp_replace(match, " ", ""))
         .otherwise(match)
     )
-    title, given, family = (F.regexp_extract(match, r"^(\p{L}+)\.?[ \x{A0}](?:(\p{L}+)[ -])?(\p{L}+)$", i) for i in (1, 2, 3))
-    gender = F.when(title.isin(MALE_TITLES), "m").otherwise("f")
+    title, given, family = (F.regexp_extract(match, _NAME, i) for i in (1, 2, 3))
+    known = lambda g: F.lower(given).isin([n.lower() for (h, _), names in GIVEN.items() if h == g for n in names])
+    gender = F.when(title.isin(MALE_TITLES), "m").when(title.isin(FEMALE_TITLES), "f").when(known("m"), "m").when(known("f"), "f").otherwise("n")
     unit = lambda k, n: F.struct(k.alias("kind"), n.alias("norm"))
     last = unit(F.concat(F.lit("family:"), _script(family)), F.lower(family))
     first = unit(F.concat(F.lit("given:"), gender, F.lit(":"), _script(given)), F.lower(given))
@@ -216,14 +241,14 @@ def _formatted(match: Column, kind: Column, cores: Column) -> Column:
     digits = F.array_join(F.transform(F.split(match, ""), lambda c, i: F.when(c.rlike("[0-9]") & (at(i) > 0), F.substring(core, at(i), F.lit(1))).otherwise(c)), "")
     sign = lambda i: F.length(F.regexp_replace(F.substring(match, F.lit(1), i + 1), " ", ""))
     spaced = F.array_join(F.transform(F.split(match, ""), lambda c, i: F.when(c != " ", F.substring(core, sign(i), F.lit(1))).otherwise(c)), "")
-    title = F.regexp_extract(match, r"^(\p{L}+\.?[ \x{A0}])", 1)
-    between = F.regexp_extract(match, r"^\p{L}+\.?[ \x{A0}]\p{L}+([ -])", 1)
+    title = F.regexp_extract(match, rf"^((?:{_TITLES})\.?[ \x{{A0}}])", 1)
+    between = F.regexp_extract(match, r"\p{L}([ \x{A0}-])\p{L}+$", 1)
     person = F.when(F.size(cores) > 1, F.concat(title, core, between, F.get(cores, F.lit(1)))).otherwise(F.concat(title, core))
     return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", spaced).when(kind == "person", person).otherwise(core)
 
 
 def _hinted(text: Column) -> Column:
-    return text.rlike(HINTS[0]) | text.rlike(HINTS[1])
+    return text.rlike(HINTS[0]) | text.rlike(HINTS[1]) | text.rlike(HINTS[2])
 
 
 def _matches(text: Column) -> Column:
@@ -238,21 +263,33 @@ def _rewrite(text: Column, matches: Column, replace: Callable[[Column], Column])
 
 
 def _settle(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """(kind, norm, attempt) of the entities that had to draw again."""
-    known = scratch.cut(entities.select("kind", "norm", F.lit(0).alias("attempt")), "entities")
-    for _ in range(ROUNDS):
-        drawn = known.withColumn("core", F.lower(_core(key, F.col("kind"), F.col("norm"), F.col("attempt"))))
-        drawn = scratch.cut(drawn, "drawn")
-        taken = known.select("kind", F.lower("norm").alias("core")).distinct().withColumn("taken", F.lit(True))
-        owner = drawn.groupBy("kind", "core").agg(F.min("norm").alias("owner"), F.count(F.lit(1)).alias("n"))
-        suspect = owner.join(taken, ["kind", "core"], "left").where("n > 1 or taken").select("kind", "core", "owner", "taken")
-        suspect = scratch.cut(suspect, "suspects")
-        if suspect.isEmpty():
-            return known.where("attempt > 0")
-        again = drawn.join(suspect, ["kind", "core"], "left")
-        lost = F.coalesce(F.col("taken"), F.lit(False)) | F.coalesce(F.col("owner") != F.col("norm"), F.lit(False))
-        known = scratch.cut(again.select("kind", "norm", (F.col("attempt") + lost.cast("int")).alias("attempt")), "entities")
-    raise RuntimeError(f"surrogates still clash after {ROUNDS} rounds: too few are left in a format")
+    """(kind, norm, attempt) of the entities that had to draw again; only those that lost a round take part in the next."""
+    drawn = lambda df: df.withColumn("core", F.lower(_core(key, F.col("kind"), F.col("norm"), F.col("attempt"))))
+    names = scratch.cut(entities.select("kind", "norm"), "names")
+    taken = names.select("kind", F.lower("norm").alias("core")).distinct()
+    left = names.withColumn("attempt", F.lit(0))
+    again = None
+    for number in range(ROUNDS):
+        tried = scratch.cut(drawn(left), "drawn")
+        owner = tried.groupBy("kind", "core").agg(F.min("norm").alias("owner"))
+        free = scratch.cut(owner.join(taken, ["kind", "core"], "left_anti"), "free")
+        lost = tried.join(free.withColumnRenamed("owner", "norm"), ["kind", "core", "norm"], "left_anti")
+        left = scratch.cut(lost.select("kind", "norm", (F.col("attempt") + 1).alias("attempt")), "left")
+        if number:
+            won = tried.join(left.select("kind", "norm"), ["kind", "norm"], "left_anti").select("kind", "norm", "attempt")
+            again = won if again is None else again.union(won)
+        if left.isEmpty():
+            return again if again is not None else left
+        taken = taken.union(free.select("kind", "core"))
+    # More entities than their format has values: these have to share.
+    return again.union(left)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, in any case of letters."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
 def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,36 +297,38 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
 
     A null text stays null with no entities. Distinct entities of a kind get distinct surrogates, none of which is an entity of the
     corpus; digits and letters keep their places, case and script, and country codes, top-level domains, titles and token prefixes
-    stay. Rows are judged by their texts, so ids may be null or repeated. A column called n_entities is replaced.
+    stay. Only where a format has fewer values than the corpus has entities, those left after ``ROUNDS`` draws may share one. Rows are judged by their
+    texts, so ids may be null or repeated. A column called n_entities is replaced; all others stay, whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     source = docs.withColumn(text_col, F.col(text_col).cast("string"))
     text = F.col(text_col)
+    found, redrawn, hashed = (_free(docs, name) for name in ("matches", "again", "hash"))
     scratch = Scratch(spark)
     with scratch:
         named = F.array_distinct(F.flatten(F.transform(F.array_distinct(_matches(text)), _named)))
-        held = source.where(_hinted(text)).select(F.sha2(F.encode(text, "utf-8"), 256).alias("__hash"), named.alias("units")).where(F.size("units") > 0)
+        held = source.where(_hinted(text)).select(F.sha2(F.encode(text, "utf-8"), 256).alias(hashed), named.alias("units")).where(F.size("units") > 0)
         held = scratch.keep(held, "held")
         units = held.select(F.explode("units").alias("u")).select("u.kind", "u.norm").distinct()
         again = scratch.keep(_settle(units, key, scratch), "again")
     never = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
-    matches = source.withColumn("__matches", _matches(text))
+    matches = source.withColumn(found, _matches(text))
     if again.isEmpty():
-        matches = matches.withColumn("__again", never)
+        matches = matches.withColumn(redrawn, never)
     else:
-        hold = held.select("__hash", F.explode("units").alias("u")).select("__hash", "u.kind", "u.norm").distinct()
-        looked = hold.join(again, ["kind", "norm"]).groupBy("__hash").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("\u0001"), "norm"), "attempt"))).alias("__again"))
-        plain = matches.withColumn("__hash", F.when(F.size("__matches") > 0, F.sha2(F.encode(text, "utf-8"), 256)))
-        without = plain.where("__hash is null").withColumn("__again", never)
-        matches = plain.where("__hash is not null").join(looked, "__hash", "left").unionByName(without).drop("__hash")
-        matches = matches.withColumn("__again", F.coalesce("__again", never))
+        hold = held.select(hashed, F.explode("units").alias("u")).select(hashed, "u.kind", "u.norm").distinct()
+        looked = hold.join(again, ["kind", "norm"]).groupBy(hashed).agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("\u0001"), "norm"), "attempt"))).alias(redrawn))
+        plain = matches.withColumn(hashed, F.when(F.size(found) > 0, F.sha2(F.encode(text, "utf-8"), 256)))
+        without = plain.where(F.col(hashed).isNull()).withColumn(redrawn, never)
+        matches = plain.where(F.col(hashed).isNotNull()).join(looked, hashed, "left").unionByName(without).drop(hashed)
+        matches = matches.withColumn(redrawn, F.coalesce(redrawn, never))
 
     def core(u: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at(F.col("__again"), F.concat(u["kind"], F.lit("\u0001"), u["norm"])), F.lit(0))
+        attempt = F.coalesce(F.try_element_at(F.col(redrawn), F.concat(u["kind"], F.lit("\u0001"), u["norm"])), F.lit(0))
         return _let(attempt, lambda n: _core(key, u["kind"], u["norm"], n))
 
     def replace(match: Column) -> Column:
         return _let(_kind(match), lambda kind: _fit(match, kind, F.transform(_units(match, kind), core)))
 
-    done = matches.withColumn(text_col, _rewrite(text, F.col("__matches"), replace)).withColumn("n_entities", F.coalesce(F.size("__matches"), F.lit(0)).cast("long"))
-    return done.drop("__matches", "__again")
+    done = matches.withColumn(text_col, _rewrite(text, F.col(found), replace)).withColumn("n_entities", F.coalesce(F.size(found), F.lit(0)).cast("long"))
+    return done.drop(found, redrawn)
