@@ -75,8 +75,8 @@ PATTERNS = {
 ANY = "|".join(PATTERNS.values())
 #: Calling codes of one and two digits; all others have three.
 _CODE = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
-#: What every match holds, to pass over most texts at once: a digit, an at sign, the beginning of a key, a run of hexadecimal letters, the beginning of a title, or a given name.
-HINTS = ["[0-9@]|AKIA|gh[pousr]_|sk-|[a-f]{32}|[A-F]{32}", "[MHFSLDPГΚДП](?:r|s|i|onsieur|adam|err|rau|eñor|o|ady|оспо|ύριος|υρία|окт|роф)", _GIVEN + r"[ \x{A0}]\p{Lu}"]
+#: What every match holds, to pass over most texts at once: a digit, an at sign, the beginning of a key, a run of hexadecimal letters, or a title or given name before a capital letter.
+HINTS = ["[0-9@]|AKIA|gh[pousr]_|sk-|[a-f]{32}|[A-F]{32}", rf"{_TITLE}\.?[ \x{{A0}}]\p{{Lu}}|{_GIVEN}[ \x{{A0}}]\p{{Lu}}"]
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -248,7 +248,7 @@ def _formatted(match: Column, kind: Column, cores: Column) -> Column:
 
 
 def _hinted(text: Column) -> Column:
-    return text.rlike(HINTS[0]) | text.rlike(HINTS[1]) | text.rlike(HINTS[2])
+    return text.rlike(HINTS[0]) | text.rlike(HINTS[1])
 
 
 def _matches(text: Column) -> Column:
@@ -307,8 +307,9 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     scratch = Scratch(spark)
     with scratch:
         named = F.array_distinct(F.flatten(F.transform(F.array_distinct(_matches(text)), _named)))
-        held = source.where(_hinted(text)).select(F.sha2(F.encode(text, "utf-8"), 256).alias(hashed), named.alias("units")).where(F.size("units") > 0)
-        held = scratch.keep(held, "held")
+        # Rows without units go when the table is read: a filter before that would find all matches a second time.
+        held = source.where(_hinted(text)).select(F.sha2(F.encode(text, "utf-8"), 256).alias(hashed), named.alias("units"))
+        held = scratch.keep(held, "held").where(F.size("units") > 0)
         units = held.select(F.explode("units").alias("u")).select("u.kind", "u.norm").distinct()
         again = scratch.keep(_settle(units, key, scratch), "again")
     never = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
@@ -318,10 +319,12 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     else:
         hold = held.select(hashed, F.explode("units").alias("u")).select(hashed, "u.kind", "u.norm").distinct()
         looked = hold.join(again, ["kind", "norm"]).groupBy(hashed).agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("\u0001"), "norm"), "attempt"))).alias(redrawn))
-        plain = matches.withColumn(hashed, F.when(F.size(found) > 0, F.sha2(F.encode(text, "utf-8"), 256)))
-        without = plain.where(F.col(hashed).isNull()).withColumn(redrawn, never)
-        matches = plain.where(F.col(hashed).isNotNull()).join(looked, hashed, "left").unionByName(without).drop(hashed)
-        matches = matches.withColumn(redrawn, F.coalesce(redrawn, never))
+        # Only texts with a hint are looked up; their matches are found once, after the join.
+        hint = F.coalesce(_hinted(text), F.lit(False))
+        asked = source.where(hint).withColumn(hashed, F.sha2(F.encode(text, "utf-8"), 256)).join(looked, hashed, "left").drop(hashed)
+        asked = asked.withColumn(found, _matches(text)).withColumn(redrawn, F.coalesce(redrawn, never))
+        plain = source.where(~hint).withColumn(found, F.array().cast("array<string>")).withColumn(redrawn, never)
+        matches = asked.select(*docs.columns, found, redrawn).unionByName(plain)
 
     def core(u: Column) -> Column:
         attempt = F.coalesce(F.try_element_at(F.col(redrawn), F.concat(u["kind"], F.lit("\u0001"), u["norm"])), F.lit(0))
