@@ -22,8 +22,13 @@ def one(spark, column, **values):
 def test_latest_attempts_keep_ties_and_null_keys(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), (None, 0, "n"), (None, 0, "m"), ("b", -1, "b")], "k string, n int, v string")
     assert rows(dedupe.latest_attempts(df, ["k"], "n"), "v") == [("b",), ("m",), ("n",), ("y",), ("z",)]
-    values = spark.createDataFrame([("3",), ("-2",), ("x",), (None,), ("true",)], "v string")
-    assert [r[0] for r in values.select(dedupe.attempt_number(F.col("v"))).collect()] == [3, 0, 0, 0, 0]
+    values = spark.createDataFrame([("3", 3, 2.7, True), ("x", -2, 1.0, False), (None, None, None, None)], "text string, n long, d double, b boolean")
+    found = values.select(*[dedupe.attempt_number(F.col(c)) for c in ("text", "n", "d", "b")]).collect()
+    assert [tuple(r) for r in found] == [(0, 3, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
+    nothing = spark.createDataFrame([("a", None, "x"), ("b", None, "y"), ("b", 1, "z")], "k string, n int, v string")
+    assert rows(dedupe.latest_attempts(nothing, ["k"], "n"), "v") == [("x",), ("z",)]
+    failed = spark.createDataFrame([("g", "k", None, "fail", "1")], "group string, key string, attempt int, status string, id string")
+    assert rows(rollups.completion(failed)) == [("g", "completed_best_effort", 1)]
 
 
 def test_first_last_and_best(spark):
@@ -56,12 +61,18 @@ def test_heartbeats_and_rules(spark):
     assert rows(ops.heartbeat_counts(beats, now)) == [("w", 1, 1), ("x", 0, 1)]
     assert rows(ops.latest_metrics(beats), "instance_id") == [("b",), ("c",)]
     assert rows(ops.latest_heartbeat(beats, ["service_role"]), "instance_id") == [("a",), ("c",)]
-    cases = [("5", "gt", "3", True), ("true", "gt", "0", False), ("5", "gte", "true", False), ("5", "eq", "5.0", True), ('"a"', "eq", '"a"', True), ('"5"', "gte", "5", False), (None, "lt", "1", False), (None, "neq", "1", True), ("1", "like", "1", False)]
+    cases = [("5", "gt", "3", True), ("true", "gt", "0", False), ("5", "gte", "true", False), ("5", "eq", "5.0", True), ('"a"', "eq", '"a"', True), ('"5"', "gte", "5", False), (None, "lt", "1", False), (None, "neq", "1", False), (None, "eq", None, False), ("1", "like", "1", False)]
     df = spark.createDataFrame(cases, "v string, o string, t string, want boolean")
     assert all(r[0] == r[1] for r in df.select(ops.rule_matches(F.col("v"), F.col("o"), F.col("t")), "want").collect())
     metrics = spark.createDataFrame([('{"browserRunner": {"queuedCount": 12, "retryRate": 0.1, "expired-x": true}, "staleHeartbeatCount": 1}',), ("no json",)], "metrics string")
     found = ops.alerts(metrics, spark.createDataFrame(ops.DEFAULT_RULES, ops.RULE))
     assert rows(found, "code") == [("browser_runner_queue_backlog",), ("ops_stale_heartbeats",)]
+    rules = spark.createDataFrame([("number", "i", "a", "gte", "50", None, True), ("text", "i", "b", "eq", '"abc"', None, None), ("off", "i", "a", "gt", "0", None, False), ("quoted", "i", "c", "gte", "1", None, True), ("other", "i", "d.e", "neq", "1", None, True), ("gone", "i", "z", "neq", "1", None, True)], ops.RULE + ", enabled boolean")
+    metrics = spark.createDataFrame([('{"a": 90, "b": "abc", "c": "90", "d": {"e": true}, "z": null}',), ('{"a": true}',), ("no json",), (None,)], "metrics string")
+    assert rows(ops.alerts(metrics, rules), "code", "value") == [("number", "90"), ("other", "true"), ("text", '"abc"')]
+    given = ops.configured_rules(spark, '{"rules": [{"code": "mine", "metric_path": "a.b", "operator": "gt", "threshold": 3}, {"code": "bad", "operator": "no"}, 5]}')
+    assert rows(given.where("code not like 'browser%'"), "code", "threshold", "enabled") == [("mine", "3", True), ("ops_stale_heartbeats", "0", True)]
+    assert ops.configured_rules(spark, "no json").count() == ops.configured_rules(spark, None).count() == 4
     events = spark.createDataFrame([("c", None, "i", None, 2), ("c", None, "i", None, 1), ("d", "r", None, "f", 3)], "code string, service_role string, instance_id string, field string, seq int")
     assert rows(ops.dedupe_alerts(events), "seq") == [(1,), (3,)]
 
@@ -224,3 +235,18 @@ def test_text_and_settings(spark):
     assert hidden == '{"apiKey":"[redacted]","keySecretRef":"env:X","n":[{"password":"[redacted]"}]}'
     docs = spark.createDataFrame([("1", '{"a-Token": 1, "token": "x", "n": [{"value": {"p": "<you>"}}, {"containsSecretValues": true, "secret": ""}]}'), ("2", "{")], "id string, j string")
     assert rows(settings.findings(docs, "id", "j"), "path", "finding") == [("$.n[0].value", "secret"), ("$.n[0].value.p", "placeholder"), ("$.n[1].containsSecretValues", "flag"), ("$.token", "secret")]
+
+
+def test_source_paths(spark):
+    cases = {"node:fs": "node:fs", "C:x/y.js": "C:x/y.js", "/abs/a.js": "abs/a.js", " ./a\\b.js ": "a/b.js", "webpack:///./src/a.js": "src/a.js", "https://x/y.js": None, " ": None}
+    df = spark.createDataFrame(list(cases.items()), "source string, want string")
+    assert all(r[0] == r[1] for r in df.select(inventory.source_path(F.col("source")), "want").collect())
+
+
+def test_times_without_zone_are_utc(spark):
+    df = spark.createDataFrame([("2024-01-01T10:00:00",), ("2024-01-01T12:00:00+02:00",), ("2024-01-01 10:00:00Z",), ("2024-01-01",), ("x",)], "t string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    got = [r[0] for r in df.select(F.unix_timestamp(text.try_parse_time(F.col("t")))).collect()]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [1704103200, 1704103200, 1704103200, 1704067200, None]

@@ -9,14 +9,20 @@ from pyspark.sql import functions as F
 OPEN_SCHEMES = ["artifact:", "memory:", "knowledge:"]
 
 
+def _zoned(text: Column) -> Column:
+    """ISO-8601 text with a zone: UTC where it names none."""
+    text = F.trim(text)
+    return F.when(text.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$") & text.rlike(r"\d[T ]\d"), text).when(text.rlike(r"\d[T ]\d"), F.concat(text, F.lit("Z"))).otherwise(F.concat(text, F.lit("T00:00:00Z")))
+
+
 def parse_time(text: Column) -> Column:
-    """ISO-8601 text as a timestamp; a time without zone is UTC (the session's zone). Bad text is an error."""
-    return F.to_timestamp(text)
+    """ISO-8601 text as a timestamp; a time without zone is UTC, whatever the session's zone. Bad text is an error."""
+    return F.to_timestamp(_zoned(text))
 
 
 def try_parse_time(text: Column) -> Column:
     """``parse_time``, with null for bad text."""
-    return F.try_to_timestamp(text)
+    return F.try_to_timestamp(_zoned(text))
 
 
 def millis_between(start: Column, end: Column) -> Column:

@@ -48,7 +48,10 @@ def diagnostics(lines: DataFrame) -> DataFrame:
     marked = marked.withColumn("number", F.count("d").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("number").between(1, MAX_DIAGNOSTICS))
     rest = F.col("d").isNull() & (F.trim("line") != "")
     place = F.col("line").rlike(LOCATION)
-    context = F.slice(F.transform(F.array_sort(F.collect_list(F.when(rest, F.struct("line_no", "line")))), lambda c: c["line"]), 1, MAX_CONTEXT)
+    # Lines are counted before any is collected, so that a long log is no long array.
+    nth = F.count(F.when(rest, 1)).over(Window.partitionBy("log_id", "number").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    marked = marked.withColumn("nth", nth)
+    context = F.transform(F.array_sort(F.collect_list(F.when(rest & (F.col("nth") <= MAX_CONTEXT), F.struct("line_no", "line")))), lambda c: c["line"])
     where = F.min(F.when(rest & place, F.struct("line_no", "line"))).getField("line")
     grouped = marked.groupBy("log_id", "number").agg(F.first("d", ignorenulls=True).alias("d"), context.alias("context"), where.alias("at"))
     lone = F.col("d.path").isNull()

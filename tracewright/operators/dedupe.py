@@ -26,15 +26,16 @@ def keep_best(df: DataFrame, keys: list[str], score: str, ties: list[str]) -> Da
 
 
 def attempt_number(value: Column) -> Column:
-    """An attempt as an integer of 0 at least; what is no integer is 0."""
-    return F.greatest(F.coalesce(value.try_cast("int"), F.lit(0)), F.lit(0))
+    """An attempt as an integer of 0 at least; what is no integer by type (a boolean, a fraction, a text, null) is 0."""
+    whole = F.typeof(value).isin("tinyint", "smallint", "int", "bigint")
+    return F.when(whole, F.greatest(F.coalesce(value.try_cast("bigint"), F.lit(0)), F.lit(0))).otherwise(F.lit(0)).cast("int")
 
 
 def latest_attempts(df: DataFrame, keys: list[str], attempt: str) -> DataFrame:
-    """All rows of the highest attempt of each key: a partial maximum and a join, so that a key of very many rows is no group."""
-    top = df.groupBy(*keys).agg(F.max(attempt).alias("__top"))
+    """All rows of the highest ``attempt_number`` of each key: a partial maximum and a join, so that a key of very many rows is no group."""
+    top = df.groupBy(*keys).agg(F.max(attempt_number(F.col(attempt))).alias("__top"))
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    joined = df.alias("a").join(top.alias("b"), [*same, F.col(f"a.{attempt}") == F.col("b.__top")], "left_semi")
+    joined = df.alias("a").join(top.alias("b"), [*same, attempt_number(F.col(f"a.{attempt}")) == F.col("b.__top")], "left_semi")
     return joined.select([F.col(f"a.{c}") for c in df.columns])
 
 

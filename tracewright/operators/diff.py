@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,12 +94,12 @@ def flatten(docs: DataFrame, key: str, json: str) -> DataFrame:
 
 def value_differences(left: DataFrame, right: DataFrame, keys: list[str], path: str = "path", value: str = "value", limit: int = DIFFERENCES) -> DataFrame:
     """(keys, path, left_value, right_value) where the values differ, nulls equal: the first ``limit`` paths of each key."""
-    from pyspark.sql import Window
-
     a = left.select(*keys, path, F.col(value).alias("left_value"))
     b = right.select(*keys, path, F.col(value).alias("right_value"))
     found = a.join(b, [*keys, path], "full_outer").where(~F.col("left_value").eqNullSafe(F.col("right_value")))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(path)) if keys else F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(path))
+    if not keys:
+        return found.orderBy(path).limit(limit)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(path))
     return found.withColumn("__rank", rank).where(F.col("__rank") <= limit).drop("__rank")
 
 

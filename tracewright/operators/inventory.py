@@ -191,10 +191,11 @@ def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def source_path(source: Column) -> Column:
-    """The path of a source-map source: local schemes are taken off, other schemes give null."""
-    scheme = F.regexp_extract(source, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
-    bare = F.regexp_replace(F.regexp_replace(source, r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", ""), r"^(\./)+", "")
-    return F.when(scheme == "", F.regexp_replace(source, r"^(\./)+", "")).when(F.lower(scheme).isin(LOCAL_SCHEMES), bare)
+    """The path of a source-map source, without leading slashes: local schemes before a slash are taken off, other schemes and blank texts give null."""
+    clean = F.nullif(F.trim(F.replace(F.trim(source), F.lit("\\"), F.lit("/"))), F.lit(""))
+    scheme = F.regexp_extract(clean, r"^([a-zA-Z][a-zA-Z0-9+.-]*):/+.+$", 1)
+    inner = F.when(scheme == "", clean).when(F.lower(scheme).isin(LOCAL_SCHEMES), F.regexp_replace(clean, r"^[^:]+:/+", ""))
+    return F.regexp_replace(F.regexp_replace(inner, r"^\./", ""), "^/+", "")
 
 
 def source_map_sources(maps: DataFrame) -> DataFrame:
