@@ -40,10 +40,10 @@ SKETCH_SCHEMA = "doc_id long, text_hash long, n_shingles long, digest binary, ba
 
 
 class _WordHash(dict):
-    """Word to 64-bit hash, emptied when it grows beyond a million words."""
+    """Word to 64-bit hash, emptied when it grows beyond a quarter of a million words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

@@ -33,9 +33,9 @@ from tracewright.llm.common import Scratch, slices
 WINDOW, GRAM = 50, 16
 BACK = WINDOW - GRAM
 #: Suffixes of a batch, and bytes of text that are hashed at once.
-BATCH, SEGMENT = 1 << 16, 1 << 20
+BATCH, SEGMENT = 1 << 15, 1 << 20
 #: Bytes of text that a task reads together, and of the texts whose suffixes make a bucket on average.
-SLICE, BUCKET = 4 << 20, 8 << 20
+SLICE, BUCKET = 3 << 20, 6 << 20
 #: Different cells from which a gram is dealt by windows, but at most ``MOST_HOT`` grams are; bytes of the sample (and a 64th of the texts).
 HOT, MOST_HOT, SAMPLE = 1 << 16, 100_000, 16 << 20
 
@@ -248,6 +248,7 @@ class Family:
             rows, doc, mark, start, fresh = rows[keep], doc[keep], mark[keep], start[keep], fresh[keep]
             place, first, n = windows(rows, doc, fresh)
             yield doc[place], mark[place], start[place] + first, n
+            del rows, parts, known
         self.add(own.take(~dead))
 
 
@@ -347,39 +348,43 @@ def _hits(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in found], names=["doc_id", "mark", "start", "n"])
 
 
-def _suffix_batches(buckets: int, hot: np.ndarray):
-    """Suffixes packed by bucket, and what the slice's own smaller documents match, as packed hits without a body."""
+def _packed_slice(doc: np.ndarray, mark: np.ndarray, offset: np.ndarray, texts: list[bytes], buckets: int, hot: np.ndarray, segment: int) -> pa.RecordBatch:
+    """The suffixes of a slice packed by bucket, and what its own smaller documents match, as packed hits without a body."""
+    buffer, found = cells(texts, segment)
+    found = _singles(buffer, found, hot)
+    piece, left = found["doc"], found["gram"] - found["at"]
+    right = found["n"] + WINDOW - 1 - left
+    docs, marks, start = doc[piece], mark[piece], found["at"] - found["begin"] + offset[piece]
+    rows = records(buffer, found["gram"], left, right)
+    order = _ordered(rows)
+    late = np.zeros(len(order), bool)
+    late[order] = docs[order] > _least(docs[order], _groups(rows[order]))
+    del rows, order
+    out: list[tuple] = []
+    if late.any():
+        hits = _joined(docs[late], marks[late], start[late], found["n"][late])
+        meta = b"".join(np.asarray(x, "<i8").tobytes() for x in hits)
+        out.append((int(_mix(doc[:1].astype(np.uint64))[0] % np.uint64(buckets)), len(hits[0]), 0, _squeezed(meta), None))
+    keep = np.flatnonzero(~late)
+    bucket = (_mix(found["key"][keep]) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")  # in a bucket by document, which compresses best
+    keep, bucket = keep[order], bucket[order]
+    whole = np.frombuffer(buffer, np.uint8)
+    begins = _firsts(bucket[1:] == bucket[:-1]) if len(bucket) else bucket
+    for a, b in zip(begins, np.append(begins[1:], len(bucket)), strict=True):
+        i = keep[a:b]
+        meta = docs[i].astype("<i8").tobytes() + marks[i].astype("<u4").tobytes() + start[i].astype("<u4").tobytes() + left[i].astype(np.uint8).tobytes() + right[i].astype(np.uint8).tobytes()
+        size = left[i] + right[i]
+        part = whole[np.repeat(found["at"][i] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        out.append((int(bucket[a]), len(i), len(part), _squeezed(meta), _squeezed(part.tobytes())))
+    columns = zip(*out, strict=True) if out else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "n", "size", "meta", "body"])
+
 
+def _suffix_batches(buckets: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, mark, offset, texts in _pieces(batches, SLICE):
-            buffer, found = cells(texts, SEGMENT)
-            found = _singles(buffer, found, hot)
-            piece, left = found["doc"], found["gram"] - found["at"]
-            right = found["n"] + WINDOW - 1 - left
-            rows = records(buffer, found["gram"], left, right)
-            docs, marks, start = doc[piece], mark[piece], found["at"] - found["begin"] + offset[piece]
-            order = _ordered(rows)
-            late = np.zeros(len(order), bool)
-            late[order] = docs[order] > _least(docs[order], _groups(rows[order]))
-            out: list[tuple] = []
-            if late.any():
-                hits = _joined(docs[late], marks[late], start[late], found["n"][late])
-                meta = b"".join(np.asarray(x, "<i8").tobytes() for x in hits)
-                out.append((int(_mix(doc[:1].astype(np.uint64))[0] % np.uint64(buckets)), len(hits[0]), 0, _squeezed(meta), None))
-            keep = np.flatnonzero(~late)
-            bucket = (_mix(found["key"][keep]) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")  # in a bucket by document, which compresses best
-            keep, bucket = keep[order], bucket[order]
-            whole = np.frombuffer(buffer, np.uint8)
-            begins = _firsts(bucket[1:] == bucket[:-1]) if len(bucket) else bucket
-            for a, b in zip(begins, np.append(begins[1:], len(bucket)), strict=True):
-                i = keep[a:b]
-                meta = docs[i].astype("<i8").tobytes() + marks[i].astype("<u4").tobytes() + start[i].astype("<u4").tobytes() + left[i].astype(np.uint8).tobytes() + right[i].astype(np.uint8).tobytes()
-                size = left[i] + right[i]
-                part = whole[np.repeat(found["at"][i] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-                out.append((int(bucket[a]), len(i), len(part), _squeezed(meta), _squeezed(part.tobytes())))
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "n", "size", "meta", "body"])
+        for piece in _pieces(batches, SLICE):
+            yield _packed_slice(*piece, buckets, hot, SEGMENT)
 
     return run
 
@@ -399,7 +404,9 @@ def _scan_bucket(most: int):
         held: list[tuple[np.ndarray, ...]] = []
 
         def scanned() -> Iterator[pa.RecordBatch]:
-            for found in family.scan(Suffixes.of(*(np.concatenate(x) for x in zip(*held, strict=True)))):
+            batch = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            for found in family.scan(Suffixes.of(*batch)):
                 if len(found[0]):
                     yield _hits(found)
 
@@ -411,7 +418,6 @@ def _scan_bucket(most: int):
                 held.append(_unpack(n, size, meta, body))
                 if sum(len(h[1]) for h in held) >= most:
                     yield from scanned()
-                    held = []
         if held:
             yield from scanned()
         yield _hits((np.zeros(0),) * 4)
