@@ -364,10 +364,17 @@ def zero_filled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.zero_filled(labels, ["0-0", "0-1", "1-0", "1-1", "2-0"], "pair")
 
 
-@query("html_refs")
+@query(
+    "html_refs",
+    """SELECT 'p' || page_id || '.html' AS html_path, CASE k WHEN 0 THEN 'js/' || page_id || '.js' WHEN 1 THEN 'css/' || page_id % 7 || '.css' ELSE 'img/' || page_id % 5 || '.png' END AS path,
+      CASE k WHEN 0 THEN 'script' WHEN 1 THEN 'style' ELSE 'asset' END AS kind FROM pages, (VALUES (0), (1), (2)) t(k)""",
+)
 def html_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References of pages to files of their package; the pages here have none, so that the tests use their own."""
-    return inventory.html_references(table(spark, sf_dir, "pages"), "url", "html")
+    """References of pages to files of their package. The pages have none, so each gets a script, a style sheet and an image, and others that do not count."""
+    n = F.col("page_id")
+    tags = F.format_string('<script src="js/%d.js?v=1"></script><link rel="stylesheet" href="./css/%d.css"><img src="img/%d.png"><!-- <img src="no.png"> --><script src="https://host/no.js"></script>', n, n % 7, n % 5)
+    pages = table(spark, sf_dir, "pages").select(F.format_string("p%d.html", n).alias("path"), F.concat("html", tags).alias("html"))
+    return inventory.html_references(pages, "path", "html").select("html_path", "path", "kind")
 
 
 @query("slug_groups", r"SELECT trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS slug, count(*) AS n FROM part GROUP BY 1")
