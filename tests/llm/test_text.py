@@ -145,3 +145,33 @@ def test_quality_votes(spark):
     none = quality.train(docs, labels.limit(0))
     assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
     assert quality.score(empty(spark), model).collect() == []
+
+
+def test_predictions_match_brute_force(spark):
+    """Profiles and cosines by loops over letters, for whole texts of several languages."""
+    letters, symbols = language._letter_vectors().astype(int), language._symbols()
+
+    def bundle(text):
+        codes = [0] + [int(symbols[ord(c)]) for c in (text or "").replace("\0", " ").lower()] + [0]
+        out = np.zeros(language.DIMENSIONS, int)
+        for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+            if b:
+                out += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return out
+
+    rows = [(1, "the cat sat on the mat and the dog ran", "en"), (2, "der Hund und die Katze sind im Garten", "de"), (3, "le chat est sur la table avec le chien", "fr"), (4, "the dog and the cat", "en")]
+    asked = [*rows, (5, "die Katze", None), (6, "", "en"), (7, None, "en"), (8, "12 !", "en"), (9, "la table " * 50_000, None), (10, "日本語", None)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    profiles = {}
+    for _, text, lang in rows:
+        profiles[lang] = profiles.get(lang, 0) + bundle(text)
+    names = sorted(profiles)
+    got = {r.doc_id: r for r in language.predict(spark.createDataFrame(asked, "doc_id long, text string, lang string"), language.train(train)).collect()}
+    for i, text, _ in asked:
+        vector = bundle(text if i != 9 else "la table " * 50)
+        if not vector.any():
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        cosines = [vector @ profiles[n] / np.linalg.norm(vector) / np.linalg.norm(profiles[n]) for n in names]
+        assert got[i].lang_pred == names[int(np.argmax(cosines))]
+        assert abs(got[i].score - min(1, max(0, max(cosines)))) < (1e-5 if i != 9 else 1e-2)
