@@ -231,3 +231,31 @@ def symbol_rank(symbols: DataFrame, key: str, k: int) -> DataFrame:
     """The ``k`` most referenced symbols of each package, names breaking ties."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("references").desc(), F.col("name").asc()))
     return symbols.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def import_usage(usages: DataFrame) -> DataFrame:
+    """One row for each (package, importer, specifier): sorted imported and re-exported names, and whether a default, a namespace or everything is taken, or nothing.
+
+    ``usages`` has name and exported_as (null where none) and the booleans default_import, namespace_import, side_effect_only, export_all; null is false.
+    """
+    flags = ["default_import", "namespace_import", "side_effect_only", "export_all"]
+    names = lambda column: F.array_sort(F.collect_set(column))
+    return usages.groupBy("package", "importer", "specifier").agg(names("name").alias("names"), names("exported_as").alias("exported"), *[F.coalesce(F.bool_or(f), F.lit(False)).alias(f) for f in flags])
+
+
+def missing_dependencies(usage: DataFrame, paths: DataFrame) -> DataFrame:
+    """The relative imports that meet no file: (package, importer, specifier, resolved_path, reason, status).
+
+    ``paths`` has package, path, is_file, for directories too. A path that leaves the package is unsafe, one that is no file is a conflict; for the others, which
+    are missing, a placeholder is generated.
+    """
+    clean = F.split("specifier", "[?#]")[0]
+    directory = F.regexp_extract("importer", r"^(.*/)?[^/]*$", 1)
+    joined = F.concat(directory, clean)
+    resolved = _normal_path(joined)
+    relative = usage.where(F.col("specifier").startswith("./") | F.col("specifier").startswith("../")).select("package", "importer", "specifier", resolved.alias("resolved_path"), (F.contains(clean, F.lit("\\")) | joined.startswith("/") | (resolved == "..") | resolved.startswith("../")).alias("unsafe"))
+    held = paths.groupBy("package", F.col("path").alias("resolved_path")).agg(F.bool_or("is_file").alias("is_file"))
+    found = relative.join(held, ["package", "resolved_path"], "left").where("unsafe or is_file is null or not is_file")
+    reason = F.when(F.col("unsafe"), "unsafe_relative_dependency").when(F.col("is_file").isNotNull(), "dependency_path_conflict").otherwise("missing_static_relative_dependency")
+    generated = ~F.col("unsafe") & F.col("is_file").isNull()
+    return found.select("package", "importer", "specifier", F.when(~F.col("unsafe"), F.col("resolved_path")).alias("resolved_path"), reason.alias("reason"), F.when(generated, "generated").otherwise("unsupported").alias("status"))

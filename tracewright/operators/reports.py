@@ -18,6 +18,7 @@ LISTED, MESSAGE = 8, 180
 ATTENTION = ["fail", "retry", "best_effort"]
 ATTEMPTS, MOST_ATTEMPTS = 2, 5
 MOST_REVISIONS = 500
+REPAIR_ACTIONS = ["add_package_script", "replace_package_script", "mirror_original_static_entry"]
 
 
 def compact(items: Column, fields: list[str], text: str | None = None) -> Column:
@@ -221,3 +222,72 @@ def placeholder_rows(plans: DataFrame) -> DataFrame:
     exports = F.array_join(F.array_distinct(F.concat(default, p["names"], more)), ", ")
     rows = plans.select("plan_id", F.explode("placeholders").alias("p"))
     return rows.select("plan_id", F.coalesce(p["status"], F.lit("unsupported")).alias("status"), F.coalesce(p["importer"], F.lit("unknown")).alias("importer"), F.coalesce(p["specifier"], F.lit("unknown")).alias("specifier"), F.coalesce(F.nullif(exports, F.lit("")), F.lit("load only")).alias("exports"))
+
+
+def review_rows(reviews: DataFrame) -> DataFrame:
+    """Reviews as report rows: the first references, their number, and links to evidence in order without repeats. ``refs`` is an array of structs with artifact_id and label."""
+    ids = F.concat(F.coalesce("repair_ids", F.array().cast("array<string>")), F.coalesce(F.transform("refs", lambda r: r["artifact_id"]), F.array().cast("array<string>")))
+    return reviews.select(
+        "id",
+        F.coalesce("review_type", "stage").alias("review_type"),
+        attempt_number(F.col("attempt")).alias("attempt"),
+        F.coalesce("status", F.lit("unknown")).alias("status"),
+        F.coalesce("failure_class", F.lit("unknown")).alias("failure_class"),
+        compact(F.col("refs"), ["artifact_id", "label"]).alias("refs"),
+        F.coalesce(F.size("refs"), F.lit(0)).alias("ref_count"),
+        links(F.col("id"), F.col("logs_id"), ids).alias("links"),
+    )
+
+
+def attachment_reason(
+    include_kinds: list[str] | None = None, exclude_kinds: list[str] | None = None, sensitivity: list[str] | None = None, retention: list[str] | None = None, max_bytes: int | None = None
+) -> Column:
+    """Why an artifact (kind, sensitivity_class, retention_class, size, is_file) is not attached, by the first rule that holds; null if it is."""
+    outside = lambda name, values: F.lit(False) if values is None else ~F.coalesce(F.col(name).isin(values), F.lit(False))
+    rules = [
+        (outside("kind", include_kinds), "kind_not_included"),
+        (F.coalesce(F.col("kind").isin(exclude_kinds or []), F.lit(False)), "kind_excluded"),
+        (outside("sensitivity_class", sensitivity), "sensitivity_not_included"),
+        (outside("retention_class", retention), "retention_not_included"),
+        (F.lit(False) if max_bytes is None else F.col("size") > max_bytes, "too_large"),
+        (~F.coalesce("is_file", F.lit(False)), "no_file"),
+    ]
+    return ordered_case(rules, F.lit(None).cast("string"))
+
+
+def attachment_counts(artifacts: DataFrame, reason: Column, keys: list[str]) -> DataFrame:
+    return artifacts.groupBy(*keys).agg(F.count_if(reason.isNull()).alias("included"), F.count_if(reason.isNotNull()).alias("omitted"))
+
+
+def action_problem(action: Column, path: Column, value: Column, reason: Column) -> Column:
+    """Why a repair action is not taken: a blank field, or an action that is not known; null for a good one."""
+    blank = F.lit(False)
+    for field in (action, path, value, reason):
+        blank = blank | (F.coalesce(F.trim(field), F.lit("")) == "")
+    return F.when(blank, "blank_field").when(~action.isin(REPAIR_ACTIONS), F.concat(F.lit("unsupported_action:"), action))
+
+
+def actions_by_artifact(actions: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key the numbers of approved and rejected actions, and the reasons of the rejected ones; null ``problem`` is approved."""
+    return actions.groupBy(*keys).agg(F.count_if(F.col("problem").isNull()).alias("approved"), F.count_if(F.col("problem").isNotNull()).alias("rejected"), F.array_sort(F.collect_set("problem")).alias("problems"))
+
+
+def planner_selection(plans: DataFrame, allowed: list[str]) -> DataFrame:
+    """(all columns, selected, fallback): the planned names in allowed order, or all that are available with the reason why.
+
+    ``plans`` has status (null without a plan), failure_class, planned and available (arrays).
+    """
+    names, bad = F.array(*[F.lit(a) for a in allowed]), F.col("status").isin("fail", "retry", "skipped") | (F.coalesce("failure_class", F.lit("none")) != "none")
+    outside = F.exists("planned", lambda name: name.isNull()) | (F.size(F.array_except("planned", names)) > 0)
+    chosen = F.filter(names, lambda name: F.array_contains("planned", name) & F.array_contains("available", name))
+    why = ordered_case(
+        [
+            (F.col("status").isNull(), F.lit("planner_execution_missing")),
+            (bad, F.concat(F.lit("planner_execution_"), "status", F.lit(":"), F.coalesce("failure_class", F.lit("none")))),
+            (F.coalesce(F.size("planned"), F.lit(0)) < 1, F.lit("planner_selection_empty")),
+            (F.coalesce(outside, F.lit(False)), F.lit("planner_selection_outside_allowlist")),
+            (F.size(chosen) == 0, F.lit("planner_selection_unavailable")),
+        ],
+        F.lit(None).cast("string"),
+    )
+    return plans.withColumn("fallback", why).withColumn("selected", F.when(F.col("fallback").isNull(), chosen).otherwise(F.col("available")))
