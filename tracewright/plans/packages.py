@@ -166,8 +166,9 @@ def release_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "evaluation_runs",
-    """SELECT o_custkey, count(*) AS runs, round(avg(o_orderkey % 100), 3) AS mean_duration_ms, round(avg(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE round((o_orderkey % 4) / (o_orderkey % 5), 4) END), 4) AS mean_validation_rate,
-      round(avg(round((o_orderkey % 3) / 2, 4)), 4) AS mean_approval_rate, CAST(sum(o_orderkey % 3) AS BIGINT) AS applied, CAST(sum(o_orderkey % 2) AS BIGINT) AS conflicts FROM orders GROUP BY 1""",
+    """WITH r AS (SELECT o_custkey, o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE CAST(round(10000 * (o_orderkey % 4) / (o_orderkey % 5)) AS BIGINT) END AS v, o_orderkey % 3 * 5000 AS a FROM orders)
+      SELECT o_custkey, count(*) AS runs, round(avg(k % 100), 3) AS mean_duration_ms, ((2 * sum(v) + count(*)) // (2 * count(*))) / 10000 AS mean_validation_rate,
+        ((2 * sum(a) + count(*)) // (2 * count(*))) / 10000 AS mean_approval_rate, CAST(sum(k % 3) AS BIGINT) AS applied, CAST(sum(k % 2) AS BIGINT) AS conflicts FROM r GROUP BY 1""",
 )
 def evaluation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as runs of an evaluation."""
