@@ -105,3 +105,26 @@ def replay(events: DataFrame) -> DataFrame:
 def throughput(runs: Column, duration_ms: Column) -> Column:
     """Runs a second to three digits, halves to even; without a duration the number of runs."""
     return F.when(duration_ms <= 0, runs.cast("double")).otherwise(F.bround(runs / (duration_ms / 1000), 3))
+
+
+def queue_alerts(metrics: DataFrame, keys: list[str], workers: int, queue_age_ms: int, claim_latency_ms: int, expired: int, retry_rate: float) -> DataFrame:
+    """(keys, position, code, severity, field, value, threshold) of the limits that a queue's metrics exceed, in fixed order; null metrics exceed none.
+
+    ``metrics`` has backend_status, queued_count, oldest_queued_age_ms, claim_latency_ms, expired_running_count and retry_rate.
+    """
+
+    def over(code: str, severity: str, field: str, limit, also: Column | None = None) -> Column:
+        alert = F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(field).alias("field"), F.col(field).cast("string").alias("value"), F.lit(str(limit)).alias("threshold"))
+        rule = F.col(field) > limit
+        return F.when(rule if also is None else rule & also, alert)
+
+    unhealthy = F.struct(F.lit("backend_unhealthy").alias("code"), F.lit("critical").alias("severity"), F.lit("backend_status").alias("field"), F.col("backend_status").alias("value"), F.lit("ok").alias("threshold"))
+    found = [
+        F.when(~F.col("backend_status").eqNullSafe("ok"), unhealthy),
+        over("queue_backlog", "warning", "queued_count", workers, F.coalesce("claim_latency_ms", F.lit(0)) > 0),
+        over("queue_age_high", "warning", "oldest_queued_age_ms", queue_age_ms),
+        over("claim_latency_high", "warning", "claim_latency_ms", claim_latency_ms),
+        over("expired_running_leases", "critical", "expired_running_count", expired),
+        over("retry_rate_high", "warning", "retry_rate", retry_rate),
+    ]
+    return metrics.select(*keys, F.posexplode(F.array_compact(F.array(*found))).alias("position", "alert")).select(*keys, "position", "alert.*")

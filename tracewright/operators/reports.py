@@ -18,6 +18,14 @@ LISTED, MESSAGE = 8, 180
 ATTENTION = ["fail", "retry", "best_effort"]
 ATTEMPTS, MOST_ATTEMPTS = 2, 5
 MOST_REVISIONS = 500
+# Sections of a report by the kinds of their artifacts, in order; the index of attachments has none.
+SECTIONS = {
+    "completion-decision": ["audit_report", "html_report"],
+    "risk-and-failure-groups": ["build_artifact", "runtime_validation", "review_run"],
+    "runtime-compare-difference-summary": ["runtime_comparison", "runtime_scenario", "runtime_trace", "runtime_screenshot"],
+    "evidence-attachment-index": [],
+    "reproduction": ["result_package", "evidence_index"],
+}
 REPAIR_ACTIONS = ["add_package_script", "replace_package_script", "mirror_original_static_entry"]
 
 
@@ -291,3 +299,48 @@ def planner_selection(plans: DataFrame, allowed: list[str]) -> DataFrame:
         F.lit(None).cast("string"),
     )
     return plans.withColumn("fallback", why).withColumn("selected", F.when(F.col("fallback").isNull(), chosen).otherwise(F.col("available")))
+
+
+def matching_sections(sections: DataFrame, query: str) -> DataFrame:
+    """The sections in which, or in whose details, a text stands in any case, with the matching details; all of them where only the section matches.
+
+    ``sections`` has anchor, summary, title, arrays artifact_ids, artifact_kinds, links, and details (array of structs with label, value, status, text). A blank query keeps everything.
+    """
+    wanted = query.strip().lower()
+    if not wanted:
+        return sections
+    held = lambda *texts: F.contains(F.lower(F.array_join(F.array_compact(F.concat(*texts)), " ")), F.lit(wanted))
+    lists = [F.coalesce(c, F.array().cast("array<string>")) for c in ("artifact_ids", "artifact_kinds", "links")]
+    found = F.filter("details", lambda d: held(F.array(d["label"], d["value"], d["status"], d["text"])))
+    some = F.coalesce(F.size(found), F.lit(0)) > 0
+    return sections.where(held(F.array("anchor", "summary", "title"), *lists) | some).withColumn("details", F.when(some, found).otherwise(F.col("details")))
+
+
+def fallback_sections(jobs: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """(job_id, position, anchor, artifact_id): the sections of a report of which nothing but artifacts (job_id, id, kind, included) is known.
+
+    Each section has a row for each artifact of its kinds, the index of attachments one for each that is included, and one without an id where there is none.
+    """
+    parts = F.array(*[F.struct(F.lit(n).alias("position"), F.lit(anchor).alias("anchor"), (F.array(*[F.lit(k) for k in kinds]) if kinds else F.array(F.lit("*"))).alias("kinds")) for n, (anchor, kinds) in enumerate(SECTIONS.items())])
+    wanted = jobs.select("job_id", F.explode(parts).alias("s")).select("job_id", "s.position", "s.anchor", F.explode("s.kinds").alias("kind"))
+    held = artifacts.select("job_id", "kind", F.col("id").alias("artifact_id")).unionByName(artifacts.where("included").select("job_id", F.lit("*").alias("kind"), F.col("id").alias("artifact_id")))
+    found = wanted.join(held, ["job_id", "kind"]).select("job_id", "position", "anchor", "artifact_id")
+    empty = wanted.select("job_id", "position", "anchor").distinct().join(found, ["job_id", "position"], "left_anti")
+    return found.unionByName(empty.withColumn("artifact_id", F.lit(None).cast("string")))
+
+
+def runner_kinds(boundary: Column) -> Column:
+    """The kinds of runners of an execution boundary (JSON), its own and those of its two sides, in order without repeats."""
+    paths = ["$.runnerKind", "$.original.runnerKind", "$.reconstructed.runnerKind"]
+    return F.array_distinct(F.array_compact(F.array(*[F.nullif(F.get_json_object(boundary, p), F.lit("")) for p in paths])))
+
+
+def input_summary(packages: DataFrame, lists: list[str], symbols: str) -> DataFrame:
+    """All columns; the first eight texts of each list, and ``symbol_count`` and ``symbol_sample`` of the symbols."""
+    first = lambda c: F.array_compact(F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, LISTED))
+    return packages.withColumns({**{c: first(F.col(c)) for c in lists}, "symbol_count": F.coalesce(F.size(symbols), F.lit(0)), "symbol_sample": first(F.col(symbols))})
+
+
+def latest_labels(viewports: DataFrame) -> DataFrame:
+    """(value, label): of each viewport the last label by ``seq``, in order of labels."""
+    return viewports.groupBy("value").agg(F.max_by("label", "seq").alias("label")).orderBy("label", "value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.operators import graphs, inventory, knowledge, releases, reports
+from tracewright.operators import graphs, inventory, knowledge, queue, releases, reports
 from tracewright.plans.registry import query
 
 
@@ -391,3 +391,82 @@ def planner_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
         names("review", "build").alias("available"),
     )
     return reports.planner_selection(plans, ["build", "runtime", "review"]).select("o_orderkey", "fallback", F.array_join("selected", ",").alias("selected"))
+
+
+@query(
+    "queue_threshold_alerts",
+    """WITH m AS (SELECT o_orderkey AS k, o_orderkey % 9 AS queued, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 100 END AS age, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 50 END AS latency, o_orderkey % 3 AS expired, (o_orderkey % 8) / 8 AS rate, o_orderstatus <> 'O' AS sick FROM orders)
+      SELECT k AS o_orderkey, 'backend_unhealthy' AS code, 'critical' AS severity FROM m WHERE sick UNION ALL SELECT k, 'queue_backlog', 'warning' FROM m WHERE queued > 4 AND latency > 0
+      UNION ALL SELECT k, 'queue_age_high', 'warning' FROM m WHERE age > 60 UNION ALL SELECT k, 'claim_latency_high', 'warning' FROM m WHERE latency > 30
+      UNION ALL SELECT k, 'expired_running_leases', 'critical' FROM m WHERE expired > 0 UNION ALL SELECT k, 'retry_rate_high', 'warning' FROM m WHERE rate > 0.25""",
+)
+def queue_threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as metrics of queues."""
+    key = F.col("o_orderkey")
+    metrics = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderstatus") == "O", "ok").when(F.col("o_orderstatus") == "F", "down").alias("backend_status"),
+        (key % 9).alias("queued_count"),
+        F.when(key % 4 > 0, key % 100).alias("oldest_queued_age_ms"),
+        F.when(key % 5 > 0, key % 50).alias("claim_latency_ms"),
+        (key % 3).alias("expired_running_count"),
+        ((key % 8) / 8).alias("retry_rate"),
+    )
+    return queue.queue_alerts(metrics, ["o_orderkey"], 4, 60, 30, 0, 0.25).select("o_orderkey", "code", "severity")
+
+
+@query(
+    "section_search",
+    """WITH d AS (SELECT o_orderkey, lower(o_orderpriority) LIKE '%urgent%' AS section, unnest([o_orderstatus, CAST(o_custkey AS VARCHAR) || 'urgent' || (o_custkey % 3)]) AS label FROM orders),
+      e AS (SELECT o_orderkey, section, label, o_orderkey % 2 = 0 AND label LIKE '%urgent%' AS hit FROM d)
+      SELECT o_orderkey, CAST(CASE WHEN bool_or(hit) THEN 1 ELSE 2 END AS INTEGER) AS details FROM e GROUP BY o_orderkey HAVING bool_or(section) OR bool_or(hit)""",
+)
+def section_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sections of reports; every second one has a detail that matches, urgent ones match themselves."""
+    detail = lambda label: F.struct(label.alias("label"), F.lit("v").alias("value"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("text"))
+    second = F.when(F.col("o_orderkey") % 2 == 0, _text(F.col("o_custkey"), "Urgent", F.col("o_custkey") % 3)).otherwise("x")
+    none = F.lit(None).cast("array<string>")
+    sections = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("a").alias("anchor"), F.lit(None).cast("string").alias("summary"), F.col("o_orderpriority").alias("title"), none.alias("artifact_ids"), none.alias("artifact_kinds"), none.alias("links"), F.array(detail(F.col("o_orderstatus")), detail(second)).alias("details"))
+    return reports.matching_sections(sections, " URGENT ").select("o_orderkey", F.size("details").alias("details"))
+
+
+@query(
+    "fallback_sections",
+    """WITH a AS (SELECT o_custkey AS job_id, CAST(o_orderkey AS VARCHAR) AS id, o_orderkey % 4 AS kind, o_orderkey % 3 = 0 AS included FROM orders),
+      h AS (SELECT job_id, id, CASE kind WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE -1 END AS position FROM a UNION ALL SELECT job_id, id, 3 FROM a WHERE included)
+      SELECT c_custkey AS job_id, CAST(p AS INTEGER) AS position, h.id AS artifact_id FROM customer CROSS JOIN range(5) AS r(p) LEFT JOIN h ON h.job_id = c_custkey AND h.position = p""",
+)
+def fallback_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as jobs, orders as their artifacts."""
+    key = F.col("o_orderkey")
+    kind = F.when(key % 4 == 0, "audit_report").when(key % 4 == 1, "review_run").when(key % 4 == 2, "runtime_trace").otherwise("other")
+    artifacts = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id"), key.cast("string").alias("id"), kind.alias("kind"), (key % 3 == 0).alias("included"))
+    return reports.fallback_sections(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id")), artifacts).select("job_id", "position", "artifact_id")
+
+
+@query(
+    "input_summaries",
+    "SELECT doc_id, coalesce(array_to_string(string_split(text, ' ')[1:8], ' '), '') AS words, coalesce(len(string_split(text, ' ')), 0) AS symbol_count FROM documents",
+)
+def input_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight words of documents, and how many there are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("names"))
+    return reports.input_summary(docs, [], "names").select("doc_id", F.array_join("symbol_sample", " ").alias("words"), F.col("symbol_count").cast("long").alias("symbol_count"))
+
+
+@query("viewport_labels", "SELECT o_orderpriority AS value, arg_max(CAST(o_custkey AS VARCHAR), o_orderkey) AS label FROM orders GROUP BY 1")
+def viewport_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.latest_labels(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("value"), F.col("o_custkey").cast("string").alias("label"), F.col("o_orderkey").alias("seq")))
+
+
+@query(
+    "boundary_runners",
+    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'r' || o_custkey % 2 WHEN 2 THEN 'r0,r1' ELSE 'r' || o_custkey % 2 || CASE o_custkey % 2 WHEN 0 THEN ',r1' ELSE '' END END AS runners FROM orders""",
+)
+def boundary_runners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runners of boundaries that have none, their own, or those of their sides."""
+    key, own = F.col("o_orderkey"), (F.col("o_custkey") % 2).cast("int")
+    sides = F.lit('{"original": {"runnerKind": "r0"}, "reconstructed": {"runnerKind": "r1"}}')
+    both = F.format_string('{"runnerKind": "r%d", "original": null, "reconstructed": {"runnerKind": "r1"}}', own)
+    boundary = F.when(key % 4 == 0, '{"runnerKind": ""}').when(key % 4 == 1, F.format_string('{"runnerKind": "r%d"}', own)).when(key % 4 == 2, sides).otherwise(both)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(reports.runner_kinds(boundary), ",").alias("runners"))
