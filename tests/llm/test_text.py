@@ -96,6 +96,31 @@ def test_transducer_agrees_with_the_library():
         assert machine.decode(ids) == library.decode(ids)
 
 
+def unigram(path, fallback: bool):
+    """Writes a unigram model of made pieces with distinct weights; nothing is trained."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model, rng = sentencepiece_model_pb2.ModelProto(), np.random.default_rng(5)
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = 1, fallback
+    model.normalizer_spec.remove_extra_whitespaces = False
+    model.normalizer_spec.name = "identity"
+    pieces_ = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256) if fallback]
+    made = {"▁", *"abcde", *("".join(rng.choice(list("▁abcde"), rng.integers(2, 6))) for _ in range(120))}
+    for piece, score, kind in pieces_ + [(m, -float(rng.uniform(1, 12)), 1) for m in sorted(made)]:
+        model.pieces.add(piece=piece, score=score, type=kind)
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+def test_unigram_paths_agree_with_the_library(tmp_path):
+    rng, path = np.random.default_rng(9), unigram(tmp_path / "made.model", True)
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Transducer(path)
+    for text in ["", " ", "a", "é a", "  abc"] + ["".join(rng.choice(list("abcde  xé"), rng.integers(1, 60))) for _ in range(400)]:
+        ids = [i for w in machine.words(text) for i in machine.encode_word(w)]
+        assert ids == library.encode(text), text
+        assert machine.decode(ids) == library.decode(ids)
+
+
 def test_encode_and_decode_tables(spark):
     rows = [(i, t) for i, t in texts() if i is not None and i != 2]
     back = pieces.decode(pieces.encode(frame(spark, rows), MODEL), MODEL)

@@ -248,13 +248,16 @@ def _decode(path: str):
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array of int) of each row; a null text has null ids, an empty one none. No row depends on another."""
+    """doc_id and ids (array of int) of each row; a null text has null ids, an empty one none. No row depends on another, an empty table gives an empty result.
+
+    The first task raises a ``ValueError`` for a model that is neither unigram nor BPE, has user-defined pieces, or whose normaliser does more than mark the start of words.
+    """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(_encode(model), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id and text of each row; null ids give a null text. Control pieces have no text, unknown ones a double question mark."""
+    """doc_id and text of each row; null ids give a null text. Control pieces have no text, unknown ones a double question mark. An empty table gives an empty result; models as in ``encode``."""
     source = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
     return source.mapInArrow(_decode(model), "doc_id long, text string")
 
