@@ -71,6 +71,25 @@ def test_assignment_is_balanced_and_full():
     assert packing.assign([], 1024) == []
 
 
+def test_assignment_equals_brute_force():
+    """Every piece goes, in descending order of items, to the cheapest sequence with room for it whole, else to the cheapest with any room; ties go to the fuller one."""
+    rng = np.random.default_rng(4)
+    for capacity in (1, 7, 64):
+        for _ in range(30):
+            lengths = rng.integers(1, 2 * capacity + 2, rng.integers(1, 25)).tolist()
+            sequences = [[0.0, capacity, s] for s in range(-(-sum(lengths) // capacity))]
+            want = []
+            for item in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+                start, left = 0, lengths[item]
+                while left:
+                    chosen = min([q for q in sequences if q[1] >= left] or [q for q in sequences if q[1]])
+                    take = min(left, chosen[1])
+                    want.append((item, start, take, chosen[2], capacity - chosen[1]))
+                    chosen[0], chosen[1] = chosen[0] + packing.LINEAR * take + take * take, chosen[1] - take
+                    start, left = start + take, left - take
+            assert packing.assign(lengths, capacity) == want
+
+
 def test_repeated_ids_leave_texts_of_both_labels(spark):
     rows = [(i, f"{'junk !!! 000' if i % 2 else 'a calm and quiet harbour'} {i}") for i in range(20)]
     labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
