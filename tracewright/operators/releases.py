@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions.text import ordered_case
+
 DIGEST = r"^sha256:[0-9a-fA-F]{64}$"
 
 
@@ -67,3 +69,19 @@ def evaluation(runs: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("applied").alias("applied"),
         F.sum("conflicts").alias("conflicts"),
     )
+
+
+def role_violations(variables: DataFrame, exact: dict[str, str], prefixes: dict[str, str]) -> DataFrame:
+    """(all columns, owner) of the variables (``name``) that a service must not carry: those named, else those of the first prefix; ``owner`` is the role they belong to."""
+    rules = [(F.col("name") == name, F.lit(owner)) for name, owner in exact.items()] + [(F.col("name").startswith(p), F.lit(owner)) for p, owner in prefixes.items()]
+    return variables.withColumn("owner", ordered_case(rules, F.lit(None).cast("string"))).where("owner is not null")
+
+
+def context_policy(mode: Column) -> Column:
+    """What a model may see of a job by its cloud mode; any unknown mode keeps it local."""
+    policy = lambda scope, handling, allowed: F.struct(F.lit(scope).alias("scope"), F.lit(handling).alias("handling"), F.lit(allowed).alias("cloud_allowed"))
+    rules = [
+        (mode == "cloud_allowed", policy("cloud", "full_context_allowed_when_configured", True)),
+        (mode == "desensitized", policy("sanitized_cloud_or_local", "deterministic_context_redaction", True)),
+    ]
+    return ordered_case(rules, policy("local", "local_context_only", False))

@@ -470,3 +470,24 @@ def boundary_runners(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.format_string('{"runnerKind": "r%d", "original": null, "reconstructed": {"runnerKind": "r1"}}', own)
     boundary = F.when(key % 4 == 0, '{"runnerKind": ""}').when(key % 4 == 1, F.format_string('{"runnerKind": "r%d"}', own)).when(key % 4 == 2, sides).otherwise(both)
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(reports.runner_kinds(boundary), ",").alias("runners"))
+
+
+@query(
+    "role_violations",
+    "SELECT p_partkey, CASE WHEN p_size = 7 THEN 'worker' WHEN CAST(p_size AS VARCHAR)[1] = '3' THEN 'web' ELSE 'runner' END AS owner FROM part WHERE p_size = 7 OR CAST(p_size AS VARCHAR)[1] IN ('3', '4', '5')",
+)
+def role_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of parts as names of variables."""
+    variables = table(spark, sf_dir, "part").select("p_partkey", _text("SIZE_", F.col("p_size")).alias("name"))
+    return releases.role_violations(variables, {"SIZE_7": "worker"}, {"SIZE_4": "runner", "SIZE_5": "runner", "SIZE_3": "web"}).select("p_partkey", "owner")
+
+
+@query(
+    "context_policies",
+    """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'cloud' WHEN 'P' THEN 'sanitized_cloud_or_local' ELSE 'local' END AS scope,
+      CASE o_orderstatus WHEN 'F' THEN 'full_context_allowed_when_configured' WHEN 'P' THEN 'deterministic_context_redaction' ELSE 'local_context_only' END AS handling, o_orderstatus IN ('F', 'P') AS cloud_allowed FROM orders""",
+)
+def context_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as jobs of three cloud modes, one of them null."""
+    mode = F.when(F.col("o_orderstatus") == "F", "cloud_allowed").when(F.col("o_orderstatus") == "P", "desensitized")
+    return table(spark, sf_dir, "orders").select("o_orderkey", releases.context_policy(mode).alias("p")).select("o_orderkey", "p.*")
