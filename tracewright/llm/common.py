@@ -8,6 +8,8 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 import numpy as np
@@ -29,14 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Tables that lazy results of this process still read.
-_KEPT: list[str] = []
+#: Where the results built just now note the tables that they will read; None outside ``owned``.
+_OWNER: ContextVar[list[str] | None] = ContextVar("owner", default=None)
 
 
-def clean(spark: SparkSession) -> None:
-    """Removes the tables behind all results so far, once these have been written or read and are no longer needed."""
-    while _KEPT:
-        remove(spark, _KEPT.pop())
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes at its end the tables that results built inside it keep, once these have been written, and no others.
+
+    Results built outside keep theirs, below ``spark.checkpoint.dir``, for as long as that folder lasts.
+    """
+    paths: list[str] = []
+    before = _OWNER.set(paths)
+    try:
+        yield paths
+    finally:
+        _OWNER.reset(before)
+        for path in paths:
+            remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -49,7 +61,7 @@ class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive lost executors.
 
     ``with Scratch(spark) as scratch`` removes the tables of ``cut`` at the end; those of ``keep`` stay,
-    since a lazy result still reads them, until ``clean``.
+    since a lazy result still reads them, until the end of the ``owned`` around it.
     """
 
     def __init__(self, spark: SparkSession):
@@ -92,7 +104,8 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         table, path = self._write(df, name)
-        _KEPT.append(path)
+        if (owner := _OWNER.get()) is not None:
+            owner.append(path)
         return table
 
     def drop(self, path: str) -> None:
