@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import language, minhash, packing, suffixes, surrogates
-from tracewright.llm.common import clean, remove, shared_dir
+from tracewright.llm.common import owned, remove, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A fixed key, so that runs agree; a real one is a secret.
@@ -82,15 +82,16 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of ``documents``; an empty table gives an empty result.
 
-    Each stage's table goes once the next one is written, with whatever else the stage kept; that of the last stage is the result.
+    Each stage's table goes once the next one is written, and what a stage kept once it is written; the table of the last stage is the result.
+    Tables that other results read stay.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
-        found = stage(spark, docs, sf_dir)
-        found.write.parquet(f"{base}/{number}")
+        with owned(spark):
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(f"{base}/{number}")
         docs = spark.read.schema(found.schema).parquet(f"{base}/{number}")
-        clean(spark)
         if number:
             remove(spark, f"{base}/{number - 1}")
     return docs
