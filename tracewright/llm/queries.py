@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chroma, embeddings, language, minhash, packing, pieces, quality, suffixes, surrogates, token_counts
+from tracewright.llm import chroma, divergence, embeddings, language, minhash, packing, pieces, quality, seeds, suffixes, surrogates, token_counts, variants
+from tracewright.llm.sql import OP11_SQL, OP12_SQL, OP13_SQL
 
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
@@ -114,6 +115,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of sources of a language, and the fifty terms that mark each source most."""
+    return divergence.audit(documents(spark, sf_dir), min_docs=30, top_terms=50)
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of twenty-word stretches that start earlier, too."""
+    found = seeds.remove_repeats(documents(spark, sf_dir), length=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of six letters and more that occur five times, with one planted slip in 199, and their common forms."""
+    return variants.group_variants(variants.dictionary(documents(spark, sf_dir), slips=199, least_length=6, least_count=5), ratio=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chroma_fingerprints": op1_chroma_fingerprints,
@@ -126,6 +143,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_packing": op10_packing,
+        "op11_divergence": op11_divergence,
+        "op12_substring_dedup": op12_substring_dedup,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
@@ -133,4 +153,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_minhash_near_dedup": OP2_SQL,
         "op6_embedding_near_dedup": OP6_SQL,
+        "op11_divergence": OP11_SQL,
+        "op12_substring_dedup": OP12_SQL,
+        "op13_spelling_variants": OP13_SQL,
     }
