@@ -69,30 +69,35 @@ def kept_terms(docs: DataFrame, min_docs: int) -> DataFrame:
     return held.groupBy("lang", "term", "total").agg(F.collect_list(F.struct("source", "n")).alias("counts"))
 
 
-def languages(groups: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, total, kept_total, n_terms) of every group, and (lang, n_terms, kept_total, sources) of every language.
-
-    sources holds (source, total, base) in order, base being the share of a term that the source lacks.
-    """
+def languages(groups: DataFrame, kept: DataFrame) -> DataFrame:
+    """(lang, n_terms, kept_total, sources) of every language; sources holds (source, total, base) in order, base being the share of a term that the source lacks."""
     totals = kept.select("lang", F.explode("counts").alias("c")).groupBy("lang", "c.source").agg(F.sum("c.n").alias("total"))
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("total").alias("kept_total"))
     each = groups.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").fillna(0, ["total", "n_terms", "kept_total"])
     entry = F.struct("source", "total", share(F.lit(0).cast("long"), F.col("total"), F.col("n_terms")).alias("base"))
-    return each, each.groupBy("lang", "n_terms", "kept_total").agg(F.sort_array(F.collect_list(entry)).alias("sources"))
+    return each.groupBy("lang", "n_terms", "kept_total").agg(F.sort_array(F.collect_list(entry)).alias("sources"))
+
+
+def wide_vectors(kept: DataFrame, known: DataFrame) -> DataFrame:
+    """(lang, term, sources, n, p, q): each kept term with its numbers and shares in the order of the language's sources, and its share in the language.
+
+    A language's row meets its terms in as many parts as a shuffle has, so that a language of most terms is no single task.
+    """
+    parts = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = known.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    both = kept.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).join(dealt, ["lang", "part"]).withColumn("number", F.map_from_entries("counts"))
+    both = both.withColumn("n", F.transform("sources", lambda s: F.coalesce(F.element_at("number", s["source"]), F.lit(0).cast("long"))))
+    own = F.transform("sources", lambda s, i: share(F.get("n", i), s["total"], F.col("n_terms")))
+    return both.select("lang", "term", "sources", "n", own.alias("p"), share(F.col("total"), F.col("kept_total"), F.col("n_terms")).alias("q"))
 
 
-def pair_values(kept: DataFrame, known: DataFrame) -> DataFrame:
+def pair_values(wide: DataFrame, known: DataFrame) -> DataFrame:
     """(lang, source, part, item, value) of each ordered pair of sources of a language: their summed differences over all kept terms."""
-    wide = kept.join(known.where("size(sources) > 1"), "lang")
-    number = F.map_from_entries("counts")
-    counts = F.transform("sources", lambda s: F.coalesce(F.element_at("number", s["source"]), F.lit(0).cast("long")))
-    wide = wide.withColumn("number", number).withColumn("n", counts)
-    wide = wide.withColumn("p", F.transform("sources", lambda s, i: share(F.get("n", i), s["total"], F.col("n_terms"))))
     last = F.size("n") - 1
     excess = lambda i, j: F.abs(F.get("p", i) - F.get("p", j)) - F.abs(F.get("sources", i)["base"] - F.get("sources", j)["base"])
     partners = lambda i: F.filter(F.sequence(i + 1, last), lambda j: (F.get("n", i) > 0) | (F.get("n", j) > 0))
     pairs = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(partners(i), lambda j: F.struct(i.alias("i"), j.alias("j"), excess(i, j).alias("more")))))
-    summed = wide.select("lang", F.explode(pairs).alias("c")).groupBy("lang", "c.i", "c.j").agg(F.sum("c.more").alias("more"))
+    summed = wide.where(last > 0).select("lang", F.explode(pairs).alias("c")).groupBy("lang", "c.i", "c.j").agg(F.sum("c.more").alias("more"))
     ends = known.select("lang", "n_terms", "sources", F.posexplode("sources").alias("at", "own"))
     ends = ends.select("lang", "n_terms", "at", "own", F.posexplode("sources").alias("to", "other")).where("at <> to")
     ends = ends.withColumn("i", F.least("at", "to")).withColumn("j", F.greatest("at", "to")).join(summed, ["lang", "i", "j"], "left")
@@ -100,13 +105,11 @@ def pair_values(kept: DataFrame, known: DataFrame) -> DataFrame:
     return ends.select("lang", "own.source", F.lit("pair").alias("part"), F.col("other.source").alias("item"), value.alias("value"))
 
 
-def term_values(kept: DataFrame, each: DataFrame) -> DataFrame:
-    """(lang, source, part, item, value) of the terms of which a source has a larger share than its language."""
-    spread = kept.select("lang", "term", F.col("total").alias("all"), F.explode("counts").alias("c")).select("lang", "term", "all", "c.source", "c.n")
-    both = spread.join(each, ["lang", "source"])
-    own, whole = share(F.col("n"), F.col("total"), F.col("n_terms")), share(F.col("all"), F.col("kept_total"), F.col("n_terms"))
-    found = both.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (own - whole).alias("value"))
-    return found.where("value > 0")
+def term_values(wide: DataFrame) -> DataFrame:
+    """(lang, source, part, item, value) of the terms of which a source that has them has a larger share than its language."""
+    more = F.transform("sources", lambda s, i: F.struct(s["source"].alias("source"), F.when(F.get("n", i) > 0, F.get("p", i) - F.col("q")).alias("value")))
+    found = wide.select("lang", "term", F.explode(F.filter(more, lambda m: m["value"] > 0)).alias("m"))
+    return found.select("lang", "m.source", F.lit("term").alias("part"), F.col("term").alias("item"), "m.value")
 
 
 def audit(docs: DataFrame, min_docs: int = 30, top_terms: int = 50) -> DataFrame:
@@ -121,7 +124,8 @@ def audit(docs: DataFrame, min_docs: int = 30, top_terms: int = 50) -> DataFrame
     scratch = Scratch(docs.sparkSession)
     kept = scratch.keep(kept_terms(rows, min_docs), "terms")
     groups = scratch.keep(rows.select("lang", "source").distinct(), "groups")
-    each, known = languages(groups, kept)
+    known = scratch.keep(languages(groups, kept), "languages")
+    wide = wide_vectors(kept, known)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda found: found.withColumn("rank", F.row_number().over(order).cast("int"))
-    return ranked(pair_values(kept, known)).unionByName(ranked(term_values(kept, each)).where(F.col("rank") <= top_terms))
+    return ranked(pair_values(wide, known)).unionByName(ranked(term_values(wide)).where(F.col("rank") <= top_terms))
