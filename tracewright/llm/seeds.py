@@ -26,11 +26,11 @@ from pyspark.sql.window import Window
 from tracewright.llm.common import Scratch, mix64, slices
 
 #: Words of a seed.
-GRAM = 8
+GRAM = 5
 #: One document in so many is sampled for anchors that have to be split; an anchor of more than HOT sampled places is split in any case.
 SAMPLE, HOT = 32, 1 << 14
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-RUN_SCHEMA = "doc_id long, text_hash long, start int, n int, first_doc long, first_start int"
+RUN_SCHEMA = "doc_id long, text_hash int, start int, n int, first_doc long, first_start int"
 SEED_SCHEMA = f"anchor long, stretches array<long>, {RUN_SCHEMA}"
 
 
@@ -115,14 +115,15 @@ def _runs(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, first_doc: np.nd
     return [doc[cut], mark[cut], start[cut], n, first_doc[cut], first_start[cut]]
 
 
-RUN_NAMES, RUN_TYPES = ["doc_id", "text_hash", "start", "n", "first_doc", "first_start"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+RUN_NAMES, RUN_TYPES = ["doc_id", "text_hash", "start", "n", "first_doc", "first_start"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
 
 
 def _told(runs: list[np.ndarray]) -> pa.RecordBatch:
-    """Repeats as rows of the seeds' schema, without stretches."""
+    """Repeats as rows of the seeds' schema, without stretches; their anchor only spreads them."""
     n = len(runs[0])
     none = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), none, *map(pa.array, runs, RUN_TYPES)], names=["anchor", "stretches", *RUN_NAMES])
+    spread = mix64(runs[0].astype(np.uint64) * _PRIME + runs[2].astype(np.uint64))
+    return pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), none, *map(pa.array, runs, RUN_TYPES)], names=["anchor", "stretches", *RUN_NAMES])
 
 
 class _Seen:
@@ -182,7 +183,7 @@ def _plant(length: int):
                 ends = np.append(cut, len(at))
                 rows = at[cut]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(stretch[at].view(np.int64)))
-                columns = [pa.array(x[rows], t) for x, t in ((doc, pa.int64()), (mark, pa.int64()), (start, pa.int32()))]
+                columns = [pa.array(x[rows], t) for x, t in ((doc, pa.int64()), (mark, pa.int32()), (start, pa.int32()))]
                 columns += [pa.array(np.diff(ends), pa.int32()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[rows].view(np.int64)), lists, *columns], names=["anchor", "stretches", *RUN_NAMES])
             seen.add([x[some] for x in (stretch, anchor, doc, mark, start)])
@@ -221,7 +222,7 @@ def _settle(table: pa.Table) -> pa.RecordBatch:
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Settles the seeds of a task, which arrive sorted by key; repeats that are told already pass."""
+    """Settles the seeds of a task, which arrive sorted by anchor; repeats that are told already pass."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         passing = pc.is_valid(batch.column("first_doc"))
@@ -229,9 +230,9 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = batch.filter(pc.invert(passing))
         if not batch.num_rows:
             continue
-        key = batch.column("key").to_numpy()
-        last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0  # the last key may go on in the next batch
-        if held and (last or held[-1].column("key")[0].as_py() != key[0]):
+        key = batch.column("anchor").to_numpy()
+        last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0  # the last anchor may go on in the next batch
+        if held and (last or held[-1].column("anchor")[0].as_py() != key[0]):
             yield _settle(pa.Table.from_batches([*held, batch.slice(0, last)]))
             held = []
         elif last:
@@ -243,7 +244,7 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("text_hash", F.xxhash64("text"))
+    return rows.withColumn("text_hash", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int"))
 
 
 def _found(rows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
@@ -256,14 +257,13 @@ def _found(rows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     even = (counts.agg(F.sum("n")).first()[0] or 0) // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hot = counts.where(F.col("n") >= min(HOT, max(8, even))).select("anchor", F.lit(True).alias("hot"))
     seeds = rows.mapInArrow(_plant(length), SEED_SCHEMA)
-    if hot.isEmpty():
-        seeds = seeds.withColumn("key", F.coalesce("anchor", F.xxhash64("doc_id", "start")))
-    else:
-        singly = F.transform("stretches", lambda h, i: F.struct(F.array(h).alias("stretches"), (F.col("start") + i).alias("start"), F.lit(1).alias("n"), F.xxhash64(h).alias("key")))
-        whole = F.array(F.struct("stretches", "start", "n", F.coalesce("anchor", F.xxhash64("doc_id", "start")).alias("key")))
-        seeds = seeds.join(hot, "anchor", "left").withColumn("part", F.explode(F.when(F.col("hot"), singly).otherwise(whole)))
-        seeds = seeds.select("anchor", "part.stretches", "doc_id", "text_hash", "part.start", "part.n", "first_doc", "first_start", "part.key")
-    return seeds.repartition("key").sortWithinPartitions("key").mapInArrow(_extend, RUN_SCHEMA)
+    if not hot.isEmpty():
+        # A hot anchor gives way to the hash of itself and one stretch, row by row.
+        singly = F.transform("stretches", lambda h, i: F.struct(F.xxhash64("anchor", h).alias("anchor"), F.array(h).alias("stretches"), (F.col("start") + i).alias("start"), F.lit(1).alias("n")))
+        whole = F.array(F.struct("anchor", "stretches", "start", "n"))
+        seeds = seeds.join(hot, "anchor", "left").withColumn("part", F.explode(F.when(F.col("hot") & F.col("first_doc").isNull(), singly).otherwise(whole)))
+        seeds = seeds.select("part.anchor", "part.stretches", "doc_id", "text_hash", "part.start", "part.n", "first_doc", "first_start")
+    return seeds.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_extend, RUN_SCHEMA)
 
 
 def repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,7 +271,7 @@ def repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col:
 
     Every stretch of ``length`` words of a repeat also starts earlier, in a document of smaller id or before it in its own; first_doc and first_start
     tell the place that the earliest of these give. Repeats of a document overlap where their first places part. Rows with a null id have none and give none;
-    rows that share an id (told apart by ``text_hash``, ``xxhash64`` of the text) give none to each other. Null texts and texts of fewer words have none, an empty table gives no rows,
+    rows that share an id (told apart by ``text_hash``, the low 31 bits of the text's ``xxhash64``) give none to each other. Null texts and texts of fewer words have none, an empty table gives no rows,
     and other columns are not read. A document is held whole by the task that reads it.
     """
     found = _found(_identified(docs, id_col, text_col), length, Scratch(docs.sparkSession)).distinct()
@@ -283,15 +283,27 @@ def repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col:
     return merged.select("doc_id", "text_hash", "start", (F.col("end") - F.col("start") + (length - 1)).alias("n_words"), "first_doc", "first_start")
 
 
+PACKED_SCHEMA = "doc_id long, text_hash int, size long, body binary"
 CUT_SCHEMA = "doc_id long, n_words long, n_removed long, n_spans long, kept string"
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed UTF-8, in which form they are shuffled."""
+    codec = pa.Codec("zstd", 3)
+    for batch in slices(batches, "text", 4 << 20):
+        texts = [t.as_buffer() for t in batch.column("text").cast(pa.binary())]
+        bodies = [codec.compress(t, asbytes=True) if t.size else b"" for t in texts]
+        columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array([t.size for t in texts], pa.int64()), pa.array(bodies, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "size", "body"])
+
+
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        codec = pa.Codec("zstd")
+        for batch in slices(batches, "body", 1 << 20):
             out: list[list] = [[], [], [], []]
-            for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
-                words = words_of(text.as_py())
+            for size, body, runs in zip(batch.column("size").to_pylist(), batch.column("body"), batch.column("runs"), strict=True):
+                words = codec.decompress(body.as_buffer(), size, asbytes=True).split() if size else []
                 gone = np.zeros(len(words) + 1, np.int32)
                 if runs.is_valid:
                     starts, n = (runs.values.field(i).to_numpy() for i in (0, 1))
@@ -316,6 +328,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
     rows = _identified(docs, id_col, text_col)
     found = _found(rows, length, Scratch(docs.sparkSession))
     runs = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    known = rows.where("doc_id is not null").join(runs, ["doc_id", "text_hash"], "left").select("doc_id", "text", "runs")
-    without = rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<start:int,n:int>>").alias("runs"))
+    packed = rows.select("doc_id", "text_hash", "text").mapInArrow(_packed, PACKED_SCHEMA)
+    known = packed.where("doc_id is not null").join(runs, ["doc_id", "text_hash"], "left").select("doc_id", "size", "body", "runs")
+    without = packed.where("doc_id is null").select("doc_id", "size", "body", F.lit(None).cast("array<struct<start:int,n:int>>").alias("runs"))
     return known.unionByName(without).mapInArrow(_cut(length), CUT_SCHEMA)
