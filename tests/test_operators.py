@@ -213,7 +213,7 @@ def test_knowledge_and_builds(spark):
     log = ["noise", "src/a.ts(3,5): error TS2304: Cannot find name 'x'.", "  more", "✘ [ERROR] Could not resolve", "", "    src/b.ts:7:2:", "  ctx", "[vite:css] bad", "error TS5: global"]
     lines = spark.createDataFrame([("l", i, t) for i, t in enumerate(log)], "log_id string, line_no int, line string")
     got = builds.diagnostics(lines).orderBy("number").collect()
-    assert [(d.form, d.path, d.line, d.category, d.code) for d in got] == [("tsc", "src/a.ts", 3, "error", "TS2304"), ("esbuild", "    src/b.ts", 7, "error", None), ("vite", None, None, "error", None), ("tsc", None, None, "error", "TS5")]
+    assert [(d.form, d.path, d.line, d.category, d.code) for d in got] == [("tsc", "src/a.ts", 3, "error", "TS2304"), ("esbuild", "src/b.ts", 7, "error", None), ("vite", None, None, "unknown", None), ("tsc", None, None, "error", "TS5")]
     assert got[0].context == ["  more"] and len(got[1].context) == 2
 
 

@@ -100,3 +100,12 @@ def ordered_case(rules: list[tuple[Column, Column | str]], default: Column | str
     for condition, value in rules:
         out = F.when(condition, value) if out is None else out.when(condition, value)
     return out.otherwise(default) if out is not None else F.lit(default)
+
+
+def limited_output(out: Column, err: Column, limit: int) -> Column:
+    """A struct of stdout, stderr and truncated from two binary outputs: together they keep ``limit`` bytes, the first one first; what is no UTF-8 then gives way to U+FFFD."""
+    most = max(limit, 0)
+    first, second = F.coalesce(out, F.lit(b"")), F.coalesce(err, F.lit(b""))
+    decoded = lambda raw: F.make_valid_utf8(raw.cast("string"))
+    left = F.greatest(F.lit(most) - F.octet_length(first), F.lit(0))
+    return F.struct(decoded(F.substring(first, F.lit(1), F.lit(most))).alias("stdout"), decoded(F.substring(second, F.lit(1), left)).alias("stderr"), (F.octet_length(first) + F.octet_length(second) > most).alias("truncated"))

@@ -15,6 +15,11 @@ TSC_GLOBAL = rf"(?i)^({CATEGORY})\s+(TS\d+):\s*(.*)$"
 VITE = r"(?i)^\[vite(?::[^\]]+)?\]:?\s*(.+)$"
 ESBUILD = r"(?i)^(?:✘|x)\s+\[(ERROR|WARNING)\]\s*(.+)$"
 LOCATION = r"^(.+?):(\d+):(\d+):\s*$"
+RELATED_PAREN = r"^(.+?)\((\d+),(\d+)\):\s*(.+)$"
+RELATED_COLON = r"^(.+?):(\d+):(\d+)\s+-\s*(.+)$"
+IMPORT_SOURCE = r"""\bfrom\s+["']([^"']+)["']"""
+READS_AS_ERROR = "error|failed|cannot|could not|rollup"
+CONTEXT = r"^(\s|>|\||│|╵|~|\^)"
 MAX_DIAGNOSTICS, MAX_CONTEXT = 100, 30
 
 
@@ -32,36 +37,76 @@ def diagnostic(line: Column) -> Column:
             (line.rlike(TSC_COLON), _struct("tsc", line, TSC_COLON, 1, F.regexp_extract(line, TSC_COLON, 4), 5, 6)),
             (line.rlike(TSC_GLOBAL), _struct("tsc", line, TSC_GLOBAL, 0, F.regexp_extract(line, TSC_GLOBAL, 1), 2, 3)),
             (line.rlike(ESBUILD), _struct("esbuild", line, ESBUILD, 0, F.regexp_extract(line, ESBUILD, 1), 0, 2)),
-            (line.rlike(VITE), _struct("vite", line, VITE, 0, F.lit("error"), 0, 1)),
+            (line.rlike(VITE), _vite(line)),
         ]
     )
 
 
+def _vite(line: Column) -> Column:
+    """The path is what the message imports from; it is an error if it reads as one."""
+    message = F.regexp_extract(line, VITE, 1)
+    found = _struct("vite", line, VITE, 0, F.when(F.lower(message).rlike(READS_AS_ERROR), "error").otherwise("unknown"), 0, 1)
+    return found.withField("path", F.nullif(F.regexp_extract(message, IMPORT_SOURCE, 1), F.lit("")))
+
+
+def related(line: Column) -> Column:
+    """A struct of path, line, column, message, code for a line that tells of another place of a diagnostic; null for others."""
+    pattern = lambda p: F.struct(
+        F.regexp_extract(line, p, 1).alias("path"), F.regexp_extract(line, p, 2).try_cast("int").alias("line"), F.regexp_extract(line, p, 3).try_cast("int").alias("column"), F.regexp_extract(line, p, 4).alias("message"),
+        F.nullif(F.regexp_extract(F.regexp_extract(line, p, 4), r"\b(TS\d+)\b", 1), F.lit("")).alias("code"),
+    )
+    return ordered_case([(line.rlike(RELATED_PAREN), pattern(RELATED_PAREN)), (line.rlike(RELATED_COLON), pattern(RELATED_COLON))])
+
+
+def _marked(lines: DataFrame) -> DataFrame:
+    """Lines of diagnostics with their number: ``d`` opens one, ``r`` tells of another place, ``place`` is a bare location. The hundredth has its first line only."""
+    order = Window.partitionBy("log_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    raw = F.coalesce(F.col("line").cast("string"), F.lit(""))
+    rows = lines.select("log_id", "line_no", F.regexp_replace(raw, r"\s+$", "").alias("line"), F.regexp_replace(raw, r"^\s+|\s+$", "").alias("bare")).where("bare <> ''")
+    rows = rows.withColumn("d", diagnostic(F.col("bare")))
+    rows = rows.withColumn("number", F.count("d").over(order)).where(F.col("number").between(1, MAX_DIAGNOSTICS) & ((F.col("number") < MAX_DIAGNOSTICS) | F.col("d").isNotNull()))
+    return rows.withColumns({"r": F.when(F.col("d").isNull(), related(F.col("bare"))), "place": F.col("d").isNull() & F.col("bare").rlike(LOCATION)})
+
+
+def related_information(lines: DataFrame) -> DataFrame:
+    """(log_id, number, nth, path, line, column, message, code): the other places of each diagnostic, in order, however many there are."""
+    found = _marked(lines).where("r is not null")
+    nth = F.row_number().over(Window.partitionBy("log_id", "number").orderBy("line_no"))
+    return found.select("log_id", "number", nth.alias("nth"), "r.*")
+
+
+def with_related(found: DataFrame, others: DataFrame) -> DataFrame:
+    """Diagnostics with the list ``related`` of their other places."""
+    listed = others.groupBy("log_id", "number").agg(F.array_sort(F.collect_list(F.struct("nth", "path", "line", "column", "message", "code"))).alias("related"))
+    empty = F.array().cast(listed.schema["related"].dataType)
+    return found.join(listed, ["log_id", "number"], "left").withColumn("related", F.coalesce("related", empty))
+
+
 def diagnostics(lines: DataFrame) -> DataFrame:
     """(log_id, number, form, path, line, column, category, code, message, context) of (log_id, line_no, line).
 
-    The lines after a diagnostic belong to it: a bare location gives its place if it has none, the others its context, thirty at most;
-    a log gives a hundred diagnostics at most.
+    The lines after a diagnostic belong to it: those of other places are ``related_information``; the first bare location gives an esbuild diagnostic its place; indented
+    lines and marks are its context, thirty at most. A log gives a hundred diagnostics at most.
     """
-    order = Window.partitionBy("log_id").orderBy("line_no")
-    marked = lines.withColumn("d", diagnostic(F.col("line").cast("string")))
-    marked = marked.withColumn("number", F.count("d").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("number").between(1, MAX_DIAGNOSTICS))
-    rest = F.col("d").isNull() & (F.trim("line") != "")
-    place = F.col("line").rlike(LOCATION)
+    marked = _marked(lines)
+    head = Window.partitionBy("log_id", "number").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("form", F.first("d.form", ignorenulls=True).over(head))
+    rest = F.col("d").isNull() & F.col("r").isNull()
+    nth_place = F.count(F.when(rest & F.col("place"), 1)).over(head)
+    marked = marked.withColumn("at", rest & F.col("place") & (nth_place == 1) & (F.col("form") == "esbuild"))
     # Lines are counted before any is collected, so that a long log is no long array.
-    nth = F.count(F.when(rest, 1)).over(Window.partitionBy("log_id", "number").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    marked = marked.withColumn("nth", nth)
-    context = F.transform(F.array_sort(F.collect_list(F.when(rest & (F.col("nth") <= MAX_CONTEXT), F.struct("line_no", "line")))), lambda c: c["line"])
-    where = F.min(F.when(rest & place, F.struct("line_no", "line"))).getField("line")
-    grouped = marked.groupBy("log_id", "number").agg(F.first("d", ignorenulls=True).alias("d"), context.alias("context"), where.alias("at"))
-    lone = F.col("d.path").isNull()
+    marked = marked.withColumn("shown", rest & (F.col("at") | F.col("line").rlike(CONTEXT)))
+    marked = marked.withColumn("nth", F.count(F.when(F.col("shown"), 1)).over(head))
+    context = F.transform(F.array_sort(F.collect_list(F.when(F.col("shown") & (F.col("nth") <= MAX_CONTEXT), F.struct("line_no", "line")))), lambda c: c["line"])
+    grouped = marked.groupBy("log_id", "number").agg(F.first("d", ignorenulls=True).alias("d"), context.alias("context"), F.max(F.when(F.col("at"), F.col("bare"))).alias("at"))
+    placed = F.col("at").isNotNull()
     return grouped.select(
         "log_id",
         "number",
         "d.form",
-        F.when(lone, F.nullif(F.regexp_extract("at", LOCATION, 1), F.lit(""))).otherwise(F.col("d.path")).alias("path"),
-        F.when(lone, F.regexp_extract("at", LOCATION, 2).try_cast("int")).otherwise(F.col("d.line")).alias("line"),
-        F.when(lone, F.regexp_extract("at", LOCATION, 3).try_cast("int")).otherwise(F.col("d.column")).alias("column"),
+        F.when(placed, F.regexp_extract("at", LOCATION, 1)).otherwise(F.col("d.path")).alias("path"),
+        F.when(placed, F.regexp_extract("at", LOCATION, 2).try_cast("int")).otherwise(F.col("d.line")).alias("line"),
+        F.when(placed, F.regexp_extract("at", LOCATION, 3).try_cast("int")).otherwise(F.col("d.column")).alias("column"),
         "d.category",
         "d.code",
         "d.message",

@@ -164,7 +164,7 @@ def first_existing(candidates: DataFrame, files: DataFrame, keys: list[str]) ->
     return found.groupBy(*keys).agg(F.min(F.struct("position", "candidate")).alias("first")).select(*keys, F.col("first.candidate").alias("path"))
 
 
-def _normal_path(path: Column) -> Column:
+def normal_path(path: Column) -> Column:
     """Without ``.`` and with ``..`` resolved; one that leads out keeps its ``..``."""
     parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
     empty = F.array().cast("array<string>")
@@ -177,7 +177,7 @@ def import_candidates(imports: DataFrame) -> DataFrame:
     source = F.split(F.replace(F.trim("source"), F.lit("\\"), F.lit("/")), "[?#]")[0]
     usable = imports.where(~F.col("source").rlike(r"^\s*(#|$)|^(?!file:)[a-zA-Z][a-zA-Z0-9+.-]*:")).withColumn("s", source).where("s <> ''")
     directory = F.regexp_extract("importer", r"^(.*/)?[^/]*$", 1)
-    beside = _normal_path(F.concat(directory, F.col("s")))
+    beside = normal_path(F.concat(directory, F.col("s")))
     base = F.when(F.col("s").startswith("."), F.array(beside)).otherwise(F.array(F.regexp_replace("s", r"^\.?/", ""), beside))
     suffixes = F.when(F.contains("s", F.lit(".")), F.array(F.lit(""))).otherwise(F.array(*[F.lit(x) for x in IMPORT_SUFFIXES]))
     every = F.flatten(F.transform(base, lambda b: F.transform(suffixes, lambda x: F.concat(b, x))))
@@ -211,7 +211,7 @@ def bundle_paths(maps: DataFrame, files: DataFrame) -> DataFrame:
     named = F.get_json_object("content", "$.file")
     directory = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
     own = F.regexp_replace("path", r"\.map$", "")
-    rows = maps.select(F.col("path").alias("map_path"), own.alias("own"), F.posexplode(F.array(_normal_path(F.concat(directory, named)), own)).alias("position", "candidate"))
+    rows = maps.select(F.col("path").alias("map_path"), own.alias("own"), F.posexplode(F.array(normal_path(F.concat(directory, named)), own)).alias("position", "candidate"))
     found = first_existing(rows.where("candidate is not null"), files, ["map_path"])
     return rows.select("map_path", "own").distinct().join(found, "map_path", "left").select("map_path", F.coalesce("path", "own").alias("path"))
 
@@ -252,10 +252,21 @@ def missing_dependencies(usage: DataFrame, paths: DataFrame) -> DataFrame:
     clean = F.split("specifier", "[?#]")[0]
     directory = F.regexp_extract("importer", r"^(.*/)?[^/]*$", 1)
     joined = F.concat(directory, clean)
-    resolved = _normal_path(joined)
+    resolved = normal_path(joined)
     relative = usage.where(F.col("specifier").startswith("./") | F.col("specifier").startswith("../")).select("package", "importer", "specifier", resolved.alias("resolved_path"), (F.contains(clean, F.lit("\\")) | joined.startswith("/") | (resolved == "..") | resolved.startswith("../")).alias("unsafe"))
     held = paths.groupBy("package", F.col("path").alias("resolved_path")).agg(F.bool_or("is_file").alias("is_file"))
     found = relative.join(held, ["package", "resolved_path"], "left").where("unsafe or is_file is null or not is_file")
     reason = F.when(F.col("unsafe"), "unsafe_relative_dependency").when(F.col("is_file").isNotNull(), "dependency_path_conflict").otherwise("missing_static_relative_dependency")
     generated = ~F.col("unsafe") & F.col("is_file").isNull()
     return found.select("package", "importer", "specifier", F.when(~F.col("unsafe"), F.col("resolved_path")).alias("resolved_path"), reason.alias("reason"), F.when(generated, "generated").otherwise("unsupported").alias("status"))
+
+
+def symbol_references(tokens: DataFrame) -> DataFrame:
+    """(file, name, references) of the declared names of each file, from identifiers (file, position, name, role).
+
+    A role is ``top`` for a declaration at the top of its file, ``declare`` for one further in, else ``use``. A name counts from its first declaration on, that itself included; names with a declaration
+    at the top are known from the start. Names without any are not listed. Two partial aggregates and an equi-join, so that a name in very many places is no group.
+    """
+    known = F.min(F.when(F.col("role") == "top", F.lit(-1)).when(F.col("role") == "declare", F.col("position")))
+    since = tokens.groupBy("file", "name").agg(known.alias("since")).where("since is not null")
+    return tokens.join(since, ["file", "name"]).where("position >= since").groupBy("file", "name").agg(F.count(F.lit(1)).alias("references"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.text import ordered_case, shortened
 from tracewright.operators.dedupe import attempt_number, keep_one, latest_attempts
+from tracewright.operators.inventory import normal_path, source_path
 
 # Columns of the artifact graph by kind, all other kinds stand in the last one.
 GRAPH_COLUMNS = {
@@ -18,6 +19,8 @@ LISTED, MESSAGE = 8, 180
 ATTENTION = ["fail", "retry", "best_effort"]
 ATTEMPTS, MOST_ATTEMPTS = 2, 5
 MOST_REVISIONS = 500
+# A fixed value: the label of a viewport that has neither name nor size.
+DEFAULT_VIEWPORT = "默认视口"
 # Sections of a report by the kinds of their artifacts, in order; the index of attachments has none.
 SECTIONS = {
     "completion-decision": ["audit_report", "html_report"],
@@ -87,18 +90,39 @@ def comparisons_matching(reports: DataFrame, scenario: str = "all", viewport: st
     return reports
 
 
-def convergence(stages: DataFrame, keys: list[str]) -> DataFrame:
-    """For each key the highest attempt, whether all stages passed, whether one needs attention, the failed review types and the failure classes."""
+def convergence(stages: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
+    """For each key the highest attempt, whether all stages passed, whether one needs attention, the failed review types and the failure classes.
+
+    With ``seq``, the order of the stages, failed_types has one entry for each failed stage in that order, and status_by_type the last status of each type; without it they are sorted and distinct.
+    A key's stages are a bounded list.
+    """
     bad = F.col("status").isin(ATTENTION)
+    failed = F.array_sort(F.collect_set(F.when(bad, F.col("review_type"))))
+    more = []
+    if seq is not None:
+        failed = F.transform(F.array_sort(F.collect_list(F.when(bad, F.struct(seq, "review_type")))), lambda s: s["review_type"])
+        entries = F.array_sort(F.collect_list(F.struct(seq, "review_type", "status")))
+        last = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, s: F.map_concat(F.map_filter(m, lambda k, _: k != s["review_type"]), F.create_map(s["review_type"], s["status"])))
+        more = [last.alias("status_by_type")]
     return stages.groupBy(*keys).agg(
         F.max(attempt_number(F.col("attempt"))).alias("max_attempt"),
         F.bool_and(F.coalesce(F.col("status") == "pass", F.lit(False))).alias("all_passed"),
         F.coalesce(F.bool_or(bad), F.lit(False)).alias("needs_attention"),
-        F.array_sort(F.collect_set(F.when(bad, F.col("review_type")))).alias("failed_types"),
+        failed.alias("failed_types"),
         F.array_sort(F.collect_set(F.when(bad & (F.col("failure_class") != "none"), F.col("failure_class")))).alias("failure_classes"),
+        *more,
     )
 
 
+def convergence_repairs(artifacts: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """For each key, of its artifacts (id, kind, repair) in order: repair_instruction_ids and applied_project_ids of the repairs with their counts, and the distinct evidence_ids of all. Such lists are bounded."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(seq, "id", "kind", "repair"))), lambda a: F.struct(a["id"].alias("id"), F.when(a["repair"], a["kind"]).alias("kind")))
+    listed = artifacts.groupBy(*keys).agg(ordered.alias("__all"))
+    of = lambda kind: F.transform(F.filter("__all", lambda a: a["kind"] == kind), lambda a: a["id"])
+    named = listed.select(*keys, of("repair_instruction").alias("repair_instruction_ids"), of("generated_project").alias("applied_project_ids"), F.array_distinct(F.filter(F.transform("__all", lambda a: a["id"]), lambda i: i != "")).alias("evidence_ids"))
+    return named.withColumns({"repair_instruction_count": F.size("repair_instruction_ids"), "applied_repair_count": F.size("applied_project_ids")})
+
+
 def final_outcome(exhausted: Column, stopped: Column, runtime_repairs: Column, planned: Column, review: Column, build_repairs: Column, instructions: Column, built: Column) -> Column:
     """The outcome of review and repair, by the first rule that holds."""
     passed = review == "pass"
@@ -113,15 +137,43 @@ def final_outcome(exhausted: Column, stopped: Column, runtime_repairs: Column, p
     )
 
 
-def comparison_summary(comparisons: DataFrame, keys: list[str]) -> DataFrame:
-    """For each key the comparisons, their distinct scopes, those that need attention, and the verdict on them all."""
+def comparison_summary(comparisons: DataFrame, keys: list[str], retries: DataFrame | None = None, matrices: DataFrame | None = None) -> DataFrame:
+    """For each key the comparisons, their distinct scopes, those that need attention, and the verdict on them all.
+
+    ``retries`` (keys, budget_exhausted, final_review_status), one row of a key, makes the verdict ``fail`` where the budget is spent or the final review failed, and ``best_effort`` where that
+    review did not pass; ``matrices`` (keys, attempt, seq, requested, selected, omitted) adds the runs of the latest one and their number. Keys that only these have are there, too; one with nothing at all is in none.
+    """
     bad = F.coalesce(F.col("status").isin(ATTENTION), F.lit(False))
-    n = F.count_if(bad)
-    return comparisons.groupBy(*keys).agg(F.count(F.lit(1)).alias("comparisons"), F.count_distinct("scope").alias("scopes"), n.alias("attention"), F.when(n > 0, "best_effort").otherwise("pass").alias("status"))
+    found = comparisons.groupBy(*keys).agg(F.count(F.lit(1)).alias("comparisons"), F.count_distinct("scope").alias("scopes"), F.count_if(bad).alias("attention"))
+    spent, final = F.lit(False), F.lit("")
+    if retries is not None:
+        found = found.join(retries.select(*keys, F.col("budget_exhausted").alias("__spent"), F.col("final_review_status").alias("__final")), keys, "full")
+        spent, final = F.coalesce("__spent", F.lit(False)), F.coalesce("__final", F.lit(""))
+    columns: list[Column | str] = []
+    if matrices is not None:
+        order = F.struct(attempt_number(F.col("attempt")), "seq")
+        last = matrices.groupBy(*keys).agg(F.max_by(F.struct("requested", "selected", "omitted"), order).alias("__last"), F.count(F.lit(1)).alias("__matrices"))
+        found = found.join(last, keys, "full")
+        columns = ["__last.requested", "__last.selected", "__last.omitted", F.coalesce("__matrices", F.lit(0)).alias("matrices")]
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("comparisons", "scopes", "attention")]
+    status = ordered_case([(spent | (final == "fail"), "fail"), ((F.coalesce("attention", F.lit(0)) > 0) | final.isin("retry", "best_effort"), "best_effort")], "pass")
+    return found.select(*keys, *counts, status.alias("status"), *columns)
+
+
+def status_totals(comparisons: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, status, n); a null or empty status counts as ``unknown``."""
+    return comparisons.groupBy(*keys, F.coalesce(F.nullif("status", F.lit("")), F.lit("unknown")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def viewport_label(name: Column, width: Column, height: Column) -> Column:
+    """The name and the size of a viewport, whichever it has."""
+    size = F.when((F.coalesce(width, F.lit(0)) != 0) & (F.coalesce(height, F.lit(0)) != 0), F.format_string("%dx%d", width.cast("long"), height.cast("long")))
+    return F.coalesce(F.nullif(F.concat_ws(" ", F.nullif(name, F.lit("")), size), F.lit("")), F.lit(DEFAULT_VIEWPORT))
 
 
 def scope_key(scenario: Column, viewport: Column) -> Column:
-    return F.concat_ws(" / ", F.coalesce(scenario, F.lit("default")), F.coalesce(viewport, F.lit("default")))
+    """What comparisons are grouped by: the scenario and the label of the viewport."""
+    return F.concat(F.coalesce(F.nullif(scenario, F.lit("")), F.lit("unknown")), F.lit("::"), F.coalesce(viewport, F.lit(DEFAULT_VIEWPORT)))
 
 
 def latest_by_scope(comparisons: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,6 +182,13 @@ def latest_by_scope(comparisons: DataFrame, keys: list[str]) -> DataFrame:
     return keep_one(latest_attempts(comparisons, keys, "attempt"), keys, [F.col("seq").desc()]).join(counts, keys)
 
 
+def attempt_history(comparisons: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, attempts): attempt, status and id of a key's records in order of attempt and, among equal ones, of seq. The retry budget bounds them."""
+    entry = F.struct(attempt_number(F.col("attempt")).alias("attempt"), "seq", F.coalesce(F.nullif("status", F.lit("")), F.lit("unknown")).alias("status"), "id")
+    ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda a: F.struct(a["attempt"].alias("attempt"), a["status"].alias("status"), a["id"].alias("id")))
+    return comparisons.groupBy(*keys).agg(ordered.alias("attempts"))
+
+
 def retry_summary(records: DataFrame, keys: list[str]) -> DataFrame:
     """The summary with the most attempts used; of equals the first."""
     return keep_one(records, keys, [F.coalesce("attempts_used", F.lit(0)).desc(), F.col("seq").asc()])
@@ -198,7 +257,7 @@ def digest_of(text: Column) -> Column:
 
 def is_text(content_type: Column) -> Column:
     kind = F.lower(F.coalesce(content_type, F.lit("")))
-    return kind.startswith("text/") | kind.rlike(r"json|javascript|xml|yaml|markdown")
+    return kind.startswith("text/") | kind.rlike(r"json|javascript|xml")
 
 
 def renewed(jobs: DataFrame, worker: str, until: Column, terminal: list[str]) -> DataFrame:
@@ -215,11 +274,17 @@ def unknown_references(reviews: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def source_candidates(sources: DataFrame) -> DataFrame:
-    """(map_path, source, position, candidate): a source beside its map, beside the bundle, below the source root, and by itself, without repeats."""
+    """(map_path, source, position, candidate): the path of a source beside its map, beside the bundle, below the source root, and by itself, without repeats.
+
+    Paths are those of ``source_path``, with ``.`` and ``..`` resolved after they are joined; a source of another scheme or without a path has no candidates.
+    """
+    own = source_path(F.col("source"))
     beside = lambda path: F.regexp_extract(path, r"^(.*/)?[^/]*$", 1)
-    root = F.when(F.coalesce("source_root", F.lit("")) != "", F.concat(F.regexp_replace("source_root", "/+$", ""), F.lit("/"), "source"))
-    every = F.array_distinct(F.array_compact(F.array(F.concat(beside(F.col("map_path")), "source"), F.concat(beside(F.col("bundle_path")), "source"), root, F.col("source"))))
-    return sources.select("map_path", "source", F.posexplode(every).alias("position", "candidate"))
+    joined = lambda folder: F.coalesce(source_path(normal_path(F.concat(folder, F.lit("/"), own))), own)
+    root = F.nullif(source_path(F.coalesce("source_root", F.lit(""))), F.lit(""))
+    every = F.array_compact(F.array(joined(beside(F.col("map_path"))), joined(beside(F.col("bundle_path"))), F.when(root.isNotNull(), joined(root)), own))
+    usable = sources.where(F.coalesce(own, F.lit("")) != "")
+    return usable.select("map_path", "source", F.posexplode(F.filter(F.array_distinct(every), lambda c: c != "")).alias("position", "candidate"))
 
 
 def placeholder_rows(plans: DataFrame) -> DataFrame:

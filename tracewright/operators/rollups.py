@@ -94,12 +94,12 @@ def superseded(reviews: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def completion(records: DataFrame, overruled: DataFrame | None = None) -> DataFrame:
-    """(group, decision, observations): the latest attempts of each key that do not pass and are not overruled; without any the group is completed.
+    """(group, decision, observations): the latest attempts of each key that fail, are to be retried or are best effort, and are not overruled; without any the group is completed.
 
     ``records`` has group, key, attempt, status, id.
     """
     latest = latest_attempts(records, ["group", "key"], "attempt")
-    bad = latest.where("status <> 'pass'")
+    bad = latest.where(F.col("status").isin("fail", "retry", "best_effort"))
     if overruled is not None:
         bad = bad.join(overruled.select("id"), "id", "left_anti")
     found = bad.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
