@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import prompt_tokens
+from tracewright.operators.chains import running
+
+#: Numbers of scenarios that are sorted together.
+BLOCK = 1 << 16
 
 
 def running_tokens(parts: DataFrame, key: str, order: str, text: str) -> DataFrame:
@@ -44,20 +48,22 @@ def viewport_matrix(scenarios: DataFrame, default_viewports: list[str]) -> DataF
     """(scenario, viewport, index): own viewports of a scenario, or the default ones where it has none."""
     default = F.array(*[F.lit(v) for v in default_viewports])
     own = F.when(F.size(F.coalesce("viewports", F.array().cast("array<string>"))) > 0, F.col("viewports")).otherwise(default)
-    rows = scenarios.select("scenario", "seq", F.posexplode(own).alias("place", "viewport"))
-    return rows.withColumn("index", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("seq", "place")) - 1).select("scenario", "viewport", "index")
+    rows = scenarios.select("scenario", "seq", F.posexplode(own).alias("place", "viewport")).withColumn("at", F.struct("seq", "place"))
+    # Blocks of scenarios are counted, then numbered by themselves.
+    return running(rows, [], "at", F.floor(F.col("seq") / BLOCK), F.lit(1), "n").select("scenario", "viewport", (F.col("n") - 1).cast("int").alias("index"))
 
 
 def balanced(matrix: DataFrame, k: int) -> DataFrame:
-    """``k`` rows of a matrix (``index`` from 0), evenly spread with halves to even, then filled from the front."""
-    n = matrix.count()
-    if n <= k:
-        return matrix
-    if k == 1:
-        return matrix.where("index = 0")
-    chosen = {round(i * (n - 1) / (k - 1)) for i in range(k)}
-    for i in range(n):
-        if len(chosen) >= k:
-            break
-        chosen.add(i)
-    return matrix.where(F.col("index").isin(sorted(chosen)[:k]))
+    """``k`` rows of a matrix (``index`` from 0, each once), evenly spread with halves to even; all of them if there are no more.
+
+    A row tells from its index and the number of rows whether it is one of them.
+    """
+    if k <= 0:
+        return matrix.limit(0)
+    sized = matrix.crossJoin(F.broadcast(matrix.agg(F.count(F.lit(1)).alias("__n"))))
+    place = lambda i: F.bround(i * (F.col("__n") - 1) / F.lit(max(k - 1, 1)))
+    near = F.floor(F.col("index") * (k - 1) / F.greatest(F.col("__n") - 1, F.lit(1)))
+    chosen = F.lit(False)
+    for step in (-1, 0, 1, 2):
+        chosen = chosen | ((near + step).between(0, k - 1) & (place(near + step) == F.col("index")))
+    return sized.where((F.col("__n") <= k) | chosen).drop("__n")

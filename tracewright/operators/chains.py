@@ -52,7 +52,7 @@ def nearest(asking: DataFrame, points: DataFrame, keys: list[str], at: str, bloc
 
 def running(df: DataFrame, keys: list[str], at: str, block: Column, value: Column, to: str) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows of its keys up to and with this one, in order of ``at``, which no two rows of them share; sorted in blocks as in ``nearest``."""
-    rows = df.withColumns({"__block": block, "__value": value})
+    rows = df.withColumns({"__block": F.coalesce(block, F.lit(-(1 << 62))), "__value": value})
     inside = Window.partitionBy(*keys, "__block").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     across = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.groupBy(*keys, "__block").agg(F.sum("__value").alias("__sum")).select(*keys, "__block", F.coalesce(F.sum("__sum").over(across), F.lit(0)).alias("__before"))

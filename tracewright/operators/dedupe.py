@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tracewright.operators.chains import running
 
 
 def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -39,10 +42,18 @@ def latest_attempts(df: DataFrame, keys: list[str], attempt: str) -> DataFrame:
     return joined.select([F.col(f"a.{c}") for c in df.columns])
 
 
-def numbered_names(df: DataFrame, name: str, seq: str, to: str = "unique_name") -> DataFrame:
-    """Repeated names get -2, -3, ... in order of ``seq``; a generated name may still meet a given one."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(seq))
-    return df.withColumn(to, F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), n.cast("string"))))
+def numbered_names(df: DataFrame, name: str, seq: str, to: str = "unique_name", block: int = 1 << 16) -> DataFrame:
+    """Repeated names get -2, -3, ... in order of ``seq``; a generated name may meet a given one (``paths.unique_paths`` makes names that do not).
+
+    Where ``seq`` is a whole number, unique in a name, names are ranked in blocks of it, so that a name of very many rows is many small groups.
+    """
+    if isinstance(df.schema[seq].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        key = df.withColumn("__name", F.coalesce(name, F.lit(""))).withColumn("__null", F.col(name).isNull())
+        ranked = running(key, ["__name", "__null"], seq, F.floor(F.col(seq) / block), F.lit(1), "__n").drop("__name", "__null")
+    else:
+        ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(name).orderBy(seq)))
+    n = F.col("__n")
+    return ranked.withColumn(to, F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), n.cast("string")))).drop("__n")
 
 
 def row_index(df: DataFrame, keys: list[str], order: list[Column], to: str = "row_index") -> DataFrame:
@@ -50,9 +61,12 @@ def row_index(df: DataFrame, keys: list[str], order: list[Column], to: str = "ro
 
 
 def top_with_rest(df: DataFrame, keys: list[str], order: list[Column], k: int, label: str) -> DataFrame:
-    """The first ``k`` rows of each key, and one row for the rest: (keys, position, label, more)."""
-    ranked = df.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    shown = ranked.where(F.col("position") <= k).select(*keys, "position", F.col(label).cast("string").alias("label"), F.lit(0).cast("long").alias("more"))
-    rest = ranked.where(F.col("position") > k).groupBy(*keys).agg(F.count(F.lit(1)).alias("more"))
-    rest = rest.select(*keys, F.lit(k + 1).alias("position"), F.lit(None).cast("string").alias("label"), "more")
+    """The first ``k`` rows of each key, and one row for the rest: (keys, position, label, more).
+
+    Tasks pass on ``k`` rows of a key and its number of rows, so that no task sorts a whole key.
+    """
+    ranked = df.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("position") <= k)
+    shown = ranked.select(*keys, "position", F.col(label).cast("string").alias("label"), F.lit(0).cast("long").alias("more"))
+    rest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k)
+    rest = rest.select(*keys, F.lit(k + 1).alias("position"), F.lit(None).cast("string").alias("label"), (F.col("n") - k).alias("more"))
     return shown.unionByName(rest)

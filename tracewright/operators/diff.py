@@ -27,12 +27,16 @@ def collection_diff(left: Column, right: Column) -> Column:
     )
 
 
+def sides(rows: DataFrame, key: str, left: Column, right: Column) -> DataFrame:
+    """(key, side) of rows that belong to the left, the right or both: one pass, in which tasks reduce a key to two flags first."""
+    found = rows.groupBy(key).agg(F.bool_or(left).alias("l"), F.bool_or(right).alias("r")).where("l or r")
+    return found.select(key, F.when(F.col("l") & F.col("r"), "shared").when(F.col("l"), "left_only").otherwise("right_only").alias("side"))
+
+
 def table_diff(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, side): which distinct keys are on both sides, or on the left or right only. For collections too large for an array."""
-    a = left.select(key).distinct().withColumn("l", F.lit(True))
-    b = right.select(key).distinct().withColumn("r", F.lit(True))
-    side = F.when(F.col("l") & F.col("r"), "shared").when(F.col("l"), "left_only").otherwise("right_only")
-    return a.join(b, key, "full_outer").select(key, side.alias("side"))
+    both = left.select(key, F.lit(True).alias("__left")).unionByName(right.select(key, F.lit(False).alias("__left")))
+    return sides(both, key, F.col("__left"), ~F.col("__left"))
 
 
 def network_group(line: Column) -> Column:

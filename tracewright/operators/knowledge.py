@@ -19,6 +19,7 @@ RUNTIME_MARKERS = {
     "systemjs": ["System.register", "System.import"],
     "parcel": ["parcelRequire", "newRequire"],
 }
+COMMONJS = r"\bmodule\.exports\b|\bexports\.[A-Za-z_$]"
 FRAMEWORK_TOKENS = {
     "react": (["react", "react-dom", "jsx", "createelement", "usestate", "useeffect"], 0.72),
     "vue": (["vue", "createapp", "definecomponent", "__vue", ".vue"], 0.72),
@@ -46,8 +47,17 @@ def runtime_kinds(source: Column) -> Column:
     return F.array_compact(F.array(*[F.when(_any(source, markers), kind) for kind, markers in RUNTIME_MARKERS.items()]))
 
 
+def source_kinds(source: Column, links: Column, single_bundle: Column) -> Column:
+    """The runtimes of a script: those of its markers, of its imports and exports (``links``, their number), and ``commonjs``; else ``iife`` for a bundle that stands alone, else ``unknown``."""
+    modular = F.coalesce(links, F.lit(0)) > 0
+    common = F.coalesce(source.rlike(COMMONJS), F.lit(False))
+    found = F.array_distinct(F.concat(runtime_kinds(source), F.array_compact(F.array(F.when(modular, "vite_or_rollup"), F.when(common, "commonjs")))))
+    return F.when(F.size(found) > 0, found).when(F.coalesce(single_bundle, F.lit(False)), F.array(F.lit("iife"))).otherwise(F.array(F.lit("unknown")))
+
+
 def preferred_kind(kinds: Column) -> Column:
-    return F.get(F.filter(F.array(*[F.lit(k) for k in RUNTIME_MARKERS]), lambda k: F.array_contains(kinds, k)), F.lit(0))
+    """The first of the known order among several."""
+    return F.get(F.filter(F.array(*[F.lit(k) for k in [*RUNTIME_MARKERS, "commonjs", "iife", "unknown"]]), lambda k: F.array_contains(kinds, k)), F.lit(0))
 
 
 def marker_offset(source: Column, marker: Column) -> Column:

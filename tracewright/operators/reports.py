@@ -18,6 +18,15 @@ GRAPH_COLUMNS = {
 LISTED, MESSAGE = 8, 180
 ATTENTION = ["fail", "retry", "best_effort"]
 ATTEMPTS, MOST_ATTEMPTS = 2, 5
+# Classes of failure with the stage that they concern and the actions that may be taken by themselves, in order; those that builds give.
+FAILURE_ACTIONS = {
+    "build_error": ("building", ["add_package_script", "replace_package_script"]),
+    "type_error": ("typechecking", ["add_package_script", "replace_package_script"]),
+    "dependency_missing": ("building", []),
+    "runtime_error": ("runtime_compare", ["mirror_original_static_entry"]),
+    "invalid_input": ("runtime_smoke", []),
+}
+BUILD_CLASSES = ["build_error", "type_error", "dependency_missing"]
 MOST_REVISIONS = 500
 # A fixed value: the label of a viewport that has neither name nor size.
 DEFAULT_VIEWPORT = "默认视口"
@@ -123,6 +132,54 @@ def convergence_repairs(artifacts: DataFrame, keys: list[str], seq: str) -> Data
     return named.withColumns({"repair_instruction_count": F.size("repair_instruction_ids"), "applied_repair_count": F.size("applied_project_ids")})
 
 
+def runtime_convergence(attempts: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    """For each run (keys, stop_reason, summary_id) its attempts: used, planned, applied, triggered, final_review_status, budget_exhausted, failure_classes and evidence_ids.
+
+    ``attempts`` has the keys, seq (their order), gate_triggered, gate_enabled, planned_id, applied_id, artifact_ids. The last attempt gives the review: best effort where its gate is off, fail where it was
+    triggered, else pass, as without any attempt. Evidence is the summary and what the attempts name, in order, each once. The retry budget bounds a run's attempts.
+    """
+    on = lambda c: F.coalesce(F.col(c), F.lit(False))
+    named = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    entry = F.struct("seq", F.coalesce("artifact_ids", F.array().cast("array<string>")).alias("ids"))
+    last = F.max_by(F.struct(on("gate_triggered").alias("triggered"), on("gate_enabled").alias("enabled")), "seq")
+    found = attempts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("used"), F.count_if(named("planned_id")).alias("planned"), F.count_if(named("applied_id")).alias("applied"), F.count_if(on("gate_triggered")).alias("triggered"),
+        last.alias("last"), F.flatten(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["ids"])).alias("ids"),
+    )
+    both = runs.join(found, keys, "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("used", "planned", "applied", "triggered")}
+    review = ordered_case([(F.col("last").isNotNull() & ~F.col("last.enabled"), "best_effort"), (F.col("last.triggered"), "fail")], "pass")
+    evidence = F.array_distinct(F.filter(F.concat(F.array("summary_id"), F.coalesce("ids", F.array().cast("array<string>"))), lambda i: F.coalesce(i, F.lit("")) != ""))
+    classes = F.when(zero["triggered"] > 0, F.array(F.lit("runtime_error"))).otherwise(F.array().cast("array<string>"))
+    return both.select(*keys, *[v.alias(c) for c, v in zero.items()], review.alias("final_review_status"), (F.col("stop_reason") == "retry_budget_exhausted").alias("budget_exhausted"), "stop_reason", classes.alias("failure_classes"), evidence.alias("evidence_ids"))
+
+
+def failure_actions(summaries: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, position, failure_class, target_stage, actions, status): what can be done about each class of failure; active where it occurred, else available.
+
+    ``summaries`` has the keys, build_classes (failure classes of its builds) and triggered (comparisons whose gate was triggered).
+    """
+    rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("failure_class"), F.lit(s).alias("target_stage"), F.array(*[F.lit(a) for a in actions]).cast("array<string>").alias("actions")) for i, (c, (s, actions)) in enumerate(FAILURE_ACTIONS.items())])
+    each = summaries.select(*keys, "build_classes", "triggered", F.explode(rows).alias("r")).select(*keys, "build_classes", "triggered", "r.*")
+    built = F.col("failure_class").isin(BUILD_CLASSES) & F.array_contains(F.coalesce("build_classes", F.array().cast("array<string>")), F.col("failure_class"))
+    ran = (F.col("failure_class") == "runtime_error") & (F.coalesce("triggered", F.lit(0)) > 0)
+    return each.select(*keys, "position", "failure_class", "target_stage", "actions", F.when(built | ran, "active").otherwise("available").alias("status"))
+
+
+def next_steps(outcomes: DataFrame, actions: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, steps): what is left to do, as ids in order: keep the summary if all passed; else what of the budget, the repair and the build is open, and the first three active classes of failure.
+
+    ``outcomes`` has the keys, outcome, budget_exhausted, stop_reason, needs_attention; ``actions`` is ``failure_actions``.
+    """
+    active = actions.where("status = 'active'").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", "failure_class"))).alias("__active"))
+    classes = F.transform(F.slice(F.coalesce("__active", F.array().cast("array<struct<position:int,failure_class:string>>")), 1, 3), lambda a: F.concat(F.lit("failure:"), a["failure_class"]))
+    flag = lambda c, name: F.when(F.coalesce(c, F.lit(False)), name)
+    given = F.array_compact(F.array(flag(F.col("budget_exhausted"), "budget_exhausted"), flag(F.col("stop_reason") == "repair_not_applied", "repair_not_applied"), flag(F.col("needs_attention"), "build_needs_attention")))
+    some = F.concat(given, classes)
+    steps = F.when(F.col("outcome").isin("passed_without_repair", "repaired_passed"), F.array(F.lit("keep_summary"))).when(F.size(some) > 0, some).otherwise(F.array(F.lit("review_limitations")))
+    return outcomes.join(active, keys, "left").select(*keys, steps.alias("steps"))
+
+
 def final_outcome(exhausted: Column, stopped: Column, runtime_repairs: Column, planned: Column, review: Column, build_repairs: Column, instructions: Column, built: Column) -> Column:
     """The outcome of review and repair, by the first rule that holds."""
     passed = review == "pass"

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import prompt_tokens, redact, slug
-from tracewright.operators import audit, budget, dedupe, diff, inventory, knowledge, ops, queue, retention, rollups
+from tracewright.operators import audit, budget, dedupe, diff, inventory, knowledge, lineage, ops, queue, retention, rollups
 from tracewright.plans.registry import query
+from tracewright.sources import documents
+from tracewright.streaming import heartbeats
 
 NOW = "2024-02-01 00:00:00"
 ORDERS_NOW = "1998-08-01 00:00:00"
@@ -233,9 +235,11 @@ def retention_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def join_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve newest orders of a nation, as artifacts of a project."""
-    own = table(spark, sf_dir, "customer").where("c_nationkey = 7").select("c_custkey", "c_name")
-    found = table(spark, sf_dir, "orders").join(own, F.col("o_custkey") == F.col("c_custkey"))
-    return found.orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).limit(12).select("o_orderkey", "c_name", "o_orderdate")
+    customers = table(spark, sf_dir, "customer")
+    jobs = customers.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("project_id"))
+    artifacts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("job_id"), F.lit("order").alias("kind"), F.lit(None).cast("string").alias("deleted_at"), F.col("o_orderdate").alias("created_at"))
+    found = documents.project_history(artifacts, jobs, "7", ["order"])
+    return found.join(customers, F.col("job_id") == F.col("c_custkey")).select(F.col("id").alias("o_orderkey"), "c_name", F.col("created_at").alias("o_orderdate"))
 
 
 @query(
@@ -253,16 +257,14 @@ def collection_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     segment = table(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", "c_mktsegment")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(segment, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment")
     bought = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_partkey", "c_mktsegment")
-    # One pass over the lines: the sides of a part are two flags.
-    side = bought.groupBy("l_partkey").agg(F.bool_or(F.col("c_mktsegment") == "BUILDING").alias("l"), F.bool_or(F.col("c_mktsegment") == "MACHINERY").alias("r"))
-    return side.select("l_partkey", F.when(F.col("l") & F.col("r"), "shared").when(F.col("l"), "left_only").otherwise("right_only").alias("side"))
+    return diff.sides(bought, "l_partkey", F.col("c_mktsegment") == "BUILDING", F.col("c_mktsegment") == "MACHINERY")
 
 
 @query(
     "full_outer_diff",
     """
     WITH a AS (SELECT c_nationkey AS k, CAST(count(*) AS VARCHAR) AS v FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, CAST(count(*) AS VARCHAR) AS v FROM supplier GROUP BY 1)
-    SELECT CAST(coalesce(a.k, b.k) AS VARCHAR) AS path, a.v AS left_value, b.v AS right_value FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v
+    SELECT CAST(coalesce(a.k, b.k) AS VARCHAR) AS path, a.v AS left_value, b.v AS right_value FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v ORDER BY path LIMIT 80
     """,
 )
 def full_outer_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,8 +277,10 @@ def full_outer_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("lineage_semi", "SELECT r_regionkey AS src, n_nationkey AS dst FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
 def lineage_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges from regions to nations whose region is in the set."""
-    regions = table(spark, sf_dir, "region").where("r_name <> 'ASIA'").select(F.col("r_regionkey").alias("src"))
-    return table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("src"), F.col("n_nationkey").alias("dst")).join(regions, "src", "left_semi")
+    regions = table(spark, sf_dir, "region").where("r_name <> 'ASIA'").select(F.format_string("r%d", "r_regionkey").alias("id"), F.array().cast("array<string>").alias("parent_artifact_ids"))
+    nations = table(spark, sf_dir, "nation").select(F.format_string("n%d", "n_nationkey").alias("id"), F.array(F.format_string("r%d", "n_regionkey")).alias("parent_artifact_ids"))
+    number = lambda c: F.substring(c, 2, 9).cast(table(spark, sf_dir, "nation").schema["n_nationkey"].dataType)
+    return lineage.parent_edges(regions.unionByName(nations)).select(number(F.col("src")).alias("src"), number(F.col("dst")).alias("dst"))
 
 
 @query(
@@ -337,16 +341,18 @@ def token_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "marker_rules",
     """
-    WITH k AS (SELECT page_id, unnest(list_filter([CASE WHEN contains(html, '__webpack_require__') OR contains(html, 'webpackJsonp') OR contains(html, 'webpackChunk') THEN 'webpack' END,
-      CASE WHEN contains(html, 'browserify') THEN 'browserify' END, CASE WHEN contains(html, 'factory') THEN 'umd' END,
-      CASE WHEN contains(html, 'function') THEN 'script' END, CASE WHEN contains(html, '<style') THEN 'style' END], lambda x: x IS NOT NULL)) AS kind FROM pages)
+    WITH m(kind, marker) AS (VALUES ('webpack', '__webpack_require__'), ('webpack', 'webpackJsonp'), ('webpack', 'webpackChunk'), ('vite_or_rollup', '__vitePreload'), ('vite_or_rollup', 'import.meta'), ('vite_or_rollup', 'modulepreload'),
+      ('rollup', 'Object.freeze'), ('rollup', '__esModule'), ('esbuild', '__defProp'), ('esbuild', '__export'), ('esbuild', '__toESM'), ('esbuild', '__commonJS'), ('umd', 'typeof exports'), ('umd', 'define.amd'), ('umd', 'factory'),
+      ('browserify', 'function r(e,n,t)'), ('browserify', 'function o(i,f)'), ('browserify', 'browserify'), ('systemjs', 'System.register'), ('systemjs', 'System.import'), ('parcel', 'parcelRequire'), ('parcel', 'newRequire'),
+      ('script', 'function'), ('style', '<style')),
+    k AS (SELECT DISTINCT page_id, kind FROM pages, m WHERE contains(html, marker))
     SELECT kind, count(*) AS n FROM k GROUP BY kind
     """,
 )
 def marker_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markers in pages; two more than the runtime's own, which no page holds."""
+    """Markers of runtimes in pages, and two more, since pages hold few of the runtimes' own."""
     html = F.col("html")
-    own = F.filter(knowledge.runtime_kinds(html), lambda k: k.isin("webpack", "browserify", "umd"))
+    own = knowledge.runtime_kinds(html)
     extra = F.array_compact(F.array(F.when(F.contains(html, F.lit("function")), "script"), F.when(F.contains(html, F.lit("<style")), "style")))
     return table(spark, sf_dir, "pages").select(F.explode(F.concat(own, extra)).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -412,4 +418,4 @@ def numbered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by day and type, the batch form of the streaming count."""
-    return table(spark, sf_dir, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return heartbeats.windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type", "1 day", "1 day")
