@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tracewright.plans import analogs, configs, folds, gaps, packages, records, states  # noqa: F401
+    from tracewright.plans import agents, analogs, configs, folds, gaps, packages, records, states  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
