@@ -33,6 +33,8 @@ T, BANDS, BAND_ROWS = 512, 42, 6
 LEAST_EQUAL = int(0.71 * T)
 #: Members of a tile of a bucket, and of a cluster.
 TILE, CLUSTER_TILE = 1024, 512
+#: Members of small buckets, and shingles of small clusters or of a tile, that a group brings together; how many groups there are follows from the data.
+GROUP_MEMBERS, GROUP_SHINGLES = 4096, 1 << 20
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = mix64(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -249,7 +251,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read.
     """
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scratch = Scratch(spark)
     with scratch:
@@ -287,20 +288,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         scratch.spend("texts")
         scratch.release()
         spread = labelled.select("comp", F.explode("bands").alias("band")).groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"))
-        mixed = spread.where("members > 2 and low < high").select("band", F.ceil(F.col("members") / TILE).alias("tiles"))
+        mixed = scratch.cut(spread.where("members > 2 and low < high").select("band", "members", F.ceil(F.col("members") / TILE).alias("tiles")), "mixed")
+        few = (mixed.where("tiles = 1").agg(F.sum("members")).first()[0] or 0) // GROUP_MEMBERS + 1
+        mixed = mixed.drop("members")
         # Sketches join the few members of mixed buckets, not every band.
         within = labelled.select("rep", F.explode("bands").alias("band")).join(mixed, "band")
         rest = within.join(labelled.select("rep", "n_shingles", "comp", "sketch"), "rep")
         rest = rest.withColumn("tile", F.pmod(F.xxhash64("rep", "band"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-        groups = F.when(F.col("tiles") == 1, F.pmod("band", F.lit(64 * partitions))).otherwise(F.col("band"))
+        groups = F.when(F.col("tiles") == 1, F.pmod("band", F.lit(few))).otherwise(F.col("band"))
         rest = rest.select("band", "rep", "comp", "n_shingles", "sketch", "tile", groups.alias("g"), F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
         likely = scratch.cut(rest.groupBy("g", "lo", "hi").applyInArrow(_likely(percent), "a long, b long"), "likely")
         clusters = scratch.cut(connected_components(likely, scratch), "clusters").select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
         scratch.release()
-        sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_TILE).alias("tiles"))
+        weighed = clusters.join(labelled.select("rep", "n_shingles"), "rep").groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
+        tiles = F.greatest(F.ceil(F.col("members") / CLUSTER_TILE), F.least(F.ceil(F.col("shingles") / GROUP_SHINGLES), F.col("members")))
+        sizes = scratch.cut(weighed.select("cluster", "shingles", tiles.alias("tiles")), "sizes")
+        few = (sizes.where("tiles = 1").agg(F.sum("shingles")).first()[0] or 0) // GROUP_SHINGLES + 1
+        sizes = sizes.drop("shingles")
         held = clusters.join(labelled.select("rep", "comp"), "rep").join(sizes, "cluster").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
         held = held.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-        groups = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("cluster"), F.lit(16 * partitions))).otherwise(-1 - F.col("cluster").cast("long"))
+        groups = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("cluster"), F.lit(few))).otherwise(-1 - F.col("cluster").cast("long"))
         held = held.select("cluster", "rep", "comp", "text", "tile", groups.alias("g"), F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
         more = scratch.cut(held.groupBy("g", "lo", "hi").applyInArrow(_cluster_links(words, percent), "a long, b long"), "links")
         if not more.isEmpty():
