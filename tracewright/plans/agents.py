@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.operators import agents, reports
+from tracewright.operators import agents, releases, reports
 from tracewright.plans.registry import query
 
 
@@ -152,3 +152,34 @@ def artifact_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("o_orderstatus") == "F", "public").when(F.col("o_orderstatus") == "O", "derived")
     artifacts = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id"), kind.alias("sensitivity_class"), F.col("o_orderpriority").alias("retention_class"))
     return agents.policy_counts(artifacts, ["sensitivity_class", "retention_class"])
+
+
+GATE = '{"kind":"release_gate_report","status":"pass","mode":"execute","config":{"execute":true,"push":%s},"images":[{"service":"api","versionTag":"r/api:1"},{"service":"web","repository":"r/web"}]}'
+GOOD = '{"kind":"production_release_evidence_manifest","ciRun":{"runUrl":"u","runId":"1","commit":"c","environment":"e"},"secretManager":{"provider":"p","environment":"e","revision":"3"},"databaseSnapshot":{"snapshotId":"s"},"artifactStoreExport":[{"path":"p"},{"uri":"u"}],"serviceLogs":{"url":"u"},"rollbackEvidence":{"reference":"r"},"registryDigests":[{"service":"api","digest":"sha256:%s"},{"reference":"r/web@sha256:%s"}]}' % ("a" * 64, "b" * 64)
+SMOKES = ('{"kind":"compose_smoke_report","status":"pass","deploymentSmoke":{"archive_manifest":{"archiveReady":true}}}', '{"kind":"deployment_smoke_report","status":"pass","archive_manifest":{"archiveReady":1}}')
+#: Gate, smokes and manifest of an archive, and its failed checks and missing evidence.
+ARCHIVES = [
+    (GATE % "true", *SMOKES, GOOD, "", ""),
+    (GATE % "false", *SMOKES, GOOD.replace('"registryDigests":[', '"registryDigests":{},"was":['), "", ""),
+    (GATE % "true", *SMOKES, GOOD.replace('"service":"api"', '"service":"other"').replace("b" * 64, "short"), "registry_digest_evidence", "registryDigests.api,registryDigests.web.digest"),
+    (GATE % "1", *SMOKES, GOOD.replace('"runUrl":"u"', '"runUrl":" "').replace('"revision":"3"', '"containsSecretValues":true,"revision":"3"'), "ci_run_evidence,secret_values_absent,secret_manager_evidence", "ciRun,containsSecretValuesFalse,secretManager"),
+    (GATE % "false", *SMOKES, GOOD.replace('"commit":"c"', '"commit":"<commit>"').replace('"serviceLogs":{"url":"u"}', '"serviceLogs":[{"url":"u"},{}],"more":[{"Access-Token":"x"},{"password":""}]'), "placeholder_values_replaced,secret_values_absent,service_logs_evidence", "placeholderValuesReplaced,secretValuesAbsent,serviceLogs"),
+    (
+        None, "no json", "[]", None,
+        "release_gate_report_present,release_gate_passed,release_gate_executed,compose_smoke_passed,deployment_smoke_passed,deployment_archive_ready,evidence_manifest_kind,ci_run_evidence,secret_manager_evidence,database_snapshot_evidence,artifact_store_export_evidence,service_logs_evidence,rollback_evidence_evidence",
+        "artifactStoreExport,ciRun,databaseSnapshot,deploymentSmoke.archive_manifest.archiveReady,releaseGate.executed,rollbackEvidence,secretManager,serviceLogs",
+    ),
+]
+
+
+@query(
+    "archive_reports",
+    f"""SELECT p_partkey AS release_id, CASE WHEN failed = '' THEN 'pass' ELSE 'fail' END AS status, failed, missing FROM part JOIN (VALUES {", ".join(f"({i}, '{a[4]}', '{a[5]}')" for i, a in enumerate(ARCHIVES))}) a(i, failed, missing) ON p_partkey % {len(ARCHIVES)} = i""",
+)
+def archive_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as archives of releases that are whole, or lack evidence of every kind."""
+    key = F.col("p_partkey")
+    of = lambda n: F.element_at(F.array(*[F.lit(a[n]) for a in ARCHIVES]), (1 + key % len(ARCHIVES)).cast("int"))
+    archives = table(spark, sf_dir, "part").select(key.alias("release_id"), of(0).alias("gate"), of(1).alias("compose"), of(2).alias("deployment"), of(3).alias("manifest"))
+    found = releases.archive_reports(releases.archive_checks(archives))
+    return found.select("release_id", "status", F.array_join("failed", ",").alias("failed"), F.array_join("missing", ",").alias("missing"))
