@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import Scratch
 
+#: Rounds in a row of which no entity comes out with a surrogate of its own, after which a format counts as used up.
 ROUNDS = 64
 
 # Titles by gender, given names by gender and script, and syllables of family names by script.
@@ -268,8 +269,8 @@ def _settle(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     names = scratch.cut(entities.select("kind", "norm"), "names")
     taken = names.select("kind", F.lower("norm").alias("core")).distinct()
     left = names.withColumn("attempt", F.lit(0))
-    again = None
-    for number in range(ROUNDS):
+    again, number, before, idle = None, 0, -1, 0
+    while idle < ROUNDS:
         tried = scratch.cut(drawn(left), "drawn")
         owner = tried.groupBy("kind", "core").agg(F.min("norm").alias("owner"))
         free = scratch.cut(owner.join(taken, ["kind", "core"], "left_anti"), "free")
@@ -278,9 +279,14 @@ def _settle(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
         if number:
             won = tried.join(left.select("kind", "norm"), ["kind", "norm"], "left_anti").select("kind", "norm", "attempt")
             again = won if again is None else again.union(won)
-        if left.isEmpty():
+        open_ones = left.count()
+        if not open_ones:
             return again if again is not None else left
         taken = taken.union(free.select("kind", "core"))
+        number += 1
+        if number % 16 == 0:
+            taken = scratch.cut(taken, "taken")
+        before, idle = open_ones, idle + 1 if open_ones == before else 0
     # More entities than their format has values: these have to share.
     return again.union(left)
 
@@ -297,7 +303,7 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
 
     A null text stays null with no entities. Distinct entities of a kind get distinct surrogates, none of which is an entity of the
     corpus; digits and letters keep their places, case and script, and country codes, top-level domains, titles and token prefixes
-    stay. Only where a format has fewer values than the corpus has entities, those left after ``ROUNDS`` draws may share one. Rows are judged by their
+    stay. Entities draw until each has a value of its own; only where a format has fewer values than the corpus has entities, which ``ROUNDS`` rounds without any winner tell, those left share some. Rows are judged by their
     texts, so ids may be null or repeated. A column called n_entities is replaced; all others stay, whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
