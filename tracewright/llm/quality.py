@@ -127,11 +127,18 @@ class Model:
         if not len(self.labels):
             return np.full(len(texts), self.prior)
         cosine = self.latent(counts) @ self.vectors.T
-        k = min(NEIGHBOURS, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        vote = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(float) ** SHARPNESS * self.votes[near]
+        vote = np.where(nearest(cosine, NEIGHBOURS), np.maximum(cosine, 0), 0).astype(float) ** SHARPNESS * self.votes
         total = vote.sum(axis=1)
-        return np.where(total > 0, np.clip((vote * self.labels[near]).sum(axis=1) / np.where(total > 0, total, 1), 0, 1), self.prior)
+        return np.where(total > 0, np.clip((vote * self.labels).sum(axis=1) / np.where(total > 0, total, 1), 0, 1), self.prior)
+
+
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Which columns are the k largest of each row; of those equal to the last one the first columns. Columns stand in order of label and terms."""
+    if cosine.shape[1] <= k:
+        return np.ones(cosine.shape, bool)
+    last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+    above, equal = cosine > last, cosine == last
+    return above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
@@ -164,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per input row: doc_id, the columns of ``keep``, score in 0 to 1, predicted (1 where score >= 0.5).
 
-    A score reads the text alone. Texts without any known term, null and empty ones among them, score the share of label 1.
+    A score reads the text alone. Of labelled texts at equal cosines those of label 0 are nearer, and among these the ones whose terms come first in order. Texts without any known term, null and empty ones among them, score the share of label 1.
     Repeated rows and ids are judged row by row; an empty table gives an empty result.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(keep or []))
