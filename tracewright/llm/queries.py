@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import chroma, divergence, embeddings, language, minhash, packing, pieces, quality, seeds, suffixes, surrogates, token_counts, variants
-from tracewright.llm.sql import OP11_SQL, OP12_SQL, OP13_SQL
+from tracewright.llm.sql import OP9_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
@@ -35,6 +35,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _remainder(n: int) -> Column:
+    """The crc32 of the id as text modulo n; a null id counts as an empty text."""
+    return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8")) % n
+
+
 def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, whose bytes are taken as 8-bit samples, and alignments of each fiftieth."""
     recordings = documents(spark, sf_dir).select("doc_id", F.encode("text", "utf-8").alias("samples"))
@@ -53,7 +58,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; documents whose crc32 modulo 4 is 2 are held out of the profiles."""
-    docs = documents(spark, sf_dir).withColumn("held_out", F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 4 == 2)
+    docs = documents(spark, sf_dir).withColumn("held_out", _remainder(4) == 2)
     profiles = language.train(docs.where("not held_out"))
     found = language.predict(docs, profiles, keep=["held_out"])
     return found.select("doc_id", "held_out", "lang_pred", "score")
@@ -61,7 +66,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; labels whose crc32 modulo 3 is 1 are held out."""
-    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 3 == 1
+    held_out = _remainder(3) == 1
     docs = documents(spark, sf_dir).withColumn("held_out", held_out)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
     model = quality.train(docs.where("not held_out"), labels)
@@ -153,6 +158,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_minhash_near_dedup": OP2_SQL,
         "op6_embedding_near_dedup": OP6_SQL,
+        "op9_suffix_dedup": OP9_SQL,
         "op11_divergence": OP11_SQL,
         "op12_substring_dedup": OP12_SQL,
         "op13_spelling_variants": OP13_SQL,

@@ -1,5 +1,20 @@
 """DuckDB SQL of the operators whose result it can express."""
 
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+c AS (SELECT doc_id, n, b * 4096 AS base, substr(h, b * 8192 + 1, 8192 + 98) AS part FROM (SELECT doc_id, h, n, unnest(range(n // 4096 + 1)) AS b FROM d)),
+p AS (SELECT doc_id, base + i AS pos, substr(part, 2 * i + 1, 100) AS w FROM (SELECT doc_id, base, part, unnest(range(least(4096, len(part) // 2 - 49))) AS i FROM c)),
+m AS (SELECT w, min(doc_id) AS first FROM p GROUP BY w HAVING min(doc_id) < max(doc_id)),
+f AS (SELECT p.doc_id, p.pos, p.pos - lag(p.pos) OVER (PARTITION BY p.doc_id ORDER BY p.pos) AS step FROM p JOIN m ON p.w = m.w AND p.doc_id > m.first),
+g AS (SELECT doc_id, pos, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM f),
+s AS (SELECT doc_id, span, min(pos) AS a, max(pos) + 50 AS b FROM g GROUP BY ALL),
+k AS (SELECT s.doc_id, span, a, b, substr(h, 2 * coalesce(lag(b) OVER o, 0) + 1, 2 * (a - coalesce(lag(b) OVER o, 0))) AS kept FROM s JOIN d USING (doc_id) WINDOW o AS (PARTITION BY s.doc_id ORDER BY a)),
+r AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(kept, '' ORDER BY a) AS kept, max(b) AS last FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
 OP11_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
