@@ -121,9 +121,14 @@ def test_maximal_repeats(spark):
     assert seeds.repeats(empty(spark)).count() == 0 and seeds.remove_repeats(empty(spark)).count() == 0
 
 
-def test_a_stretch_of_all_documents_is_sent_once_a_task(spark):
+def test_what_all_documents_hold_is_sent_once_a_task(spark):
     rows = [(i, " ".join(f"w{j}" for j in range(40))) for i in range(500)]
-    sent = frame(spark, rows).coalesce(2).select("doc_id", "text", F.lit(1).alias("text_hash")).mapInArrow(seeds._plant(20), seeds.SEED_SCHEMA)
+    docs = seeds._identified(frame(spark, rows).coalesce(2), "doc_id", "text")
+    asked = docs.select("doc_id", "text_hash", "text").mapInArrow(seeds._anchors(20), seeds.MEET_SCHEMA)
+    anchors = asked.select("anchor").distinct().count()
+    assert asked.where("state <> 2").count() <= 2 * anchors and asked.where("state = 2").count() == 500 * anchors
+    shared = asked.groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
+    sent = seeds._compressed(docs).join(F.broadcast(shared), "doc_id").select("doc_id", "text_hash", "size", "body", "shared").mapInArrow(seeds._plant(20), seeds.SEED_SCHEMA)
     assert sent.where("first_doc is null").agg(F.sum("n")).first()[0] <= 2 * 21
 
 

@@ -9,7 +9,7 @@ from tests.llm.cases import empty, frame, texts
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op2_minhash_near_dedup", "op6_embedding_near_dedup", "op11_divergence", "op12_substring_dedup", "op13_spelling_variants"])
+@pytest.mark.parametrize("name", ["op2_minhash_near_dedup", "op6_embedding_near_dedup", "op9_suffix_dedup", "op11_divergence", "op12_substring_dedup", "op13_spelling_variants"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     con.sql("SET threads = 4")

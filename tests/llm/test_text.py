@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.cases import empty, frame, texts
@@ -219,3 +220,39 @@ def test_predictions_match_brute_force(spark):
         cosines = [vector @ profiles[n] / np.linalg.norm(vector) / np.linalg.norm(profiles[n]) for n in names]
         assert got[i].lang_pred == names[int(np.argmax(cosines))]
         assert abs(got[i].score - min(1, max(0, max(cosines)))) < (1e-5 if i != 9 else 1e-2)
+
+
+def test_nearest_with_ties_equals_sorting():
+    rng = np.random.default_rng(5)
+    for columns in (3, 16, 40):
+        cosine = rng.integers(-2, 3, (50, columns)).astype(np.float32) / 2
+        got = quality.nearest(cosine, 16)
+        want = [set(sorted(range(columns), key=lambda j, row=row: (-row[j], j))[:16]) for row in cosine]
+        assert [set(np.flatnonzero(r)) for r in got] == want
+
+
+def test_quality_equals_brute_force(spark):
+    rows = [(i, t) for i, t in enumerate(t for _, t in texts() if t and len(t) < 3000)]
+    rows += [(1000 + i, t) for i, t in rows[:9]]  # copies with another label
+    labels = spark.createDataFrame([(i, int(i >= 1000) or i % 2) for i, _ in rows if i % 3], "doc_id long, quality int")
+    docs = frame(spark, [*rows, (5000, None), (5001, ""), (5002, "the " * 200_000)])
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for i, text in [*rows, (5000, None), (5001, ""), (5002, "the " * 200_000)]:
+        cosine = model.latent(quality.term_counts([text]))[0] @ model.vectors.T
+        near = sorted(range(len(cosine)), key=lambda j: (-cosine[j], j))[: quality.NEIGHBOURS]
+        votes = [(max(float(cosine[j]), 0.0) ** quality.SHARPNESS * float(model.votes[j]), float(model.labels[j])) for j in near]
+        total = sum(v for v, _ in votes)
+        assert abs(got[i] - (sum(v * x for v, x in votes) / total if total else model.prior)) < 1e-4
+    assert len(got) == len(rows) + 3 and quality.score(docs.limit(0), model).count() == 0
+
+
+def test_pre_tokens_of_all_documents_are_dealt_by_slices(spark, tokenizer):
+    """A rare pre-token of several pieces that every document has."""
+    rows = [(i, f"zzqxvblorg zzqxvblorg {'word ' * (i % 5)}kjw{i % 9}xx") for i in range(600)]
+    docs = frame(spark, rows)
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, JSON).collect()}
+    assert got == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    packed = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_bytes")).repartition(6).mapInArrow(token_counts._pack(JSON, 50), token_counts.PACKED)
+    holders = [r.bucket for r in packed.where("bucket >= 0").collect() for p in r.parts if b"zzqxvblorg" in token_counts._unsqueeze(p.size, p.packed)[0]]
+    assert len(set(holders)) > 1
