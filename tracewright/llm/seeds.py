@@ -6,7 +6,7 @@ each stretch of ``length`` words whose anchor it is, which reaches some words to
 equal stretches, told by 128 bits (anchor and stretch). A stretch that also starts earlier, in a document of smaller id or before it in its own, is a repeat of the first such place;
 stretches in a row whose first places are in a row too are one maximal repeat.
 
-Anchors meet by one shuffle on their hash, and the members of one are never paired: the least id of each stretch decides. Of a stretch that a task
+Documents first meet on their anchors alone, and only anchors that occur twice are extended. Their stretches meet by a shuffle on the anchor's hash, and the members of one are never paired: the least id of each stretch decides. Of a stretch that a task
 sees again only the earliest place is sent, so that a stretch of all documents arrives about once a task. Anchors that very many documents hold within different words, told by a sample of
 documents, are dealt by their stretches instead. The sample changes only the way, never the result.
 """
@@ -84,20 +84,23 @@ def _first_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Passages:
-    """All stretches of ``length`` words of several documents: their document, start, hash, and the anchor's hash and place."""
+    """All stretches of ``length`` words of several documents: their document, start, and the anchor's hash and place; of those whose anchor is ``shared``, also the hash."""
 
-    def __init__(self, documents: list[list[bytes]], length: int, hashes: _WordHash):
+    def __init__(self, documents: list[list[bytes]], length: int, hashes: _WordHash, shared: np.ndarray | None = None):
         sizes = np.array([len(d) for d in documents], np.int64)
         h = np.fromiter((hashes[w] for d in documents for w in d), np.uint64, int(sizes.sum()))
         begin = np.cumsum(sizes) - sizes
-        grams, whole = _joined(h, GRAM), _joined(h, length)
+        grams = _joined(h, GRAM)
         counts = np.maximum(sizes - length + 1, 0)
         self.doc = np.repeat(np.arange(len(documents)), counts)
         self.start = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
         at = begin[self.doc] + self.start
-        self.stretch = whole[at]
         self.place = _first_least(grams, length - GRAM + 1)[at] if len(at) else at
-        self.anchor = grams[self.place] if len(at) else whole
+        self.anchor = grams[self.place] if len(at) else np.zeros(0, np.uint64)
+        if shared is not None:
+            kept = np.isin(self.anchor, shared)
+            self.doc, self.start, self.place, self.anchor = (x[kept] for x in (self.doc, self.start, self.place, self.anchor))
+            self.stretch = _joined(h, length)[at[kept]]
 
 
 def _cuts(*columns: np.ndarray) -> np.ndarray:
@@ -142,15 +145,71 @@ class _Seen:
         self.rows = [x[keep] for x in both]
 
 
+MEET_SCHEMA = "key long, anchor long, doc_id long, text_hash int, state int"
+ASKS, SHOWS, TOLD = 0, 1, 2
+
+
+def _anchors(length: int):
+    """Documents to their anchors: those that the task has seen twice are told to be shared and shown to other tasks once, the others ask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, known = _WordHash(), np.zeros(0, np.uint64)
+        for batch in slices(batches, "text", 2 << 20):
+            ids, marks = (batch.column(c).to_numpy() for c in ("doc_id", "text_hash"))
+            found = Passages([words_of(t) for t in batch.column("text").to_pylist()], length, hashes)
+            at = _cuts(found.place)
+            anchor, first, of, n = np.unique(found.anchor[at], return_index=True, return_inverse=True, return_counts=True)
+            shown = np.isin(anchor, known)
+            twice = (n > 1) | shown
+            some = at[first[~shown]]
+            told = np.unique(np.stack([found.doc[at][twice[of]], of[twice[of]]]), axis=1)
+            rows = [
+                (anchor[~shown], anchor[~shown], found.doc[some], np.where(n[~shown] > 1, SHOWS, ASKS)),
+                (mix64(told[0].astype(np.uint64) * _PRIME + anchor[told[1]]), anchor[told[1]], told[0], np.full(told.shape[1], TOLD)),
+            ]
+            for key, value, doc, state in rows:
+                if len(key):
+                    columns = [pa.array(key.view(np.int64)), pa.array(value.view(np.int64)), pa.array(ids[doc], pa.int64()), pa.array(marks[doc], pa.int32()), pa.array(state, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "anchor", "doc_id", "text_hash", "state"])
+            known = np.unique(np.concatenate([anchor[(n > 1) & ~shown], known[: _Seen.MOST]]))
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_hash, anchor) of the anchors that others have, too, from rows sorted by key."""
+    names = ["doc_id", "text_hash", "anchor"]
+    held: pa.RecordBatch | None = None  # the last row, and whether its key was there before
+    before = False
+    for batch in batches:
+        told = pc.equal(batch.column("state"), TOLD)
+        yield batch.filter(told).select(names)
+        batch = batch.filter(pc.invert(told))
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        key, asks = rows.column("key").to_numpy(), rows.column("state").to_numpy() == ASKS
+        same = key[1:] == key[:-1]
+        met = np.concatenate([[before], same]) | np.concatenate([same, [False]])
+        yield rows.slice(0, len(key) - 1).filter(pa.array((met & asks)[:-1])).select(names)
+        before = bool(same[-1]) if len(same) else before
+        held = rows.slice(len(key) - 1)
+    if held is not None and before and held.column("state")[0].as_py() == ASKS:
+        yield held.select(names)
+
+
 def _plant(length: int):
     """Documents to anchors with the stretches that no earlier place of the task has, and to the repeats that are told already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _WordHash(), _Seen()
-        for batch in slices(batches, "text", 4 << 20):
+        codec = pa.Codec("zstd")
+        for batch in slices(batches, "body", 1 << 20):
             ids, marks = (batch.column(c).to_numpy() for c in ("doc_id", "text_hash"))
             order = np.lexsort((marks, ids))
-            found = Passages([words_of(batch.column("text")[int(i)].as_py()) for i in order], length, hashes)
+            sizes, bodies = batch.column("size").to_pylist(), batch.column("body")
+            shared = np.unique(batch.column("shared").flatten().to_numpy().view(np.uint64))
+            found = Passages([codec.decompress(bodies[int(i)].as_buffer(), sizes[i], asbytes=True).split() if sizes[i] else [] for i in order], length, hashes, shared)
             if not len(found.doc):
                 continue
             known = len(seen.rows[0])
@@ -196,7 +255,7 @@ def _sampled(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHash()
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             found = Passages([words_of(t) for t in batch.column("text").to_pylist()], length, hashes)
             anchor, n = np.unique(found.anchor[_cuts(found.place)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n, pa.int64())], names=["anchor", "n"])
@@ -247,7 +306,7 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("text_hash", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int"))
 
 
-def _found(rows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+def _found(rows: DataFrame, packed: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """Repeats in a row: doc_id, text_hash, start, n (stretches), first_doc, first_start."""
     if length < GRAM:
         raise ValueError(f"a repeat has at least {GRAM} words")
@@ -256,7 +315,9 @@ def _found(rows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     counts = scratch.keep(sample.groupBy("anchor").agg(F.sum("n").alias("n")).where("n >= 8"), "anchors")
     even = (counts.agg(F.sum("n")).first()[0] or 0) // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hot = counts.where(F.col("n") >= min(HOT, max(8, even))).select("anchor", F.lit(True).alias("hot"))
-    seeds = rows.mapInArrow(_plant(length), SEED_SCHEMA)
+    met = rows.mapInArrow(_anchors(length), MEET_SCHEMA).repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "doc_id long, text_hash int, anchor long")
+    shared = met.groupBy("doc_id", "text_hash").agg(F.collect_list("anchor").alias("shared"))
+    seeds = packed.join(shared, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "size", "body", "shared").mapInArrow(_plant(length), SEED_SCHEMA)
     if not hot.isEmpty():
         # A hot anchor gives way to the hash of itself and one stretch, row by row.
         singly = F.transform("stretches", lambda h, i: F.struct(F.xxhash64("anchor", h).alias("anchor"), F.array(h).alias("stretches"), (F.col("start") + i).alias("start"), F.lit(1).alias("n")))
@@ -266,6 +327,12 @@ def _found(rows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     return seeds.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_extend, RUN_SCHEMA)
 
 
+def _compressed(rows: DataFrame) -> DataFrame:
+    """The texts of rows with an id. Joins of it ask for both keys, so that the plan has one shuffle of it however many there are."""
+    packed = rows.where("doc_id is not null").select("doc_id", "text_hash", "text").mapInArrow(_packed, PACKED_SCHEMA)
+    return packed.where("doc_id is not null and text_hash is not null")
+
+
 def repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Maximal repeats: doc_id, text_hash, start (a word's number from 0), n_words, first_doc, first_start.
 
@@ -274,7 +341,8 @@ def repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col:
     rows that share an id (told apart by ``text_hash``, the low 31 bits of the text's ``xxhash64``) give none to each other. Null texts and texts of fewer words have none, an empty table gives no rows,
     and other columns are not read. A document is held whole by the task that reads it.
     """
-    found = _found(_identified(docs, id_col, text_col), length, Scratch(docs.sparkSession)).distinct()
+    rows = _identified(docs, id_col, text_col)
+    found = _found(rows, _compressed(rows), length, Scratch(docs.sparkSession)).distinct()
     line = Window.partitionBy("doc_id", "text_hash", "first_doc", F.col("start") - F.col("first_start")).orderBy("start")
     begins = F.coalesce(F.col("start") > F.lag(F.col("start") + F.col("n")).over(line), F.lit(True)).cast("int")
     grouped = found.withColumn("begins", begins).withColumn("part", F.sum("begins").over(line))
@@ -326,9 +394,11 @@ def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
     The words of all ``repeats`` go, so that of each passage the earliest copy stays. Rows with a null id are left whole. A null text has no words. Edge cases as in ``repeats``.
     """
     rows = _identified(docs, id_col, text_col)
-    found = _found(rows, length, Scratch(docs.sparkSession))
+    # The texts are shuffled once, for the stretches of shared anchors and for the cuts.
+    texts = _compressed(rows)
+    found = _found(rows, texts, length, Scratch(docs.sparkSession))
     runs = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    packed = rows.select("doc_id", "text_hash", "text").mapInArrow(_packed, PACKED_SCHEMA)
-    known = packed.where("doc_id is not null").join(runs, ["doc_id", "text_hash"], "left").select("doc_id", "size", "body", "runs")
-    without = packed.where("doc_id is null").select("doc_id", "size", "body", F.lit(None).cast("array<struct<start:int,n:int>>").alias("runs"))
+    known = texts.join(runs, ["doc_id", "text_hash"], "left").select("doc_id", "size", "body", "runs")
+    unnamed = rows.where("doc_id is null").select("doc_id", "text_hash", "text").mapInArrow(_packed, PACKED_SCHEMA)
+    without = unnamed.select("doc_id", "size", "body", F.lit(None).cast("array<struct<start:int,n:int>>").alias("runs"))
     return known.unionByName(without).mapInArrow(_cut(length), CUT_SCHEMA)
