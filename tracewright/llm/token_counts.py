@@ -3,11 +3,11 @@
 A byte-level BPE splits a text into pre-tokens and each pre-token into pieces, so a document has as many tokens as the pieces of
 its pre-tokens times their frequencies. Tasks cut their documents into slices and count pre-tokens in each document. Those that
 are a single entry of the vocabulary (a fixed, bounded table) are one piece and summed at once. The others are packed by a hash
-of the pre-token, one row for each slice and bucket, and shuffled by bucket: there each distinct pre-token is split into
+of the pre-token, many slices to a row of a bucket, and shuffled by bucket: there each distinct pre-token is split into
 pieces once, joined to its frequencies, and summed by document. Slices then add up the sums.
 
-A pre-token that every document has is one entry for each document in its bucket, spread over that bucket's slices; the
-single-piece table takes the most frequent ones out before.
+A pre-token of several pieces that many documents of a slice have goes to another bucket for each slice, so that one that every document has is
+dealt over all of them, at the price of being split once in each.
 """
 
 from __future__ import annotations
@@ -35,7 +35,10 @@ _SLICE_BYTES = 4 << 20
 #: Distinct pre-tokens whose counts a task holds, and entries of sums before it passes them on.
 _HELD = 2_000_000
 
-PACKED = "slice long, bucket int, doc_ids array<long>, n_bytes array<long>, base array<long>, size int, packed binary"
+#: Documents of a slice, and the share of them, from which a pre-token is dealt by slices; bytes of packed frequencies that a task gathers into rows.
+COMMON, COMMON_SHARE, _GATHERED = 64, 1 / 8, 16 << 20
+
+PACKED = "slice long, bucket int, doc_ids array<long>, n_bytes array<long>, base array<long>, parts array<struct<slice: long, size: int, packed: binary>>"
 
 
 class _Splitter:
@@ -93,11 +96,17 @@ def _unsqueeze(size: int, packed: bytes) -> list[bytes]:
 
 
 def _pack(path: str, buckets: int):
-    schema = pa.schema([("slice", pa.int64()), ("bucket", pa.int32())] + [(c, pa.list_(pa.int64())) for c in ("doc_ids", "n_bytes", "base")] + [("size", pa.int32()), ("packed", pa.binary())])
+    part = pa.struct([("slice", pa.int64()), ("size", pa.int32()), ("packed", pa.binary())])
+    schema = pa.schema([("slice", pa.int64()), ("bucket", pa.int32())] + [(c, pa.list_(pa.int64())) for c in ("doc_ids", "n_bytes", "base")] + [("parts", pa.list_(part))])
+
+    def rows_of(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = _splitter(path)
         number = TaskContext.get().partitionId() << 33
+        gathered: dict[int, list[dict]] = {}
+        held = 0
         for batch in slices(batches, "text", _SLICE_BYTES, SLICE_ROWS):
             codes = _Codes()
             docs, words, base = [], [], np.zeros(batch.num_rows, np.int64)
@@ -113,9 +122,11 @@ def _pack(path: str, buckets: int):
             word, doc = pairs // SLICE_ROWS, pairs % SLICE_ROWS
             known = single[word]
             base += np.bincount(doc[known], freqs[known], batch.num_rows).astype(np.int64)
-            rows = [{"slice": number, "bucket": -1, "doc_ids": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "base": base}]
+            yield rows_of([{"slice": number, "bucket": -1, "doc_ids": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "base": base}])
             word, doc, freqs = word[~known], doc[~known], freqs[~known]
-            bucket = np.fromiter((-1 if s else xxhash.xxh32_intdigest(w) % buckets for w, s in zip(distinct, single, strict=True)), np.int64, len(distinct))
+            common = np.bincount(word, minlength=len(distinct)) > max(COMMON, COMMON_SHARE * batch.num_rows)
+            bucket = np.fromiter((-1 if s else xxhash.xxh32_intdigest(w) for w, s in zip(distinct, single, strict=True)), np.int64, len(distinct))
+            bucket = np.where(single, -1, (bucket + np.where(common, number % buckets, 0)) % buckets)
             order = np.argsort(bucket[word], kind="stable")
             word, doc, freqs = word[order], doc[order], freqs[order]
             for part in np.split(np.arange(len(word)), np.flatnonzero(np.diff(bucket[word])) + 1) if len(word) else []:
@@ -129,9 +140,14 @@ def _pack(path: str, buckets: int):
                     freqs[part].astype(np.uint32).tobytes(),
                 ]
                 size, packed = _squeeze(blobs)
-                rows.append({"slice": number, "bucket": bucket[own[0]], "size": size, "packed": packed})
+                gathered.setdefault(int(bucket[own[0]]), []).append({"slice": number, "size": size, "packed": packed})
+                held += len(packed)
             number += 1
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
+            if held > _GATHERED:
+                yield rows_of([{"bucket": b, "parts": parts} for b, parts in gathered.items()])
+                gathered, held = {}, 0
+        if gathered:
+            yield rows_of([{"bucket": b, "parts": parts} for b, parts in gathered.items()])
 
     return run
 
@@ -163,7 +179,7 @@ def _sum(path: str):
             return pa.RecordBatch.from_arrays(arrays, names=["slice", "docs", "sums"])
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for parts in batch.column("parts") for r in parts.as_py()):
                 words, sizes, entries, docs, freqs = _unsqueeze(row["size"], row["packed"])
                 text, ends = words.decode(), np.cumsum(np.frombuffer(sizes, np.uint32)).tolist()
                 n = pieces.of([text[a:b] for a, b in zip([0, *ends], ends, strict=False)])
@@ -202,7 +218,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     source = source.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     # Written once: the slices of the frequencies and of their documents have to be the same.
     packed = Scratch(spark).keep(source.mapInArrow(_pack(tokenizer, partitions), PACKED), "frequencies")
-    sums = packed.where("bucket >= 0").select("slice", "bucket", "size", "packed").repartition(partitions, "bucket").mapInArrow(_sum(tokenizer), "slice long, docs binary, sums binary")
+    sums = packed.where("bucket >= 0").select("bucket", "parts").repartition(partitions, "bucket").mapInArrow(_sum(tokenizer), "slice long, docs binary, sums binary")
     sums = sums.groupBy("slice").agg(F.collect_list("docs").alias("docs"), F.collect_list("sums").alias("sums"))
     heads = packed.where("bucket < 0").select("slice", "doc_ids", "n_bytes", "base")
     joined = heads.join(sums, "slice", "left").select("doc_ids", "n_bytes", "base", "docs", "sums")
