@@ -58,6 +58,27 @@ def test_missing_dependencies(spark):
     assert found == [("../../c.js", None, "unsafe_relative_dependency"), ("./dir", "d/dir", "dependency_path_conflict"), ("./e\\f", None, "unsafe_relative_dependency"), ("./gone", "d/gone", "missing_static_relative_dependency")]
 
 
+def test_fallback_sections_and_their_gaps(spark):
+    jobs = spark.createDataFrame([(1,), (2,), (None,)], "job_id long")
+    kinds = [(1, "a", "audit_report", True), (1, "b", "html_report", None), (1, "c", "*", False), (1, "d", "other", True), (3, "e", "review_run", True), (None, "f", "review_run", True)]
+    artifacts = spark.createDataFrame(kinds, "job_id long, id string, kind string, included boolean")
+    found = [(r.job_id or 0, r.position, r.anchor, r.artifact_id or "") for r in reports.fallback_sections(jobs, artifacts).collect()]
+    anchors = list(reports.SECTIONS)
+    held = [(1, 0, "a"), (1, 0, "b"), (1, 3, "a"), (1, 3, "d")]
+    empty = [(1, n, "") for n in (1, 2, 4)] + [(j, n, "") for j in (0, 2) for n in range(5)]
+    assert sorted(found) == sorted((j, n, anchors[n], i) for j, n, i in held + empty)
+
+
+def test_fallback_sections_broadcast_no_more_than_jobs(spark):
+    jobs = spark.range(100_000).withColumnRenamed("id", "job_id")
+    artifacts = jobs.select("job_id", F.lit("a").alias("id"), F.lit("audit_report").alias("kind"), F.lit(True).alias("included"))
+    found = reports.fallback_sections(jobs, artifacts)
+    assert found.count() == 500_000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = plan.split("Join ")[1:]
+    assert joins and not any("anti" in j.split("\n")[0].lower() for j in joins)
+
+
 def test_report_choices(spark):
     rows_ = [("a", "k1", "s", "r", 5, True), ("b", None, "s", "r", 5, True), ("c", "k1", None, "r", 50, True), ("d", "k1", "s", "r", 50, True), ("e", "k1", "s", "r", 5, None)]
     artifacts = spark.createDataFrame(rows_, "id string, kind string, sensitivity_class string, retention_class string, size int, is_file boolean")

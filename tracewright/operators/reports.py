@@ -443,12 +443,16 @@ def fallback_sections(jobs: DataFrame, artifacts: DataFrame) -> DataFrame:
 
     Each section has a row for each artifact of its kinds, the index of attachments one for each that is included, and one without an id where there is none.
     """
-    parts = F.array(*[F.struct(F.lit(n).alias("position"), F.lit(anchor).alias("anchor"), (F.array(*[F.lit(k) for k in kinds]) if kinds else F.array(F.lit("*"))).alias("kinds")) for n, (anchor, kinds) in enumerate(SECTIONS.items())])
-    wanted = jobs.select("job_id", F.explode(parts).alias("s")).select("job_id", "s.position", "s.anchor", F.explode("s.kinds").alias("kind"))
-    held = artifacts.select("job_id", "kind", F.col("id").alias("artifact_id")).unionByName(artifacts.where("included").select("job_id", F.lit("*").alias("kind"), F.col("id").alias("artifact_id")))
-    found = wanted.join(held, ["job_id", "kind"]).select("job_id", "position", "anchor", "artifact_id")
-    empty = wanted.select("job_id", "position", "anchor").distinct().join(found, ["job_id", "position"], "left_anti")
-    return found.unionByName(empty.withColumn("artifact_id", F.lit(None).cast("string")))
+    anchors, no_ids = F.array(*[F.lit(a) for a in SECTIONS]), F.lit(None).cast("string")
+    of_kinds = F.array(*[F.when(F.col("kind").isin(kinds) if kinds else F.col("included"), F.lit(n)) for n, kinds in enumerate(SECTIONS.values())])
+    held = artifacts.select("job_id", F.col("id").cast("string").alias("artifact_id"), F.explode(F.array_compact(of_kinds)).alias("position"))
+    # Sections that a job has as bits, so that only a row a job, and no table that an explode has made longer than its estimate, can be broadcast.
+    bits = F.array(*[F.lit(1 << n) for n in range(len(SECTIONS))])
+    had = held.groupBy("job_id").agg(F.bit_or(F.element_at(bits, F.col("position") + 1)).alias("had"))
+    lacking = F.array_compact(F.array(*[F.when(F.coalesce("had", F.lit(0)).bitwiseAND(1 << n) == 0, F.lit(n)) for n in range(len(SECTIONS))]))
+    empty = jobs.select("job_id").distinct().join(had, "job_id", "left").select("job_id", F.explode(lacking).alias("position"), no_ids.alias("artifact_id"))
+    found = jobs.select("job_id").join(held, "job_id").select("job_id", "position", "artifact_id").unionByName(empty)
+    return found.select("job_id", "position", F.element_at(anchors, F.col("position") + 1).alias("anchor"), "artifact_id")
 
 
 def runner_kinds(boundary: Column) -> Column:
