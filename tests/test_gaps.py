@@ -174,6 +174,14 @@ def test_diagnostics_equal_a_loop(spark):
     assert got == {f"l{n}": looped(log) for n, log in enumerate(logs) if looped(log)}
 
 
+def test_other_places_are_sorted_once_and_narrow(spark):
+    lines = spark.createDataFrame([("l", i, t) for i, t in enumerate(LOG)], "log_id string, line_no int, line string")
+    plan = builds.related_information(lines)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
+    found = [(r.number, r.nth, r.path, r.code) for r in builds.related_information(spark.createDataFrame([("l", 1, "a.ts(1,2): error TS1: x"), ("l", 2, "b.ts(1,2): see TS5"), ("l", 3, " c.ts:1:2 - d"), ("l", 4, "e:1:2:"), ("l", 5, "[vite] f"), ("l", 6, "g.ts(3,4): h"), ("m", 1, "g.ts(3,4): h")], lines.schema)).collect()]
+    assert sorted(found) == [(1, 1, "b.ts", "TS5"), (1, 2, "c.ts", None), (2, 1, "g.ts", None)]
+
+
 def test_references_in_program_order(spark):
     tokens = [("f", 0, "a", "use"), ("f", 1, "a", "declare"), ("f", 2, "a", "use"), ("f", 3, "b", "use"), ("f", 4, "b", "top"), ("f", 5, "c", "use"), ("g", 0, "a", "declare"), ("f", 6, "a", "declare")]
     found = inventory.symbol_references(spark.createDataFrame(tokens, "file string, position int, name string, role string"))

@@ -58,21 +58,45 @@ def related(line: Column) -> Column:
     return ordered_case([(line.rlike(RELATED_PAREN), pattern(RELATED_PAREN)), (line.rlike(RELATED_COLON), pattern(RELATED_COLON))])
 
 
-def _marked(lines: DataFrame) -> DataFrame:
-    """Lines of diagnostics with their number: ``d`` opens one, ``r`` tells of another place, ``place`` is a bare location. The hundredth has its first line only."""
-    order = Window.partitionBy("log_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+def _opens(line: Column) -> Column:
+    """Whether ``diagnostic`` is not null."""
+    return line.rlike("|".join(f"(?:{p})" for p in (TSC_PAREN, TSC_COLON, TSC_GLOBAL, ESBUILD, VITE)))
+
+
+def _tells(line: Column) -> Column:
+    """Whether ``related`` is not null."""
+    return line.rlike(RELATED_PAREN) | line.rlike(RELATED_COLON)
+
+
+def _lines(lines: DataFrame) -> DataFrame:
+    """(log_id, line_no, line, bare) of the lines that are not blank: without the blanks at their end, and without those at both ends."""
     raw = F.coalesce(F.col("line").cast("string"), F.lit(""))
-    rows = lines.select("log_id", "line_no", F.regexp_replace(raw, r"\s+$", "").alias("line"), F.regexp_replace(raw, r"^\s+|\s+$", "").alias("bare")).where("bare <> ''")
-    rows = rows.withColumn("d", diagnostic(F.col("bare")))
-    rows = rows.withColumn("number", F.count("d").over(order)).where(F.col("number").between(1, MAX_DIAGNOSTICS) & ((F.col("number") < MAX_DIAGNOSTICS) | F.col("d").isNotNull()))
+    return lines.select("log_id", "line_no", F.regexp_replace(raw, r"\s+$", "").alias("line"), F.regexp_replace(raw, r"^\s+|\s+$", "").alias("bare")).where("bare <> ''")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Lines with the number of their diagnostic, which those that ``opens`` begin. The hundredth has its first line only."""
+    order = Window.partitionBy("log_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("number", F.count(F.when(F.col("opens"), 1)).over(order)).where(F.col("number").between(1, MAX_DIAGNOSTICS) & ((F.col("number") < MAX_DIAGNOSTICS) | F.col("opens")))
+
+
+def _marked(lines: DataFrame) -> DataFrame:
+    """Lines of diagnostics with their number: ``d`` opens one, ``r`` tells of another place, ``place`` is a bare location."""
+    # What a line tells is read from it after the sort, so that no row is sorted with it.
+    rows = _numbered(_lines(lines).withColumn("opens", _opens(F.col("bare"))))
+    rows = rows.withColumn("d", F.when(F.col("opens"), diagnostic(F.col("bare")))).drop("opens")
     return rows.withColumns({"r": F.when(F.col("d").isNull(), related(F.col("bare"))), "place": F.col("d").isNull() & F.col("bare").rlike(LOCATION)})
 
 
 def related_information(lines: DataFrame) -> DataFrame:
     """(log_id, number, nth, path, line, column, message, code): the other places of each diagnostic, in order, however many there are."""
-    found = _marked(lines).where("r is not null")
-    nth = F.row_number().over(Window.partitionBy("log_id", "number").orderBy("line_no"))
-    return found.select("log_id", "number", nth.alias("nth"), "r.*")
+    # Only lines that open a diagnostic, without their text, and those of other places are sorted, once: places are counted on from the last line that opens one.
+    rows = _lines(lines).select("log_id", "line_no", "bare", _opens(F.col("bare")).alias("opens")).where(F.col("opens") | _tells(F.col("bare")))
+    rows = _numbered(rows.select("log_id", "line_no", "opens", F.when(~F.col("opens"), F.col("bare")).alias("bare")))
+    order = Window.partitionBy("log_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    count = F.count("bare").over(order)
+    rows = rows.withColumn("told", count).withColumn("before", F.max(F.when(F.col("opens"), F.col("told"))).over(order)).where("not opens")
+    return rows.select("log_id", "number", (F.col("told") - F.col("before")).cast("int").alias("nth"), related(F.col("bare")).alias("r")).select("log_id", "number", "nth", "r.*")
 
 
 def with_related(found: DataFrame, others: DataFrame) -> DataFrame:
