@@ -106,3 +106,9 @@ def test_numbers_of_every_type(spark):
 def test_lists_of_texts(spark):
     df = spark.createDataFrame([('["a", 1, "a", null, "b"]',), ('"x"',), ("{}",), ("null",), (None,)], "json string")
     assert [r[0] for r in df.select(policies.texts(F.try_parse_json("json"))).collect()] == [["a", "b"], ["x"], None, None, None]
+
+
+def test_values_are_taken_from_a_configuration_once(spark):
+    found = spark.range(2).select(F.try_parse_json(F.col("id").cast("string")).alias("config")).select(policies.attachment_policy(F.col("config")).alias("p")).select("p.*")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.evidenceAttachments") == plan.count("$.packaging") == 1 and plan.count("$.includeKinds") == 1

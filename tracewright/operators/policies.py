@@ -5,6 +5,8 @@ Configurations are VARIANT columns (``F.try_parse_json``). An absent key gives w
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ SENSITIVITY_CLASSES = ["public", "derived", "source_sensitive", "secret"]
 RETENTION_CLASSES = ["ephemeral", "project", "archive"]
 
 
+def bound(value: Column, build: Callable[[Column], Column]) -> Column:
+    """What ``build`` makes of a value that it may name more than once, but that is computed once."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def child(value: Column, name: str) -> Column:
     """A member of an object: null if it is absent, the VARIANT null if it is null."""
     return F.try_variant_get(value, f"$.{name}", "variant")
@@ -26,7 +33,7 @@ def _type(value: Column) -> Column:
 
 def as_object(value: Column) -> Column:
     """The value if it is an object, else null."""
-    return F.when(_type(value).startswith("OBJECT"), value)
+    return bound(value, lambda v: F.when(_type(v).startswith("OBJECT"), v))
 
 
 def has(value: Column, name: str) -> Column:
@@ -35,37 +42,42 @@ def has(value: Column, name: str) -> Column:
 
 def whole_number(value: Column, default: int, least: int, most: int) -> Column:
     """An integer within bounds: fractions are cut, true is 1, texts of digits are read; anything else is the default."""
-    type_ = _type(value)
-    text = F.btrim(F.try_variant_get(value, "$", "string"))
-    number = F.when(type_ == "STRING", F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("double"))).when(type_ == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int").cast("double"))
-    number = number.when(type_.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(value, "$", "double"))
-    held = F.when(number > most, F.lit(most)).when(number < least, F.lit(least)).when(number.isNotNull(), number.cast("int"))
+
+    def number(v: Column) -> Column:
+        type_, text = _type(v), F.btrim(F.try_variant_get(v, "$", "string"))
+        found = F.when(type_ == "STRING", F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("double"))).when(type_ == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast("double"))
+        return found.when(type_.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
+
+    held = bound(bound(value, number), lambda n: F.when(n > most, F.lit(most)).when(n < least, F.lit(least)).when(n.isNotNull(), n.cast("int")))
     return F.coalesce(held, F.lit(default))
 
 
 def switch(value: Column, default: Column | bool) -> Column:
     """A boolean; anything else is the default."""
-    return F.coalesce(F.when(_type(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean")), default if isinstance(default, Column) else F.lit(default))
+    return F.coalesce(bound(value, lambda v: F.when(_type(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))), default if isinstance(default, Column) else F.lit(default))
 
 
 def ratio(value: Column, default: Column | float) -> Column:
     """A number of 0 at least; anything else is the default."""
-    number = F.when(_type(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.greatest(F.try_variant_get(value, "$", "double"), F.lit(0.0)))
+    number = bound(value, lambda v: F.when(_type(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.greatest(F.try_variant_get(v, "$", "double"), F.lit(0.0))))
     return F.coalesce(number, default if isinstance(default, Column) else F.lit(default))
 
 
 def texts(value: Column) -> Column:
     """The distinct strings of a list in its order, or a single string; null for anything else."""
-    type_ = _type(value)
-    some = F.filter(F.try_variant_get(value, "$", "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING")
-    listed = F.array_distinct(F.transform(some, lambda v: F.try_variant_get(v, "$", "string")))
-    return F.when(type_ == "STRING", F.array(F.try_variant_get(value, "$", "string"))).when(type_.startswith("ARRAY"), listed)
+
+    def listed(v: Column) -> Column:
+        strings = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
+        type_ = _type(v)
+        return F.when(type_ == "STRING", F.array(F.try_variant_get(v, "$", "string"))).when(type_.startswith("ARRAY"), F.array_distinct(F.array_compact(strings)))
+
+    return bound(value, listed)
 
 
 def allowed_actions(*configs: Column) -> Column:
     """Of the first configuration whose allowedRepairActions is a list those that are known, in its order; all of them if none has one."""
     known = F.array(*[F.lit(a) for a in REPAIR_ACTIONS])
-    lists = [F.when(_type(child(c, "allowedRepairActions")).startswith("ARRAY"), texts(child(c, "allowedRepairActions"))) for c in configs]
+    lists = [bound(child(c, "allowedRepairActions"), lambda v: F.when(_type(v).startswith("ARRAY"), texts(v))) for c in configs]
     return F.coalesce(*[F.filter(found, lambda a: F.array_contains(known, a)) for found in lists], known)
 
 
@@ -98,10 +110,12 @@ def gate_policy(config: Column) -> Column:
 
 def attachment_policy(config: Column, sensitivity: list[str] = SENSITIVITY_CLASSES, retention: list[str] = RETENTION_CLASSES) -> Column:
     """Which artifacts go into an archive; a list that is absent or of another type is null and limits nothing, an empty one lets nothing pass."""
-    raw = as_object(child(as_object(child(config, "packaging")), "evidenceAttachments"))
+    return bound(as_object(child(as_object(child(config, "packaging")), "evidenceAttachments")), lambda raw: _attachments(raw, sensitivity, retention))
+
+
+def _attachments(raw: Column, sensitivity: list[str], retention: list[str]) -> Column:
     within = lambda found, known: F.filter(found, lambda c: c.isin(known))
-    size = child(raw, "maxBytesPerArtifact")
-    most = F.when(_type(size) == "BIGINT", F.try_variant_get(size, "$", "bigint"))
+    most = bound(child(raw, "maxBytesPerArtifact"), lambda size: F.when(_type(size) == "BIGINT", F.try_variant_get(size, "$", "bigint")))
     return F.struct(
         F.array_sort(texts(child(raw, "includeKinds"))).alias("include_kinds"),
         F.coalesce(F.array_sort(texts(child(raw, "excludeKinds"))), F.array().cast("array<string>")).alias("exclude_kinds"),
