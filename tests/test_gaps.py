@@ -188,6 +188,14 @@ def test_references_in_program_order(spark):
     assert rows(found) == [("f", "a", 3), ("f", "b", 2), ("g", "a", 1)]
 
 
+def test_uses_are_not_asked_for_declarations(spark):
+    tokens = spark.createDataFrame([("f", 0, "a", "use"), ("f", 1, "a", "declare"), ("f", None, "b", "declare"), ("f", 2, "b", "use"), ("f", 3, "a", None)], "file string, position int, name string, role string")
+    found = inventory.symbol_references(tokens)
+    assert rows(found) == [("f", "a", 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "role#" in plan and " IN (top,declare)" in plan
+
+
 def test_limited_outputs_equal_python(spark):
     rng = random.Random(4)
     raws = [(bytes(rng.choice([0x61, 0xC3, 0xA9, 0xF0, 0x9F, 0x99, 0x82, 0xFF, 0xE6, 0x97]) for _ in range(rng.randrange(12))), "日é🙂a".encode()[: rng.randrange(11)]) for _ in range(60)] + [(None, b"x"), (b"", None)]

@@ -267,6 +267,7 @@ def symbol_references(tokens: DataFrame) -> DataFrame:
     A role is ``top`` for a declaration at the top of its file, ``declare`` for one further in, else ``use``. A name counts from its first declaration on, that itself included; names with a declaration
     at the top are known from the start. Names without any are not listed. Two partial aggregates and an equi-join, so that a name in very many places is no group.
     """
-    known = F.min(F.when(F.col("role") == "top", F.lit(-1)).when(F.col("role") == "declare", F.col("position")))
-    since = tokens.groupBy("file", "name").agg(known.alias("since")).where("since is not null")
-    return tokens.join(since, ["file", "name"]).where("position >= since").groupBy("file", "name").agg(F.count(F.lit(1)).alias("references"))
+    # Only declarations are asked for the first one, and uses travel without their role.
+    first = F.min(F.when(F.col("role") == "top", F.lit(-1)).otherwise(F.col("position")))
+    since = tokens.where(F.col("role").isin("top", "declare")).groupBy("file", "name").agg(first.alias("since")).where("since is not null")
+    return tokens.select("file", "name", "position").join(since, ["file", "name"]).where("position >= since").groupBy("file", "name").agg(F.count(F.lit(1)).alias("references"))
