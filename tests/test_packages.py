@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from tracewright.operators import graphs, inventory, knowledge, releases, reports
+from tracewright.plans.agents import dealt
 from tests.test_operators import rows
 
 
@@ -88,3 +89,33 @@ def test_report_choices(spark):
     plans = spark.createDataFrame([("pass", None, ["b", None], ["b"]), ("pass", "timeout", ["b"], ["b"]), ("pass", None, ["c", "b"], ["b", "c"]), (None, None, None, ["b"])], "status string, failure_class string, planned array<string>, available array<string>")
     found = reports.planner_selection(plans, ["b", "c"]).select("fallback", "selected").collect()
     assert [tuple(r) for r in found] == [("planner_selection_outside_allowlist", ["b"]), ("planner_execution_pass:timeout", ["b"]), (None, ["b", "c"]), ("planner_execution_missing", ["b"])]
+
+
+def test_archives_are_read_once_and_meet_without_broadcasts(spark):
+    pushed = '{"config":{"push":true},"images":%s}'
+    archives = [
+        (1, pushed % "3", "[]", None, '[{"token":"x"}]'),
+        (2, pushed % '[{"service":"a"},1,{"service":"b","versionTag":"r:1"}]', "", None, '{"token":{"token":null},"registryDigests":[null,{"service":"a","digest":"short"}]}'),
+        (3, None, None, None, '{"token":0.0,"a":[{"Pass-word":""},"<b>"],"databaseSnapshot":[[{"path":"p"}]],"serviceLogs":[],"artifactStoreExport":"path","rollbackEvidence":[{"path":" "}]}'),
+        (4, None, "1", None, '{"x":{"containsSecretValues":true},"secretManager":{"provider":"p","environment":"e","revisionRef":"r","containsSecretValues":false}}'),
+        (5, pushed % "[]", None, None, '{"registryDigests":"none","databaseSnapshot":{"url":1},"ciRun":[{"runUrl":"u"}]}'),
+    ]
+    checks = releases.archive_checks(spark.createDataFrame(archives, "release_id int, gate string, compose string, deployment string, manifest string").coalesce(1))
+    found = releases.archive_reports(checks)
+    fixed = {"ciRun", "deploymentSmoke.archive_manifest.archiveReady", "releaseGate.executed", "secretManager", "artifactStoreExport", "databaseSnapshot", "rollbackEvidence", "serviceLogs"}
+    assert {r.release_id: set(r.missing) for r in found.collect()} == {
+        1: fixed | {"registryDigests.images"},
+        2: fixed | {"secretValuesAbsent", "registryDigests.a.digest", "registryDigests.b"},
+        3: fixed - {"databaseSnapshot"} | {"placeholderValuesReplaced"},
+        4: fixed - {"secretManager"} | {"containsSecretValuesFalse"},
+        5: fixed | {"registryDigests"},
+    }
+    # Tables of many releases may look small, so nothing of them is broadcast; the documents are read in two passes, for their members and for their leaves.
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert checks.select("release_id").distinct().count() == 5
+
+
+def test_small_tables_are_dealt_by_rows(spark):
+    keys = spark.range(25).coalesce(1)
+    assert dealt(keys, "id", 10).rdd.getNumPartitions() == 3 and dealt(keys.where("id < 0"), "id", 10).rdd.getNumPartitions() == 1
+    assert sorted(r.id for r in dealt(keys, "id", 10).collect()) == list(range(25))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tracewright.functions.text import ordered_case
 from tracewright.operators.chains import cut
 from tracewright.operators.policies import as_object, child
 from tracewright.operators.settings import PLACEHOLDER, SECRET_NAMES
-from tracewright.operators.trees import hide_values, leaves, plain_name
+from tracewright.operators.trees import is_hidden, leaves, named_at
 
 # Members by which evidence is referenced, and parts of an archive's evidence with the names of their checks.
 REFERENCES = ["evidenceRef", "path", "uri", "url", "snapshotId", "artifactId", "reference"]
@@ -21,27 +23,32 @@ def _filled(name: str) -> Column:
     return F.nullif(F.col(name), F.lit(""))
 
 
+def _apart(keys: list[str] | None) -> Callable[[DataFrame], DataFrame]:
+    """Entries of many keys are as many as their images and are never broadcast, though the table that they are exploded from may look small."""
+    return (lambda df: df.hint("merge")) if keys else (lambda df: df)
+
+
 def digest_candidates(images: DataFrame, digests: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(image_id, position, digest): of each image the first registry entry of its service and tag, or whose reference names its repository.
 
     ``images`` has image_id, service, version_tag, repository; ``digests`` position, service, tag, digest, reference. An entry without a tag goes with all tags.
     A reference names every repository that it holds before an ``@``, so both rules are joins on equal keys. With ``keys``, columns of both tables, images go with the entries of their own keys only.
     """
-    keys = keys or []
+    apart, keys = _apart(keys), keys or []
     tag = F.coalesce("version_tag", F.lit(""))
     wanted = images.select(*keys, "image_id", F.coalesce("service", F.lit("")).alias("service"), tag.alias("version_tag"), F.coalesce(_filled("repository"), F.regexp_replace(tag, ":[^:]*$", "")).alias("repository"))
     own = F.coalesce(_filled("digest"), F.when(F.contains("reference", F.lit("@sha256:")), F.regexp_extract("reference", "^[^@]*@(.*)$", 1)))
     held = digests.select(*keys, "position", F.col("service").alias("of"), F.coalesce("tag", F.lit("")).alias("tag"), own.alias("digest"), F.split("reference", "@").alias("parts"))
-    by_service = wanted.join(held.withColumnRenamed("of", "service"), [*keys, "service"]).where("tag in ('', version_tag)")
+    by_service = wanted.join(apart(held.withColumnRenamed("of", "service")), [*keys, "service"]).where("tag in ('', version_tag)")
     names = held.where(F.size("parts") > 1).withColumn("named", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda n: F.array_join(F.slice("parts", F.lit(1), n), "@"))))
-    by_name = wanted.join(names.withColumnRenamed("named", "repository"), [*keys, "repository"])
+    by_name = wanted.join(apart(names.withColumnRenamed("named", "repository")), [*keys, "repository"])
     both = by_service.select("image_id", "position", "digest").unionByName(by_name.select("image_id", "position", "digest"))
     return both.groupBy("image_id").agg(F.min("position").alias("position"), F.min_by("digest", "position").alias("digest"))
 
 
 def matched_digests(images: DataFrame, digests: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """All images, with ``keys`` in front, with their digest and reference, or with what is missing: an entry of the registry, or a digest of the right form."""
-    rows = images.join(digest_candidates(images, digests, keys).select("image_id", "position", "digest"), "image_id", "left")
+    rows = images.join(_apart(keys)(digest_candidates(images, digests, keys).select("image_id", "position", "digest")), "image_id", "left")
     repository = F.coalesce(_filled("repository"), F.regexp_replace(F.coalesce("version_tag", F.lit("")), ":[^:]*$", ""))
     name = F.coalesce(_filled("service"), _filled("version_tag"), F.lit("unknown"))
     good = F.coalesce(F.col("digest").rlike(DIGEST), F.lit(False))
@@ -58,8 +65,9 @@ def _filled_text(value: Column, *names: str) -> Column:
     """Whether all of some members are texts that are not blank."""
     found = F.lit(True)
     for name in names:
-        member = child(value, name)
-        found = found & F.coalesce((F.schema_of_variant(member) == "STRING") & (F.btrim(F.try_variant_get(member, "$", "string"), F.lit(" \t\n\r")) != ""), F.lit(False))
+        # A member that is absent or blank, as most are, is not looked at again.
+        held = F.btrim(F.try_variant_get(value, f"$.{name}", "string"), F.lit(" \t\n\r"))
+        found = found & F.coalesce(F.when(held != "", F.schema_of_variant(child(value, name)) == "STRING"), F.lit(False))
     return found
 
 
@@ -69,10 +77,10 @@ def _referenced(value: Column, depth: int = 2) -> Column:
     for name in REFERENCES:
         own = own | _filled_text(value, name)
     if not depth:
-        return F.coalesce(as_object(value).isNotNull() & own, F.lit(False))
+        return own
+    # What is no object names nothing, and what is no list has no members.
     members = F.try_variant_get(value, "$", "array<variant>")
-    every = (F.size(members) > 0) & F.forall(members, lambda v: _referenced(v, depth - 1))
-    return F.coalesce(F.when(as_object(value).isNotNull(), own).otherwise(every), F.lit(False))
+    return own | F.coalesce((F.size(members) > 0) & F.forall(members, lambda v: _referenced(v, depth - 1)), F.lit(False))
 
 
 def archive_checks(archives: DataFrame) -> DataFrame:
@@ -81,51 +89,66 @@ def archive_checks(archives: DataFrame) -> DataFrame:
     ``archives`` has release_id and the JSON texts gate, compose, deployment and manifest; what is no JSON object counts as an empty one. Placeholders and secrets are told on the leaves of the manifest,
     registry digests by joins on the images of the gate where these are pushed.
     """
-    # Cut, so that a document is parsed once and not for each of its members.
-    docs = cut(archives.select("release_id", *[F.coalesce(as_object(F.try_parse_json(c)), F.parse_json(F.lit("{}"))).alias(c) for c in ("gate", "compose", "deployment", "manifest")]))
-    parts = leaves(docs.select("release_id", F.to_json("manifest").alias("json")), "release_id", "json")
-    named = F.exists("steps", lambda s: F.coalesce(plain_name(s["key"]).isin(SECRET_NAMES), F.lit(False)))
-    secret = hide_values(parts.where(named), "release_id", SECRET_NAMES, "<hidden>").where("text = '<hidden>'").select("release_id").distinct().withColumn("secret", F.lit(True))
-    flagged = (F.element_at("steps", -1)["key"] == "containsSecretValues") & (F.col("json") == "true")
-    told = parts.where(F.size("steps") > 0).groupBy("release_id").agg(F.bool_or(F.coalesce(F.col("text").rlike(PLACEHOLDER), F.lit(False))).alias("placeholder"), F.bool_or(F.coalesce(flagged, F.lit(False))).alias("flag"))
+    docs = archives.select("release_id", *[F.try_parse_json(c).alias(c) for c in ("gate", "compose", "deployment", "manifest")])
+    # A document that is no object has no members. What several checks look into is taken out first, once.
+    members = {"ci": "ciRun", "manager": "secretManager"}
+    docs = docs.select("*", *[child(F.col("manifest"), name).alias(c) for c, name in members.items()], F.array(*[child(F.col("manifest"), name) for name in EVIDENCE]).alias("evidence"), _truth(F.try_variant_get("gate", "$.config.push", "variant")).alias("push"))
     gate, compose, deployment, manifest = (F.col(c) for c in ("gate", "compose", "deployment", "manifest"))
     is_ = lambda value, name, text: F.coalesce(F.try_variant_get(value, f"$.{name}", "string") == text, F.lit(False))
     inner = lambda value, *names: F.try_variant_get(value, "$." + ".".join(names), "variant")
-    images, digests = (F.try_variant_get(v, f"$.{n}", "array<variant>") for v, n in ((gate, "images"), (manifest, "registryDigests")))
-    pushed = docs.where(_truth(inner(gate, "config", "push")))
     text = lambda v, n: F.coalesce(F.try_variant_get(v, f"$.{n}", "string"), F.lit(""))
-    image = lambda v: [text(v, n).alias(c) for n, c in (("service", "service"), ("versionTag", "version_tag"), ("repository", "repository"))]
-    wanted = pushed.where(digests.isNotNull()).select("release_id", F.posexplode(images).alias("place", "v")).where(as_object(F.col("v")).isNotNull()).select("release_id", F.struct("release_id", "place").alias("image_id"), *image(F.col("v")))
-    held = pushed.select("release_id", F.posexplode(digests).alias("position", "v")).where(as_object(F.col("v")).isNotNull())
-    held = held.select("release_id", "position", *[text(F.col("v"), n).alias(n) for n in ("service", "tag", "digest")], F.coalesce(F.nullif(text(F.col("v"), "digestReference"), F.lit("")), text(F.col("v"), "reference")).alias("reference"))
-    lacking = matched_digests(wanted, held, ["release_id"]).where("missing is not null").groupBy("release_id").agg(F.array_sort(F.collect_set("missing")).alias("lacking"))
-    every = docs.join(told, "release_id", "left").join(secret, "release_id", "left").join(lacking, "release_id", "left")
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    executed = is_(gate, "mode", "execute") & _truth(inner(gate, "config", "execute"))
-    ready = _truth(inner(deployment, "archive_manifest", "archiveReady")) & _truth(inner(compose, "deploymentSmoke", "archive_manifest", "archiveReady"))
-    ci, manager = child(manifest, "ciRun"), child(manifest, "secretManager")
+    objects = lambda value, name, *parts: F.when(F.col("push"), F.transform(F.try_variant_get(value, f"$.{name}", "array<variant>"), lambda v: F.when(as_object(v).isNotNull(), F.struct(*[part(v) for part in parts]))))
+    of = lambda n, c: lambda v: text(v, n).alias(c)
+    ci, manager = F.col("ci"), F.col("manager")
     sound = _filled_text(manager, "provider", "environment") & (_filled_text(manager, "revision") | _filled_text(manager, "revisionRef") | _filled_text(manager, "approvalRecord"))
     sound = sound & F.coalesce(F.to_json(child(manager, "containsSecretValues")) == "false", child(manager, "containsSecretValues").isNull())
-    push = _truth(inner(gate, "config", "push"))
-    without = F.when(push & images.isNull() & child(gate, "images").isNotNull(), F.array(F.lit("registryDigests.images"))).when(push & digests.isNull() & child(manifest, "registryDigests").isNotNull(), F.array(F.lit("registryDigests"))).when(push, F.col("lacking"))
-    without = F.coalesce(without, F.array().cast("array<string>"))
-    one = lambda bad, name: F.when(bad, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    told = {
+        "reported": is_(gate, "kind", "release_gate_report"),
+        "passed": is_(gate, "status", "pass"),
+        "executed": is_(gate, "mode", "execute") & _truth(inner(gate, "config", "execute")),
+        "composed": is_(compose, "kind", "compose_smoke_report") & is_(compose, "status", "pass"),
+        "deployed": is_(deployment, "kind", "deployment_smoke_report") & is_(deployment, "status", "pass"),
+        "ready": _truth(inner(deployment, "archive_manifest", "archiveReady")) & _truth(inner(compose, "deploymentSmoke", "archive_manifest", "archiveReady")),
+        "kind": is_(manifest, "kind", "production_release_evidence_manifest"),
+        "ci": _filled_text(ci, "runUrl", "runId", "commit", "environment"),
+        "sound": sound,
+        "referenced": F.transform("evidence", lambda v: _referenced(v)),
+        "push": F.col("push"),
+        "some_images": child(gate, "images").isNotNull(),
+        "some_digests": child(manifest, "registryDigests").isNotNull(),
+        "images": objects(gate, "images", of("service", "service"), of("versionTag", "version_tag"), of("repository", "repository")),
+        "digests": objects(manifest, "registryDigests", of("service", "service"), of("tag", "tag"), of("digest", "digest"), lambda v: F.coalesce(F.nullif(text(v, "digestReference"), F.lit("")), text(v, "reference")).alias("reference")),
+    }
+    # Cut, so that what is read from the documents, which is little, is read once and not for each join.
+    facts = cut(docs.select("release_id", *[value.alias(c) for c, value in told.items()]))
+    wanted = facts.where("digests is not null").select("release_id", F.posexplode("images").alias("place", "v")).where("v is not null").select("release_id", F.struct("release_id", "place").alias("image_id"), "v.*")
+    held = facts.select("release_id", F.posexplode("digests").alias("position", "v")).where("v is not null").select("release_id", "position", "v.*")
+    lacking = matched_digests(wanted, held, ["release_id"]).where("missing is not null").groupBy("release_id").agg(F.array_sort(F.collect_set("missing")).alias("lacking"))
+    # A manifest that is no object has no leaf below a key.
+    parts = leaves(archives.select("release_id", "manifest"), "release_id", "manifest").where(F.get("steps", F.lit(0))["key"].isNotNull()).withColumn("at", named_at(SECRET_NAMES))
+    flagged = (F.element_at("steps", -1)["key"] == "containsSecretValues") & (F.col("json") == "true")
+    any_ = lambda found, name: F.bool_or(F.coalesce(found, F.lit(False))).alias(name)
+    hints = parts.groupBy("release_id").agg(any_(F.col("text").rlike(PLACEHOLDER), "placeholder"), any_(flagged, "flag"), any_(is_hidden(), "secret"))
+    every = facts.join(hints.hint("merge"), "release_id", "left").join(lacking.hint("merge"), "release_id", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     none = F.array().cast("array<string>")
+    without = F.when(F.col("push") & F.col("images").isNull() & F.col("some_images"), F.array(F.lit("registryDigests.images"))).when(F.col("push") & F.col("digests").isNull() & F.col("some_digests"), F.array(F.lit("registryDigests")))
+    without = F.coalesce(without.when(F.col("push"), F.col("lacking")), none)
+    one = lambda bad, name: F.when(bad, F.array(F.lit(name))).otherwise(none)
     checks = [
-        ("release_gate_report_present", is_(gate, "kind", "release_gate_report"), none),
-        ("release_gate_passed", is_(gate, "status", "pass"), none),
-        ("release_gate_executed", executed, one(~executed, "releaseGate.executed")),
-        ("compose_smoke_passed", is_(compose, "kind", "compose_smoke_report") & is_(compose, "status", "pass"), none),
-        ("deployment_smoke_passed", is_(deployment, "kind", "deployment_smoke_report") & is_(deployment, "status", "pass"), none),
-        ("deployment_archive_ready", ready, one(~ready, "deploymentSmoke.archive_manifest.archiveReady")),
-        ("evidence_manifest_kind", is_(manifest, "kind", "production_release_evidence_manifest"), none),
-        ("ci_run_evidence", _filled_text(ci, "runUrl", "runId", "commit", "environment"), one(~_filled_text(ci, "runUrl", "runId", "commit", "environment"), "ciRun")),
+        ("release_gate_report_present", F.col("reported"), none),
+        ("release_gate_passed", F.col("passed"), none),
+        ("release_gate_executed", F.col("executed"), one(~F.col("executed"), "releaseGate.executed")),
+        ("compose_smoke_passed", F.col("composed"), none),
+        ("deployment_smoke_passed", F.col("deployed"), none),
+        ("deployment_archive_ready", F.col("ready"), one(~F.col("ready"), "deploymentSmoke.archive_manifest.archiveReady")),
+        ("evidence_manifest_kind", F.col("kind"), none),
+        ("ci_run_evidence", F.col("ci"), one(~F.col("ci"), "ciRun")),
         ("placeholder_values_replaced", ~yes("placeholder"), one(yes("placeholder"), "placeholderValuesReplaced")),
         ("secret_values_absent", ~yes("secret") & ~yes("flag"), F.concat(one(yes("secret"), "secretValuesAbsent"), one(yes("flag"), "containsSecretValuesFalse"))),
-        ("secret_manager_evidence", sound, one(~sound, "secretManager")),
+        ("secret_manager_evidence", F.col("sound"), one(~F.col("sound"), "secretManager")),
     ]
-    every = every.withColumns({f"has_{snake}": _referenced(child(manifest, name)) for name, snake in EVIDENCE.items()})
-    checks += [(f"{snake}_evidence", F.col(f"has_{snake}"), one(~F.col(f"has_{snake}"), name)) for name, snake in EVIDENCE.items()]
+    checks += [(f"{snake}_evidence", F.get("referenced", F.lit(i)), one(~F.get("referenced", F.lit(i)), name)) for i, (name, snake) in enumerate(EVIDENCE.items())]
     checks.append(("registry_digest_evidence", F.size(without) == 0, without))
     rows = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(n).alias("name"), F.when(passed, "pass").otherwise("fail").alias("status"), missing.alias("missing")) for i, (n, passed, missing) in enumerate(checks)])
     return every.select("release_id", F.explode(rows).alias("c")).select("release_id", "c.*")
@@ -133,15 +156,15 @@ def archive_checks(archives: DataFrame) -> DataFrame:
 
 def archive_reports(checks: DataFrame) -> DataFrame:
     """(release_id, status, failed, missing) of ``archive_checks``: the failed checks in order, and the missing evidence sorted, each once."""
-    lists = checks.groupBy("release_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("missing")))).alias("missing"))
-    return check_rollup(checks, ["release_id"]).select("release_id", "status", "failed").join(lists, "release_id")
+    lists = F.array_sort(F.array_distinct(F.flatten(F.collect_list("missing")))).alias("missing")
+    return check_rollup(checks, ["release_id"], lists).select("release_id", "status", "failed", "missing")
 
 
-def check_rollup(checks: DataFrame, keys: list[str]) -> DataFrame:
-    """For each key ``pass`` if all its checks (name, status, seq) passed, else ``fail``, with the failed checks in order. A run's checks are a fixed list."""
+def check_rollup(checks: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """For each key ``pass`` if all its checks (name, status, seq) passed, else ``fail``, with the failed checks in order; and ``more`` aggregates of them. A run's checks are a fixed list."""
     failed = ~F.coalesce(F.col("status") == "pass", F.lit(False))
     names = F.transform(F.array_sort(F.collect_list(F.when(failed, F.struct("seq", "name")))), lambda c: c["name"])
-    return checks.groupBy(*keys).agg(F.when(F.bool_or(failed), "fail").otherwise("pass").alias("status"), F.count(F.lit(1)).alias("checks"), names.alias("failed"))
+    return checks.groupBy(*keys).agg(F.when(F.bool_or(failed), "fail").otherwise("pass").alias("status"), F.count(F.lit(1)).alias("checks"), names.alias("failed"), *more)
 
 
 def rate(part: Column, whole: Column, digits: int = 4) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str, rows: int = 10_000) -> DataFrame:
+    """A table of few bytes whose rows give much work, with a part for every ``rows`` of them: Spark cuts files by their bytes, and one task would do it all."""
+    return df.repartition(max(1, math.ceil(df.count() / rows)), key)
+
+
 def _executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a customer as executions of agents, by priority as their stage, each with up to two drafts."""
     key = F.col("o_orderkey")
@@ -180,6 +187,6 @@ def archive_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as archives of releases that are whole, or lack evidence of every kind."""
     key = F.col("p_partkey")
     of = lambda n: F.element_at(F.array(*[F.lit(a[n]) for a in ARCHIVES]), (1 + key % len(ARCHIVES)).cast("int"))
-    archives = table(spark, sf_dir, "part").select(key.alias("release_id"), of(0).alias("gate"), of(1).alias("compose"), of(2).alias("deployment"), of(3).alias("manifest"))
+    archives = dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(key.alias("release_id"), of(0).alias("gate"), of(1).alias("compose"), of(2).alias("deployment"), of(3).alias("manifest"))
     found = releases.archive_reports(releases.archive_checks(archives))
     return found.select("release_id", "status", F.array_join("failed", ",").alias("failed"), F.array_join("missing", ",").alias("missing"))
