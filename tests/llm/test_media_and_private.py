@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.cases import empty, frame
@@ -130,6 +131,18 @@ def luhn(text):
     return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
 
 
+def test_short_recordings_are_computed_together(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(30, 120, n).astype(np.uint8).tobytes() for n in (1, 0, chroma.WHOLE - 1, chroma.WHOLE, chroma.FRAME, 2 * chroma.TOGETHER, *rng.integers(0, 3000, 60))] + [None, b"a" * 2000]
+    wanted = [chroma.items(chroma.pitch_frames(chroma.padded(np.frombuffer(x or b"", np.uint8)))).astype("<u4").tobytes() for x in texts]
+    calls, rfft = [], np.fft.rfft
+    monkeypatch.setattr(np.fft, "rfft", lambda part, axis: calls.append(len(part)) or rfft(part, axis=axis))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "samples"])
+    got = pa.Table.from_batches(chroma._fingerprints(iter([batch]))).to_pydict()
+    assert got["items"] == wanted and got["n_samples"] == [len(x or b"") for x in texts] and got["n_items"] == [len(x) // 4 for x in wanted]
+    assert len(calls) < len(texts) and sum(calls) == sum(got["n_frames"]) and max(calls) <= chroma.FRAMES
+
+
 def test_surrogates_keep_type_format_and_reference(spark):
     got = surrogates.replace_private(frame(spark, PRIVATE), "key")
     assert got.columns == [*frame(spark, []).columns, "n_entities"]

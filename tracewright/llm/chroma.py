@@ -43,7 +43,9 @@ VOTES, OVERLAP, BIT_ERROR = 3, 8, 0.15
 WHOLE, SILENCE = FRAME + (SPAN + OVERLAP - 2) * HOP, FRAME + (SPAN - 2) * HOP
 EDGE = (2 * SILENCE - FRAME) // HOP - SPAN + 2
 #: Items in a block, frames transformed at once, votes counted at once.
-BLOCK, FRAMES, COUNTED = 1 << 20, 2048, 1 << 21
+BLOCK, FRAMES, COUNTED = 1 << 20, 512, 1 << 21
+#: Samples whose items are computed at once: those of many short recordings, or of one long one.
+TOGETHER = 1 << 17
 #: (kind, first pitch class, pitch classes, frames) of each filter, by a rule that spreads them.
 FILTERS = [(i % 6, (5 * i) % 12 % (13 - h), h, (4, 8, 12, 16)[i % 4]) for i, h in ((i, 2 + 2 * (i % 5)) for i in range(16))]
 _THRESHOLD = 0.2
@@ -60,32 +62,53 @@ def _pitch_classes() -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def _window() -> np.ndarray:
+    return np.hanning(FRAME).astype(np.float32)
+
+
+def _energies(part: np.ndarray) -> np.ndarray:
+    """Pitch-class energies (12 columns) of frames, a row of samples each; of unit length or zero."""
+    part = part.astype(np.float32)
+    spectrum = np.fft.rfft((part - part.mean(axis=1, keepdims=True)) * _window(), axis=1)
+    energy = (spectrum.real**2 + spectrum.imag**2) @ _pitch_classes()
+    norm = np.linalg.norm(energy, axis=1, keepdims=True)
+    return np.where(norm > 1e-6, energy / np.where(norm > 1e-6, norm, 1), 0)
+
+
+def _frames(recordings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(frames, n): the pitch-class energies of the frames of all recordings, one after the other, and the number of frames of each."""
+    sizes = np.array([len(r) for r in recordings])
+    n = np.where(sizes >= FRAME, 1 + (sizes - FRAME) // HOP, 0)
+    out = np.zeros((n.sum(), 12))
+    if len(out):
+        windows = np.lib.stride_tricks.sliding_window_view(np.concatenate(recordings), FRAME)
+        at = np.repeat(np.cumsum(sizes) - sizes, n) + HOP * (np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n))
+        for first in range(0, len(out), FRAMES):
+            out[first : first + FRAMES] = _energies(windows[at[first : first + FRAMES]])
+    return out, n
+
+
 def pitch_frames(samples: np.ndarray) -> np.ndarray:
     """Pitch-class energies (12 columns) of the frames of a recording, each of unit length or zero."""
-    n = 1 + (len(samples) - FRAME) // HOP if len(samples) >= FRAME else 0
-    out = np.zeros((n, 12))
-    window = np.hanning(FRAME)
-    for first in range(0, n, FRAMES):
-        last = min(n, first + FRAMES)
-        part = np.lib.stride_tricks.sliding_window_view(samples[first * HOP : (last - 1) * HOP + FRAME], FRAME)[::HOP].astype(np.float32)
-        spectrum = np.fft.rfft((part - part.mean(axis=1, keepdims=True)) * window.astype(np.float32), axis=1)
-        energy = (spectrum.real**2 + spectrum.imag**2) @ _pitch_classes()
-        norm = np.linalg.norm(energy, axis=1, keepdims=True)
-        out[first:last] = np.where(norm > 1e-6, energy / np.where(norm > 1e-6, norm, 1), 0)
-    return out
+    return _frames([samples])[0]
 
 
-def items(frames: np.ndarray) -> np.ndarray:
-    """The packed items of a recording's pitch-class frames."""
-    n = len(frames) - SPAN + 1
-    if n <= 0:
-        return np.zeros(0, np.uint32)
-    image = np.zeros((len(frames) + 1, 13))
-    image[1:, 1:] = frames.cumsum(axis=0).cumsum(axis=1)
-    at = np.arange(n)
+def _items(frames: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The packed items of each of the recordings whose frames, ``sizes`` of each, follow one another.
+
+    Their integral images lie side by side, so that a filter is computed for all of them at once; what it gives across the border of two is dropped.
+    """
+    image = np.zeros((len(frames) + len(sizes), 13))
+    ends = np.cumsum(sizes)
+    begins = ends - sizes + np.arange(len(sizes))
+    for row, first, last in zip(begins.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+        np.cumsum(frames[first:last], axis=0, out=image[row + 1 : row + 1 + last - first, 1:])
+    image = np.ascontiguousarray(image.cumsum(axis=1).T)
+    n = max(0, image.shape[1] - SPAN)
 
     def area(x: int, w: int, y: int, h: int) -> np.ndarray:
-        return image[at + x + w, y + h] - image[at + x, y + h] - image[at + x + w, y] + image[at + x, y]
+        return image[y + h, x + w : x + w + n] - image[y + h, x : x + n] - image[y, x + w : x + w + n] + image[y, x : x + n]
 
     out = np.zeros(n, np.uint32)
     for kind, y, h, w in FILTERS:
@@ -109,7 +132,12 @@ def items(frames: np.ndarray) -> np.ndarray:
         ratio = np.log((1 + np.maximum(one, 0)) / (1 + np.maximum(two, 0)))
         level = (ratio > -_THRESHOLD).astype(np.uint32) + (ratio > 0) + (ratio > _THRESHOLD)
         out = out << np.uint32(2) | (level ^ level >> 1).astype(np.uint32)
-    return out
+    return [out[row : row + max(0, size - SPAN + 1)] for row, size in zip(begins.tolist(), sizes.tolist(), strict=True)]
+
+
+def items(frames: np.ndarray) -> np.ndarray:
+    """The packed items of a recording's pitch-class frames."""
+    return _items(frames, np.array([len(frames)]))[0]
 
 
 def padded(samples: np.ndarray) -> np.ndarray:
@@ -122,11 +150,16 @@ def padded(samples: np.ndarray) -> np.ndarray:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "samples"):
-        rows = []
-        for samples in batch.column("samples").to_pylist():
-            frames = pitch_frames(padded(np.frombuffer(samples or b"", np.uint8)))
-            found = items(frames)
-            rows.append((len(samples or b""), len(frames), len(found), found.astype("<u4").tobytes()))
+        rows, held, heard = [], [], 0
+        raw = batch.column("samples").to_pylist()
+        for i, samples in enumerate(raw, 1):
+            held.append(np.frombuffer(samples or b"", np.uint8))
+            heard += len(held[-1])
+            # Recordings of TOGETHER samples or more are computed together, as most have few.
+            if heard >= TOGETHER or len(held) >= TOGETHER // WHOLE or i == len(raw):
+                frames, sizes = _frames([padded(r) for r in held])
+                rows += [(len(r), n, len(found), found.astype("<u4").tobytes()) for r, n, found in zip(held, sizes.tolist(), _items(frames, sizes), strict=True)]
+                held, heard = [], 0
         n_samples, n_frames, n_items, packed = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_samples, pa.int64()), pa.array(n_frames, pa.int64()), pa.array(n_items, pa.int64()), pa.array(packed, pa.binary()), pa.array([zlib.crc32(p) for p in packed], pa.int64())], names=["doc_id", "n_samples", "n_frames", "n_items", "items", "items_crc32"])
 
