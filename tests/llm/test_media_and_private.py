@@ -108,6 +108,75 @@ def test_best_runs_equal_brute_force(seed):
         assert (wrong, equal) == (part[first : first + n].sum(), (part[first : first + n] == 0).sum())
 
 
+def drawn(seed):
+    """Recordings (rep, members, items, short, least) that share items and stretches, and those of them that are asked."""
+    rng = np.random.default_rng(seed)
+    values = rng.integers(0, 1 << 32, 40, dtype=np.uint32)
+    base = rng.choice(values, 90)
+    found = []
+    for i in range(70):
+        n = int(rng.choice([22, 23, 24, rng.integers(25, 52), rng.integers(52, 90)]))
+        at, short = int(rng.integers(0, 91 - n)), n < 52
+        own = base[at : at + n].copy() if i % 3 else rng.choice(values, n)
+        if i % 2 and n > 45:
+            own[: n - 40] = rng.integers(0, 1 << 32, n - 40)
+        noise = rng.integers(0, 1 << 32, (5, n), dtype=np.uint32)
+        own = own ^ np.where(rng.random(n) < rng.choice([0, 0.3, 0.6]), np.bitwise_and.reduce(noise[: 2 + i % 4]), np.uint32(0))
+        found.append((10 * i, 1 + i % 3, own.astype("<u4").tobytes(), short, max(1, min(chroma.VOTES, n - chroma.EDGE)) if short else chroma.VOTES))
+    found = list({x[2]: x for x in found}.values())
+    names = ["rep", "members", "items", "short", "least"]
+    table = lambda rows: pa.table({c: list(x) for c, x in zip(names, zip(*rows, strict=True), strict=True)})
+    return found, table(found), table(found[::2])
+
+
+def aligned(own, other):
+    """The match of two recordings as (start, offset, overlap, bit error, whole), offset by offset and run by run."""
+    (a, b), enough = (np.frombuffer(x[2], "<u4") for x in (own, other)), min(own[4], other[4])
+    calm = own[3] or other[3]
+    shortest, limit = chroma.OVERLAP + chroma.EDGE * calm, chroma.BIT_ERROR / (1 + calm)
+    votes = Counter(int(j - i) for i in range(len(a)) for j in np.flatnonzero(b == a[i]))
+    found = []
+    for offset in votes:
+        start = max(0, -offset)
+        w = min(len(a), len(b) - offset) - start
+        if votes[offset] < enough or w < chroma.OVERLAP:
+            continue
+        bits = np.bitwise_count(a[start : start + w] ^ b[start + offset : start + offset + w]).astype(int)
+        sums = np.append(0, np.cumsum(bits))
+        if offset == min(votes, key=lambda o: (-votes[o], o)) and sums[-1] / (32 * w) <= limit:
+            found.append((False, -w, sums[-1] / (32 * w), offset, start))
+        gain, last, first = max((480 * (j - i) - 100 * int(sums[j] - sums[i]), -j, -i) for i in range(w) for j in range(i + 1, w + 1))
+        first, last = -first, -last
+        if gain > 0 and last - first >= shortest and (bits[first:last] == 0).sum() >= enough and sums[last] - sums[first] <= limit * 32 * (last - first):
+            found.append((True, first - last, (sums[last] - sums[first]) / (32 * (last - first)), offset, start + first))
+    passage, length, error, offset, start = min(found, default=(None,) * 5)
+    return found and (start, offset, -length, error, not passage)
+
+
+@pytest.mark.parametrize(("seed", "counted"), [(0, 1 << 21), (1, 60), (2, 25)])
+def test_only_offsets_that_may_match_are_compared_and_all_matches_found(monkeypatch, seed, counted):
+    found, recordings, queries = drawn(seed)
+    monkeypatch.setattr(chroma, "COUNTED", counted)
+    compared, runs = [], chroma._runs
+    monkeypatch.setattr(chroma, "_runs", lambda bits, widths: compared.append(len(widths)) or runs(bits, widths))
+    got = {r["query"]: r for r in chroma._align(recordings, queries).to_pylist()}
+    wanted, offsets = {}, 0
+    for own in found[::2]:
+        offsets += sum(len({int(j - i) for i, x in enumerate(np.frombuffer(own[2], "<u4")) for j in np.flatnonzero(np.frombuffer(other[2], "<u4") == x)}) for other in found)
+        matches = {other[0]: match for other in found if other is not own and (match := aligned(own, other))}
+        if matches:
+            wanted[own[0]] = matches
+    assert sum(map(len, wanted.values())) > 40 and {m[4] for x in wanted.values() for m in x.values()} == {True, False}
+    assert {q: {m["class_id"]: tuple(m[c] for c in ("start", "offset", "overlap", "bit_error", "whole")) for m in r["matches"]} for q, r in got.items()} == wanted
+    members = {x[0]: x[1] for x in found}
+    for q, matches in wanted.items():
+        whole = {i: m for i, m in matches.items() if m[4]}
+        assert got[q]["n"] == sum(members[i] for i in whole)
+        best = min(((m[3], -m[2], i, m[1]) for i, m in whole.items()), default=None)
+        assert (got[q]["bit_error"], got[q]["overlap"], got[q]["rep"], got[q]["offset"]) == ((best[0], -best[1], best[2], best[3]) if best else (None,) * 4)
+    assert sum(compared) < offsets / 10
+
+
 PRIVATE = [
     (1, "Call +1 (017) 555-7713 or 017-555-7713."),
     (2, "ann.lee@mail7.example.com and ANN.LEE@mail7.example.com, bob@mail7.example.com"),

@@ -18,13 +18,15 @@ is greatest. It counts with at least ``OVERLAP`` items (``EDGE`` more if one of
 share one passage only meet as well.
 
 Recordings with equal items are one class, searched once. Queries are a stated set: they meet all classes in blocks of bounded
-size, and a block sends on one row for each query with every class that it matches there.
+size, and a block sends on one row for each query with every class that it matches there. In a block the votes of a query are sorted by
+recording and offset; of the offsets with enough, only those are compared item by item that may match by the bits in the middle of their overlap.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,7 +45,11 @@ VOTES, OVERLAP, BIT_ERROR = 3, 8, 0.15
 WHOLE, SILENCE = FRAME + (SPAN + OVERLAP - 2) * HOP, FRAME + (SPAN - 2) * HOP
 EDGE = (2 * SILENCE - FRAME) // HOP - SPAN + 2
 #: Items in a block, frames transformed at once, votes counted at once.
-BLOCK, FRAMES, COUNTED = 1 << 20, 512, 1 << 21
+BLOCK, FRAMES, COUNTED = 1 << 20, 128, 1 << 21
+#: Items looked up or compared at once, offsets tested at once.
+SOUGHT, TESTED = 1 << 16, 1 << 15
+#: Items after the last that windows may reach.
+BEYOND = 2 * (OVERLAP + EDGE) + 16
 #: Samples whose items are computed at once: those of many short recordings, or of one long one.
 TOGETHER = 1 << 17
 #: (kind, first pitch class, pitch classes, frames) of each filter, by a rule that spreads them.
@@ -173,106 +179,277 @@ def fingerprints(recordings: DataFrame, id_col: str = "doc_id", samples_col: str
     return source.mapInArrow(_fingerprints, "doc_id long, n_samples long, n_frames long, n_items long, items binary, items_crc32 long")
 
 
-def _votes(query: np.ndarray, values: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, votes): keys hold document and offset, as (document * width + position - query position)."""
-    low, high = np.searchsorted(values, query, side="left"), np.searchsorted(values, query, side="right")
+class _Postings:
+    """The items of some recordings, numbered one after the other, by their value. Between two recordings lie ``gap`` free numbers, so that number less query position tells recording and offset."""
+
+    def __init__(self, parts: list[np.ndarray], docs: np.ndarray, least: np.ndarray):
+        self.docs, self.least = docs, int(least[docs].min()) if len(docs) else VOTES
+        self.sizes = np.array([len(parts[d]) for d in docs], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        items = np.concatenate([parts[d] for d in docs]) if len(docs) else np.zeros(0, np.uint32)
+        self.order = np.argsort(items, kind="stable")
+        self.values = items[self.order]
+        self.owner = np.repeat(np.arange(len(docs), dtype=np.int32), self.sizes)[self.order]
+
+    def spread(self, gap: int) -> None:
+        """Takes ``gap``, a power of two, which no query that follows exceeds."""
+        kind = np.int32 if len(self.order) + (len(self.docs) + 2) * gap < 1 << 31 else np.int64
+        self.gap, self.places = gap, self.order.astype(kind)
+        self.places += (self.owner.astype(kind) + kind(1)) * kind(gap)
+        #: Each recording's keys are above its own of these, and not above the next one's. No two lie between multiples of gap.
+        self.bounds = (self.begins + np.arange(len(self.docs)) * gap).astype(kind)
+        self.next = np.append(self.bounds[1:], np.iinfo(kind).max)[: len(self.docs)]
+        self.first = np.cumsum(np.bincount(-(-self.bounds // gap), minlength=len(self.docs) + len(self.order) // gap + 2)) - 1
+
+    def found(self, keys: np.ndarray) -> np.ndarray:
+        """The recordings of keys, by their place in docs."""
+        at = self.first[keys >> (self.gap.bit_length() - 1)]
+        return at + (keys > self.next[at])
+
+    def votes(self, low: np.ndarray, high: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, votes), by key, of the recordings and offsets with ``least`` votes; low, high: the postings of each item of the query."""
+        if (high - low).sum() <= COUNTED:
+            return _equal(self.places, low, high, least)
+        parts, todo = [], [(low, high, 0, len(self.docs))]
+        while todo:
+            low, high, first, last = todo.pop()
+            if (high - low).sum() <= COUNTED:
+                parts.append(_equal(self.places, low, high, least))
+            elif last - first == 1:
+                parts.append(_piled(self.places, low, high, least))
+            else:
+                middle = (first + last) // 2
+                cut = np.array([i + np.searchsorted(self.places[i:j], self.bounds[middle], side="right") for i, j in zip(low.tolist(), high.tolist(), strict=True)])
+                todo += [(cut, high, middle, last), (low, cut, first, middle)]
+        keys, votes = zip(*parts, strict=True)
+        return np.concatenate(keys), np.concatenate(votes)
+
+
+def _keys(places: np.ndarray, low: np.ndarray, high: np.ndarray, first: int = 0) -> np.ndarray:
+    """Place less query position of each posting; the first of the lists is that of position ``first``."""
+    some = np.flatnonzero(high > low)
+    low, high = low[some], high[some]
     n = high - low
-    keys, votes = np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = np.cumsum(n)
-    begin = 0
-    while begin < len(query):
+    total = int(ends[-1]) if len(n) else 0
+    some += first
+    if total < 100 * len(n):
+        return places[np.repeat(low - (ends - n), n) + np.arange(total)] - np.repeat(some.astype(places.dtype), n)
+    keys = np.empty(total, places.dtype)
+    for i, a, b, end in zip(some.tolist(), low.tolist(), high.tolist(), ends.tolist(), strict=True):
+        np.subtract(places[a:b], i, out=keys[end - (b - a) : end])
+    return keys
+
+
+def _equal(places: np.ndarray, low: np.ndarray, high: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    keys = _keys(places, low, high)
+    keys.sort()
+    later = keys[least - 1 :]
+    keys = later[later == keys[: len(later)]]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.diff(np.append(first, len(keys))) + least - 1
+
+
+def _piled(places: np.ndarray, low: np.ndarray, high: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_equal``, for one recording with more votes than are counted at once."""
+    some = high > low
+    base, top = int(places[low[some]].min()) - len(low), int(places[high[some] - 1].max())
+    votes, ends, begin = np.zeros(top - base + 1, np.int64), np.cumsum(high - low), 0
+    while begin < len(low):
         end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + COUNTED, side="right")))
-        size = n[begin:end]
-        if size.sum():
-            at = np.repeat(low[begin:end] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            fresh = place[at] - np.repeat(np.arange(begin, end), size)
-            new, count = np.unique(fresh, return_counts=True)
-            keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            votes = np.bincount(back, np.concatenate([votes, count])).astype(np.int64)
+        votes += np.bincount(_keys(places, low[begin:end], high[begin:end], begin).astype(np.int64) - base, minlength=len(votes))
         begin = end
-    return keys, votes
+    keys = np.flatnonzero(votes >= least)
+    return (keys + base).astype(places.dtype), votes[keys]
 
 
 def _runs(bits: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, ...]:
     """(first item, items, differing bits, equal items) of the best run in each of the segments of ``widths`` items in ``bits``."""
-    n = len(widths)
-    starts, ends = np.cumsum(widths) - widths, np.cumsum(widths)
-    sums = np.append(0, np.cumsum(bits))
+    good = round(3200 * BIT_ERROR)
+    ends = np.cumsum(widths)
+    starts = ends - widths
+    worth = good - 100 * bits
+    sums = worth.copy()
+    # Each segment lies below all earlier ones, so that one running minimum serves all.
+    sums[starts] -= good * int(widths.max()) + 1
+    np.cumsum(sums, out=sums)
+    low = np.minimum.accumulate(sums - worth)
+    sums -= low
+    gain = np.maximum.reduceat(sums, starts)
+    top = np.flatnonzero(sums == np.repeat(gain, widths))
+    last = top[np.searchsorted(top, starts)]
+    falls = np.flatnonzero(np.append(True, low[1:] < low[:-1]))
+    first = falls[np.searchsorted(falls, last, side="right") - 1]
+    n = last + 1 - first
     equal = np.append(0, np.cumsum(bits == 0))
-    # Prefix sums of each segment, from 0; a later segment lies below all earlier ones, so that one running minimum serves all.
-    at = np.arange(len(bits) + n) - np.repeat(np.arange(n), widths + 1)
-    begin = np.repeat(starts, widths + 1)
-    worth = round(3200 * BIT_ERROR) * (at - begin) - 100 * (sums[at] - sums[begin])
-    level = worth - np.repeat(np.arange(n), widths + 1) * (2 * int(np.abs(worth).max()) + 1)
-    low = np.minimum.accumulate(level)
-    lowest = np.maximum.accumulate(np.where(np.append(True, low[1:] < low[:-1]), np.arange(len(level)), 0))
-    gain = level - low
-    heads = starts + np.arange(n)
-    top = np.flatnonzero(gain == np.repeat(np.maximum.reduceat(gain, heads), widths + 1))
-    last = top[np.searchsorted(top, heads)]
-    first = at[lowest[last]]
-    last = at[last]
-    return first - starts, last - first, sums[last] - sums[first], equal[last] - equal[first]
+    some = gain > 0
+    return tuple(np.where(some, x, 0) for x in (first - starts, n, (good * n - gain) // 100, equal[last + 1] - equal[first]))
+
+
+class _Joined:
+    """Recordings one after the other, and their windows of eight and of sixteen items."""
+
+    def __init__(self, parts: list[np.ndarray], short: np.ndarray):
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.shortest = OVERLAP + EDGE * short.astype(np.int64)
+        self.items = np.concatenate([*parts, np.zeros(BEYOND, np.uint32)])
+        self.windows = {n: np.ndarray(len(self.items) - n + 1, f"V{4 * n}", self.items, strides=(4,)) for n in (8, 16)}
+
+
+def _differing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The bits in which windows differ, in each four of their items."""
+    bits = np.bitwise_count(one.view(np.uint64) ^ two.view(np.uint64)).view(np.uint32)
+    return ((bits & 0xFF00FF) + (bits >> 8 & 0xFF00FF)).view(np.uint16).reshape(len(one), one.itemsize // 16)
+
+
+def _hopeful(queries: _Joined, recordings: _Joined, at: np.ndarray, to: np.ndarray, overlap: np.ndarray, shortest: np.ndarray) -> np.ndarray:
+    """The numbers of the overlaps, from ``at`` in the queries and ``to`` in the recordings, that may match as a whole or with a run of ``shortest`` items.
+
+    Both contain the middle of an overlap of less than twice as many items, which alone must not have more differing bits than all of it may have. Both
+    contain fours of items in a row, and at most three items before and after these.
+    """
+    good = np.where(shortest > OVERLAP, round(1600 * BIT_ERROR), round(3200 * BIT_ERROR))
+    middle = np.where(overlap < shortest, overlap, 2 * shortest - overlap)
+    hopeful = middle < 8
+    for n, rows in ((8, np.flatnonzero((middle >= 8) & (middle < 16))), (16, np.flatnonzero(middle >= 16))):
+        at_n, to_n, overlap_n, good_n = (x[rows] for x in (at, to, overlap, good))
+        first = (overlap_n - n) // 2
+        bits = sum(_differing(queries.windows[n][at_n + first], recordings.windows[n][to_n + first]).T)
+        left = np.flatnonzero(100 * bits.astype(np.int64) <= good_n * overlap_n)
+        if not len(left):
+            continue
+        rows, at_n, to_n, overlap_n, good_n = (x[left] for x in (rows, at_n, to_n, overlap_n, good_n))
+        fours = np.minimum(overlap_n // 4, (shortest[rows] - 3) // 4)
+        for least in np.unique(fours).tolist():
+            same = np.flatnonzero(fours == least)
+            n_fours = overlap_n[same] // 4
+            wide = -(-int(n_fours.max()) // 4)
+            step = 16 * np.arange(wide)
+            bits = _differing(queries.windows[16][(at_n[same][:, None] + step).ravel()], recordings.windows[16][(to_n[same][:, None] + step).ravel()]).reshape(len(same), -1)
+            worth = np.zeros((bits.shape[1] + 1, len(same)), np.int32)
+            np.subtract(4 * good_n[same], 100 * bits.T.astype(np.int32), out=worth[1:], casting="unsafe")
+            worth[1:][np.arange(bits.shape[1])[:, None] >= n_fours] = -(1 << 20)
+            np.cumsum(worth, axis=0, out=worth)
+            gain = (worth[least:] - np.minimum.accumulate(worth[: len(worth) - least], axis=0)).max(axis=0)
+            hopeful[rows[same[gain >= -6 * good_n[same]]]] = True
+    return np.flatnonzero(hopeful)
 
 
 def _align(recordings: pa.Table, queries: pa.Table) -> pa.Table:
-    match = pa.struct([("class_id", pa.int64()), ("start", pa.int64()), ("offset", pa.int64()), ("overlap", pa.int64()), ("bit_error", pa.float64()), ("whole", pa.bool_())])
-    schema = pa.schema([("query", pa.int64()), ("n", pa.int64()), ("bit_error", pa.float64()), ("overlap", pa.int64()), ("rep", pa.int64()), ("offset", pa.int64()), ("matches", pa.list_(match))])
     ids, members, least = (recordings.column(c).to_numpy() for c in ("rep", "members", "least"))
-    short = recordings.column("short").to_numpy()
-    parts = [np.frombuffer(x, "<u4") for x in recordings.column("items").to_pylist()]
-    rows = []
-    if parts and queries.num_rows:
-        sizes = np.array([len(p) for p in parts])
-        everything, begins = np.concatenate(parts), np.cumsum(sizes) - sizes
-        wanted = [np.frombuffer(x, "<u4") for x in queries.column("items").to_pylist()]
-        longest = max(map(len, wanted))
-        width = int(sizes.max()) + 2 * longest + 2
-        order = np.argsort(everything, kind="stable")
-        owner = np.repeat(np.arange(len(parts)), sizes)
-        values, place = everything[order], (owner * width + longest + np.arange(len(everything)) - begins[owner])[order]
-        for query, own, asks, brief in zip(wanted, *(queries.column(c).to_pylist() for c in ("rep", "least", "short")), strict=True):
-            keys, votes = _votes(query, values, place, width)
-            best = np.lexsort((keys, -votes, keys // width))
-            doc = keys[best] // width
-            top = np.append(True, doc[1:] != doc[:-1])[: len(doc)]
-            offset = keys[best] % width - longest
-            start = np.maximum(0, -offset)
-            overlap = np.minimum(len(query), sizes[doc] - offset) - start
-            enough = np.minimum(least[doc], asks)
-            good = (votes[best] >= enough) & (overlap >= OVERLAP) & (ids[doc] != own)
-            doc, offset, start, overlap, enough, top = (x[good] for x in (doc, offset, start, overlap, enough, top))
-            calm = short[doc] | brief
-            shortest, limit = OVERLAP + EDGE * calm, np.where(calm, BIT_ERROR / 2, BIT_ERROR)
-            error, run = np.zeros(len(doc)), np.zeros((4, len(doc)), np.int64)
-            ends = np.cumsum(overlap)
-            i = 0
-            while i < len(doc):
-                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + COUNTED, side="right")))
-                d, o, s, w = doc[i:j], offset[i:j], start[i:j], overlap[i:j]
-                step = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-                bits = np.bitwise_count(query[np.repeat(s, w) + step] ^ everything[np.repeat(begins[d] + s + o, w) + step]).astype(np.int64)
-                error[i:j] = np.add.reduceat(bits, np.cumsum(w) - w) / (32 * w)
-                run[:, i:j] = _runs(bits, w)
-                i = j
-            whole = top & (error <= limit)
-            passage = (run[1] >= shortest) & (run[3] >= enough) & (run[2] <= limit * 32 * run[1])
-            found = np.flatnonzero(whole | passage)
-            if len(found):
-                begin = np.where(whole, start, start + run[0])[found]
-                length = np.where(whole, overlap, run[1])[found]
-                wrong = np.where(whole, error, run[2] / np.maximum(32 * run[1], 1))[found]
-                doc, offset, whole = doc[found], offset[found], whole[found]
-                # One match for each class: the whole overlap, or else the longest passage.
-                order = np.lexsort((offset, wrong, -length, ~whole, doc))
-                order = order[np.append(True, doc[order][1:] != doc[order][:-1])]
-                listed = [dict(zip(match.names, x, strict=True)) for x in zip(ids[doc[order]].tolist(), begin[order].tolist(), offset[order].tolist(), length[order].tolist(), wrong[order].tolist(), whole[order].tolist(), strict=True)]
-                best = np.flatnonzero(whole)
-                n = int(members[doc[best]].sum())
-                best = best[np.lexsort((ids[doc[best]], -length[best], wrong[best]))[:1]]
-                rows.append((own, n, *(x[best].tolist()[0] if len(best) else None for x in (wrong, length, ids[doc], offset)), listed))
-    columns = zip(*rows, strict=True) if rows else [[]] * 7
-    return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    own, asks = (queries.column(c).to_numpy() for c in ("rep", "least"))
+    short, brief = (t.column("short").to_numpy() for t in (recordings, queries))
+    parts, wanted = ([np.frombuffer(x, "<u4") for x in t.column("items").to_pylist()] for t in (recordings, queries))
+    rows: list[tuple[np.ndarray, ...]] = []
+    if parts and wanted:
+        known, asked = _Joined(parts, short), _Joined(wanted, brief)
+        # Nearly all pairs need VOTES; where fewer are enough, more offsets are to be tested.
+        postings = [_Postings(parts, np.flatnonzero(few), least) for few in (least >= VOTES, least < VOTES)]
+        turn = np.argsort(asked.sizes, kind="stable")
+        gaps = 64 << 2 * np.ceil(np.log2(np.maximum(asked.sizes[turn] / 64, 1)) / 2).astype(np.int64)
+        for gap in np.unique(gaps).tolist():
+            for index in postings:
+                index.spread(gap)
+            same = turn[gaps == gap]
+            held, waiting = defaultdict(list), 0
+            batches = np.cumsum(asked.sizes[same]) // SOUGHT
+            for batch in np.split(same, np.flatnonzero(np.diff(batches)) + 1):
+                distinct, back = np.unique(np.concatenate([wanted[q] for q in batch]), return_inverse=True)
+                bounds = [[np.searchsorted(index.values, distinct, side=side)[back] for side in ("left", "right")] for index in postings]
+                end = 0
+                for q in batch.tolist():
+                    begin, end = end, end + len(wanted[q])
+                    for index, (low, high) in zip(postings, bounds, strict=True):
+                        enough = min(index.least, int(asks[q]))
+                        keys, votes = index.votes(low[begin:end], high[begin:end], enough)
+                        if len(keys):
+                            held[index, enough >= VOTES].append((q, keys, votes))
+                            waiting += len(keys)
+                    if waiting >= TESTED:
+                        rows.append(_tested(known, asked, held, ids, own, least, asks))
+                        held, waiting = defaultdict(list), 0
+            rows.append(_tested(known, asked, held, ids, own, least, asks))
+    return _matches(rows, ids, members, own)
+
+
+def _tested(known: _Joined, asked: _Joined, held: dict[tuple[_Postings, bool], list], ids: np.ndarray, own: np.ndarray, least: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(query, recording, first item, offset, items, bit error, whole) of the matches among the (query, keys, votes) held."""
+    some = [[np.zeros(0, kind) for kind in (np.int64,) * 6 + (bool,)]]
+    for (index, long), found in held.items():
+        n = np.array([len(keys) for _, keys, _ in found])
+        keys, votes = (np.concatenate([x[k] for x in found]) for k in (1, 2))
+        at = index.found(keys)
+        head = np.append(True, at[1:] != at[:-1])
+        head[np.cumsum(n) - n] = True
+        # The offset with most votes, the first of equals, of each query and recording.
+        best = -np.maximum.reduceat((votes << 32) - np.arange(len(keys)), np.flatnonzero(head)) & 0xFFFFFFFF
+        query = np.repeat(np.array([q for q, _, _ in found]), n)
+        if long:
+            top = np.zeros(len(keys), bool)
+            top[best] = True
+        else:
+            # One of the two is too short for a passage.
+            keys, at, query, top = keys[best], at[best], query[best], np.ones(len(best), bool)
+        offset = keys.astype(np.int64) - index.bounds[at] - index.gap
+        start = np.maximum(0, -offset)
+        overlap = np.minimum(asked.sizes[query], index.sizes[at] - offset) - start
+        doc = index.docs[at]
+        shortest = np.maximum(known.shortest[doc], asked.shortest[query])
+        good = overlap >= np.where(top, OVERLAP, shortest)
+        if index.least < VOTES:
+            good &= votes[best] >= np.minimum(least[doc], asks[query])
+        good = np.flatnonzero(good)
+        good = good[ids[doc[good]] != own[query[good]]]
+        some.append([x[good] for x in (query, doc, offset, start, overlap, shortest, top)])
+    query, doc, offset, start, overlap, shortest, top = map(np.concatenate, zip(*some, strict=True))
+    at, to = asked.begins[query] + start, known.begins[doc] + start + offset
+    left = _hopeful(asked, known, at, to, overlap, shortest)
+    query, doc, offset, start, overlap, shortest, top, at, to = (x[left] for x in (query, doc, offset, start, overlap, shortest, top, at, to))
+    limit, enough = np.where(shortest > OVERLAP, BIT_ERROR / 2, BIT_ERROR), np.minimum(least[doc], asks[query])
+    error, run = np.zeros(len(doc)), np.zeros((4, len(doc)), np.int64)
+    ends = np.cumsum(overlap)
+    i = 0
+    while i < len(doc):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SOUGHT, side="right")))
+        w = overlap[i:j]
+        begin = np.cumsum(w) - w
+        step = np.arange(w.sum())
+        bits = np.bitwise_count(asked.items[np.repeat(at[i:j] - begin, w) + step] ^ known.items[np.repeat(to[i:j] - begin, w) + step]).astype(np.int64)
+        error[i:j] = np.add.reduceat(bits, begin) / (32 * w)
+        run[:, i:j] = _runs(bits, w)
+        i = j
+    whole = top & (error <= limit)
+    passage = (run[1] >= shortest) & (run[3] >= enough) & (run[2] <= limit * 32 * run[1])
+    found = np.flatnonzero(whole | passage)
+    begin = np.where(whole, start, start + run[0])[found]
+    length = np.where(whole, overlap, run[1])[found]
+    wrong = np.where(whole, error, run[2] / np.maximum(32 * run[1], 1))[found]
+    query, doc, offset, whole = query[found], doc[found], offset[found], whole[found]
+    # One match for each class: the whole overlap, or else the longest passage.
+    order = np.lexsort((offset, wrong, -length, ~whole, doc, query))
+    order = order[np.append(True, (doc[order][1:] != doc[order][:-1]) | (query[order][1:] != query[order][:-1]))[: len(order)]]
+    return tuple(x[order] for x in (query, doc, begin, offset, length, wrong, whole))
+
+
+def _matches(rows: list[tuple[np.ndarray, ...]], ids: np.ndarray, members: np.ndarray, own: np.ndarray) -> pa.Table:
+    """One row for each query in rows of (query, recording, start, offset, overlap, bit error, whole)."""
+    empty = [np.zeros(0, kind) for kind in (np.int64,) * 5 + (np.float64, bool)]
+    query, doc, start, offset, overlap, error, whole = map(np.concatenate, zip(empty, *rows, strict=True))
+    order = np.argsort(query, kind="stable")
+    query, doc, start, offset, overlap, error, whole = (x[order] for x in (query, doc, start, offset, overlap, error, whole))
+    heads = np.flatnonzero(np.append(True, query[1:] != query[:-1])[: len(query)])
+    n = np.add.reduceat(np.where(whole, members[doc], 0), heads) if len(heads) else heads
+    best = np.flatnonzero(whole)
+    best = best[np.lexsort((ids[doc[best]], -overlap[best], error[best], query[best]))]
+    best = best[np.append(True, query[best][1:] != query[best][:-1])[: len(best)]]
+    none = np.isin(query[heads], query[best], invert=True)
+    place = np.zeros(len(heads), np.int64)
+    place[~none] = best
+    listed = pa.StructArray.from_arrays([pa.array(ids[doc]), *map(pa.array, (start, offset, overlap, error, whole))], names=["class_id", "start", "offset", "overlap", "bit_error", "whole"])
+    columns = {"query": pa.array(own[query[heads]]), "n": pa.array(n, pa.int64())}
+    columns |= {c: pa.array(x[place], mask=none) for c, x in (("bit_error", error), ("overlap", overlap), ("rep", ids[doc]), ("offset", offset))}
+    return pa.table(columns | {"matches": pa.ListArray.from_arrays(pa.array(np.append(heads, len(query)), pa.int32()), listed)})
 
 
 MATCHES = "array<struct<class_id: bigint, start: bigint, offset: bigint, overlap: bigint, bit_error: double, whole: boolean>>"
@@ -295,8 +472,10 @@ def align(prints: DataFrame, every: int = 50) -> DataFrame:
         votes = F.when(F.col("n_samples") < WHOLE, F.greatest(F.lit(1), F.least(F.lit(VOTES), F.col("n_items") - EDGE))).otherwise(VOTES)
         some = rows.where("n_items > 0 and doc_id is not null").withColumn("least", votes.cast("long")).withColumn("short", F.col("n_samples") < WHOLE)
         classes = scratch.keep(some.groupBy("items").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"), F.max((F.col("doc_id") % every == 0).cast("int")).alias("asked"), F.min("least").alias("least"), F.max("short").alias("short")), "classes")
-        n = classes.agg(F.sum(F.length("items") / 4), F.sum(F.when(F.col("asked") == 1, F.length("items") / 4))).first()
-        n_blocks, n_asking = (max(1, math.ceil((x or 0) / BLOCK)) for x in n)
+        n_items, n_asked = (x or 0 for x in classes.agg(F.sum(F.length("items") / 4), F.sum(F.when(F.col("asked") == 1, F.length("items") / 4))).first())
+        # With blocks as large as the queries, copies of these are no more than the recordings.
+        n_blocks = max(1, math.ceil(n_items / min(max(BLOCK, n_asked), 8 * BLOCK)))
+        n_asking = max(1, math.ceil(n_asked / (4 * BLOCK)))
         block = lambda k, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.lit(k))
         each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
         left = classes.select(block(n_blocks, 1).alias("b"), each(n_asking).alias("q"), "rep", "members", "least", "short", "items")
