@@ -44,8 +44,8 @@ VOTES, OVERLAP, BIT_ERROR = 3, 8, 0.15
 #: Samples from which a recording is taken as it is; silence on either side of a shorter one, and the items which that adds.
 WHOLE, SILENCE = FRAME + (SPAN + OVERLAP - 2) * HOP, FRAME + (SPAN - 2) * HOP
 EDGE = (2 * SILENCE - FRAME) // HOP - SPAN + 2
-#: Items in a block, frames transformed at once (in arrays so small that they are not mapped anew each time), votes counted at once.
-BLOCK, FRAMES, COUNTED = 1 << 20, 64, 1 << 21
+#: Items in a block, frames transformed at once, votes counted at once.
+BLOCK, FRAMES, COUNTED = 1 << 20, 128, 1 << 21
 #: Items looked up or compared at once, offsets tested at once.
 SOUGHT, TESTED = 1 << 16, 1 << 15
 #: Items after the last that windows may reach.
@@ -155,6 +155,8 @@ def padded(samples: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Once memory of this size has been freed, the C library keeps that of smaller arrays, and the system need not map and clear it for each anew.
+    np.empty(1 << 24, np.uint8)
     for batch in slices(batches, "samples"):
         rows, held, heard = [], [], 0
         raw = batch.column("samples").to_pylist()
